@@ -6,7 +6,8 @@ over the sources ordered by cap per weight).  Complete epochs come first: every
 source is taken floor(target / size) times.  The rest is a weighted sample without
 replacement: each document gets the key u^(1/w), u a hash of its id and w its quality weight,
 and documents are taken in falling key order while the prefix sum of sizes stays within the
-rest; the document that crosses it is taken if that comes nearer to the target.
+rest; the gap that the first one too many leaves is filled by further prefix sums over the
+next documents that fit.
 
 A source may hold most rows, so no source is ever sorted as a whole: keys fall into buckets
 of about ``BUCKET`` documents, prefix sums run over the buckets, and only the one bucket in
@@ -30,6 +31,8 @@ BUDGET_SHARE = 1.5
 MAX_EPOCHS = 2
 BUCKET = 2048
 SALTS = 16
+#: Passes over a source's last bucket: its prefix, then smaller documents for the gap.
+FILLS = 4
 LEAST_WEIGHT = 0.5
 
 
@@ -97,9 +100,13 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = _with_source(rows, shared_checkpoint(ends))
     inside = rows.where("bucket = end")
     order = Window.partitionBy("key").orderBy(F.col("rank").desc(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("before") + F.sum("size").over(order)
-    nearer = 2 * (F.col("rest") - (upto - F.col("size"))) >= F.col("size")
-    inside = inside.withColumn("more", (upto <= F.col("rest")) | ((upto - F.col("size") < F.col("rest")) & nearer))
+    inside = inside.withColumns({"gap": F.col("rest") - F.col("before"), "more": F.lit(False)})
+    for _ in range(FILLS):  # the prefix, then what still fits into the gap that it leaves
+        open_size = F.when(~F.col("more") & (F.col("size") <= F.col("gap")), F.col("size"))
+        inside = inside.withColumn("now", F.coalesce(F.sum(open_size).over(order) <= F.col("gap"), F.lit(False)) & open_size.isNotNull())
+        spent = F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(Window.partitionBy("key"))
+        inside = inside.withColumns({"more": F.col("more") | F.col("now"), "gap": F.col("gap") - spent})
+    inside = inside.drop("gap", "now")
     others = rows.where("end IS NULL OR bucket <> end")
     others = others.withColumn("more", F.when(F.col("end").isNull(), F.col("rest") > 0).otherwise(F.col("bucket") < F.col("end")))
     copies = F.col("epochs") + F.when(F.col("more"), 1).otherwise(0)
