@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwright.plans import encoding, layout
+from cellwright.plans import corpus, encoding, layout
 
 FLAGSHIP = "systemic_layout_problems"
 
-FAMILIES = (layout, encoding)
+FAMILIES = (layout, encoding, corpus)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for f in FAMILIES for k, v in f.ORACLE_SQL.items()}
