@@ -9,8 +9,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DOC = Window.partitionBy("doc_id")
+
+
+def _doc():
+    return Window.partitionBy("doc_id")
 
 
 def plan_mutations(cells: DataFrame) -> DataFrame:
@@ -44,12 +48,12 @@ def apply_mutations(cells: DataFrame, muts: DataFrame) -> DataFrame:
     rows = cells.join(starts, ["doc_id", "pos"], "left").join(inner, ["doc_id", "pos"], "left")
     out = F.expr("CASE WHEN swallowed THEN cast(array() AS array<int>) WHEN n IS NULL THEN array(mask) WHEN n = 0 THEN concat(actual_cells, array(mask)) ELSE actual_cells END")
     rows = rows.select("doc_id", F.col("pos").alias("origin"), F.posexplode(out).alias("k", "mask"))
-    return rows.select("doc_id", (F.row_number().over(DOC.orderBy("origin", "k")) - 1).cast("long").alias("pos"), "mask", "origin")
+    return rows.select("doc_id", (F.row_number().over(_doc().orderBy("origin", "k")) - 1).cast("long").alias("pos"), "mask", "origin")
 
 
 def validate_manifest(cells: DataFrame, muts: DataFrame) -> DataFrame:
     """M4: violations (doc_id, mutation_id, problem): overlaps, spans that differ, no-ops, wrong swaps, more than one cell."""
-    own = DOC.orderBy("expected_start", "mutation_id")
+    own = _doc().orderBy("expected_start", "mutation_id")
     end = F.col("expected_start") + F.size("expected_cells")
     rows = muts.withColumn("previous_end", F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1)))
     at = cells.select("doc_id", F.col("pos").alias("expected_start"), "mask")
@@ -84,12 +88,12 @@ def replay_check(clean: DataFrame, muts: DataFrame, actual: DataFrame) -> DataFr
 
 def shift_positions(muts: DataFrame) -> DataFrame:
     """Start of each mutation in the mutated stream: its own plus all earlier changes of length."""
-    before = DOC.orderBy("expected_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = _doc().orderBy("expected_start").rowsBetween(Window.unboundedPreceding, -1)
     delta = F.size("actual_cells") - F.size("expected_cells")
     return muts.withColumn("actual_start", F.col("expected_start") + F.coalesce(F.sum(delta).over(before), F.lit(0)))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def wrap_offsets(text: pd.Series, width: pd.Series) -> pd.Series:
     """M6: offsets at which a block's lines start: wrapped at the last blank that fits, else at the width."""
 
@@ -112,14 +116,14 @@ def reflow(blocks: DataFrame, width: int, page_lines: int) -> DataFrame:
     nxt = F.lead("start").over(Window.partitionBy("doc_id", "seq").orderBy("k"))
     rows = rows.withColumn("end", F.coalesce(nxt, F.length("text")))
     line = F.rtrim(F.expr("substr(text, start + 1, end - start)"))
-    n = F.row_number().over(DOC.orderBy("seq", "k")) - 1
+    n = F.row_number().over(_doc().orderBy("seq", "k")) - 1
     rows = rows.withColumns({"raw_line": line, "n": n})
     return rows.select("doc_id", (F.floor(F.col("n") / page_lines) + 1).cast("int").alias("page_no"), (F.col("n") % page_lines + 1).alias("line_no"), "seq", "raw_line")
 
 
 def scale_up(blocks: DataFrame, n: int, corrupted: int = 5) -> DataFrame:
     """M7: a packet repeated n times with page offsets; evenly spaced packets are marked for corruption."""
-    pages = F.max("page_no").over(DOC)
+    pages = F.max("page_no").over(_doc())
     rows = blocks.withColumn("pages", pages).withColumn("packet", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     marked = sorted({round(i * (n - 1) / max(1, corrupted - 1)) for i in range(corrupted)})
     return rows.select("doc_id", "packet", (F.col("page_no") + F.col("packet") * F.col("pages")).alias("page_no"), "block_no", F.col("packet").isin(marked).alias("corrupted"))

@@ -13,7 +13,10 @@ from cellwright.functions.braille import UNICODE_CELLS, braille_int
 
 #: Share of a document's pages (or blocks) beyond which a problem is systemic; strictly more.
 SYSTEMIC = 0.3
-DOC = Window.partitionBy("doc_id")
+
+
+def _doc():
+    return Window.partitionBy("doc_id")
 #: Style names and the block types they stand for.
 STYLE_TYPES = {"Title": "title", "Subtitle": "subtitle", "Caption": "caption", "Normal": "body", "Body Text": "body", "List Bullet": "list_bullet", "List Number": "list_number"}
 
@@ -27,7 +30,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
 def repaginate_by_header(lines: DataFrame, header: str = ",,PAGE ") -> DataFrame:
     """S3: a header line opens a page; right-hand ``#...`` footers and form feeds are removed."""
-    order = DOC.orderBy("seq")
+    order = _doc().orderBy("seq")
     page = F.sum(F.col("raw_line").contains(header).cast("int")).over(order)
     clean = F.regexp_replace(F.regexp_replace("raw_line", "\f", ""), " {3,}#[A-Za-z0-9]+ *$", "")
     out = lines.withColumns({"page_no": page, "raw_line": clean})
@@ -40,7 +43,7 @@ def paragraphs_to_blocks(paras: DataFrame) -> DataFrame:
 
     A break before counts only on a paragraph with text.
     """
-    order = DOC.orderBy("seq")
+    order = _doc().orderBy("seq")
     opens = F.when(F.trim("text") != "", F.col("break_before").cast("int")).otherwise(0)
     closed = F.coalesce(F.lag(F.col("break_after").cast("int")).over(order), F.lit(0))
     out = paras.withColumn("page_no", (1 + F.sum(opens + closed).over(order)).cast("int"))
@@ -50,7 +53,7 @@ def paragraphs_to_blocks(paras: DataFrame) -> DataFrame:
 
 def partition_page_markers(blocks: DataFrame) -> DataFrame:
     """``=== PAGE n ===`` rows open pages; a number that cannot be read is the count of pages so far plus 1."""
-    order = DOC.orderBy("seq")
+    order = _doc().orderBy("seq")
     marker = F.col("text").rlike("^=== PAGE .* ===$")
     out = blocks.withColumns({"is_marker": marker, "ordinal": F.sum(marker.cast("int")).over(order)})
     number = F.regexp_extract("text", "^=== PAGE (.*) ===$", 1)
@@ -92,7 +95,7 @@ def is_page_number(line: Column) -> Column:
 
 def strip_furniture(lines: DataFrame, banner: str = "^TRANSCRIBED ") -> DataFrame:
     """Drop a banner at the start of the stream, page header rows and page-number rows at the foot."""
-    first = F.row_number().over(DOC.orderBy("seq")) == 1
+    first = F.row_number().over(_doc().orderBy("seq")) == 1
     foot = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy(F.col("seq").desc())) == 1
     furniture = (first & F.col("raw_line").rlike(banner)) | F.col("raw_line").contains(",,PAGE ") | (foot & is_page_number(F.col("raw_line")))
     return lines.withColumn("furniture", furniture).where("NOT furniture").drop("furniture")
@@ -190,13 +193,13 @@ def paragraph_layout(lines: DataFrame) -> DataFrame:
 
 def page_gaps(numbers: DataFrame) -> DataFrame:
     """Pages whose number is not the previous numbered page's plus one; pages without a number are skipped."""
-    rows = numbers.where("number >= 0").withColumn("previous", F.lag("number").over(DOC.orderBy("page_no")))
+    rows = numbers.where("number >= 0").withColumn("previous", F.lag("number").over(_doc().orderBy("page_no")))
     return rows.where("previous IS NOT NULL AND number <> previous + 1").select("doc_id", "page_no", "previous", "number")
 
 
 def monotone_anchors(anchors: DataFrame) -> DataFrame:
     """Anchors (doc_id, i, j) in order of i whose j exceeds every j before."""
-    before = DOC.orderBy("i", "j").rowsBetween(Window.unboundedPreceding, -1)
+    before = _doc().orderBy("i", "j").rowsBetween(Window.unboundedPreceding, -1)
     return anchors.withColumn("top", F.max("j").over(before)).where("top IS NULL OR j > top").drop("top")
 
 

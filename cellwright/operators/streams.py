@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DOC = Window.partitionBy("doc_id")
+
+
+def _doc():
+    return Window.partitionBy("doc_id")
 #: Control pairs of masks that are no text.
 CONTROL_FIRST, CONTROL_SECOND = 24, (2, 54, 4)
 
@@ -20,7 +23,7 @@ def stream_offsets(lines: DataFrame) -> DataFrame:
     """
     size = F.length("raw_line") + 1
     pages = lines.groupBy("doc_id", "page_no").agg((F.sum(size) - 1).alias("cells"))
-    before = DOC.orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = _doc().orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
     pages = pages.select("doc_id", "page_no", F.coalesce(F.sum(F.col("cells") + 1).over(before), F.lit(0)).alias("page_offset"))
     inside = Window.partitionBy("doc_id", "page_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     rows = lines.withColumn("inside", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(pages, ["doc_id", "page_no"])
@@ -40,8 +43,8 @@ def group_math_blocks(blocks: DataFrame) -> DataFrame:
 
 def strip_control_pairs(cells: DataFrame) -> DataFrame:
     """Remove control pairs; the raw position stays.  No second cell opens a pair, so pairs cannot overlap."""
-    own = DOC.orderBy("pos")
+    own = _doc().orderBy("pos")
     opens = (F.col("mask") == CONTROL_FIRST) & F.lead("mask").over(own).isin(*CONTROL_SECOND)
     closes = (F.lag("mask").over(own) == CONTROL_FIRST) & F.col("mask").isin(*CONTROL_SECOND)
     rows = cells.withColumn("gone", F.coalesce(opens, F.lit(False)) | F.coalesce(closes, F.lit(False))).where("NOT gone").drop("gone")
-    return rows.withColumn("raw_pos", F.col("pos")).withColumn("pos", (F.row_number().over(DOC.orderBy("raw_pos")) - 1).cast("long"))
+    return rows.withColumn("raw_pos", F.col("pos")).withColumn("pos", (F.row_number().over(_doc().orderBy("raw_pos")) - 1).cast("long"))
