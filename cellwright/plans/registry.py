@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwright.plans import alignment, corpus, differences, encoding, findings, layout
+from cellwright.plans import alignment, corpus, differences, encoding, findings, layout, localization
 
 FLAGSHIP = "systemic_layout_problems"
 
-FAMILIES = (layout, encoding, corpus, alignment, differences, findings)
+FAMILIES = (layout, encoding, corpus, alignment, differences, findings, localization)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for f in FAMILIES for k, v in f.ORACLE_SQL.items()}
