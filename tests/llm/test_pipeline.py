@@ -1,0 +1,33 @@
+"""The pipeline's stages on a small corpus."""
+
+import random
+
+import corpus_pipeline
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def test_stages_take_effect(spark, tmp_path):
+    rng = random.Random(1)
+
+    def prose(n):
+        return " ".join(rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(n))
+
+    rows = [(i, prose(70) + "\n" + prose(20), "en", f"s{i % 3}", 1) for i in range(90)]
+    rows += [(100, rows[0][1], "en", "s0", 1), (101, rows[1][1].replace("alpha", "gamma", 1), "en", "s1", 1), (102, "too short", "en", "s0", 1), (103, None, None, None, None)]
+    rows += [(104, prose(60) + "\n" + rows[2][1].split("\n")[1], "en", "s2", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert sorted(out.columns) == sorted(docs.columns)
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen[name] = {r.doc_id: r.text for r in docs.collect()}
+    assert set(range(90)) <= set(seen["quality_rules"]) and not {102, 103} & set(seen["quality_rules"])
+    assert 100 not in seen["line_dedup"] and seen["line_dedup"][104] == rows[-1][1].split("\n")[0]
+    assert set(range(90)) <= set(seen["simhash_near_dedup"])
+    assert set(seen["source_mixing"]) <= set(seen["simhash_near_dedup"])
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    totals = packed.groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
+    assert totals.max() <= 2048 and packed.select("doc_id").distinct().count() == len(seen["source_mixing"])
