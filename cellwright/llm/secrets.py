@@ -227,6 +227,6 @@ def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
 def secret_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 of the base spans, and spans of all rules."""
     found = secret_spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    counts = [F.size(F.filter("__spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{RULES[n].kind}") for n in range(BASE)]
+    counts = [F.size(F.expr(f"filter(__spans, s -> s.kind = {n})")).cast("long").alias(f"n_{RULES[n].kind}") for n in range(BASE)]
     base = F.filter("__spans", lambda s: s["kind"] < BASE)
     return found.select("doc_id", *counts, F.sha2(_joined(base, RULES).cast("binary"), 256).alias("base_sha256"), _joined(F.col("__spans"), RULES).alias("spans"))

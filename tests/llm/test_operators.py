@@ -315,6 +315,7 @@ def test_secrets_equal_brute_force(spark):
     for r in found:
         text = texts[1] if r.doc_id is None else [*texts, texts[0]][r.doc_id]
         assert r.base_sha256 == hashlib.sha256(base_spans(text).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(base_spans(text).count(k + ":") for k in ("assign", "access", "hex"))
     spans = {r.doc_id: r.spans for r in found}
     assert spans[2] == "pem:0:31,github:32:72,hex:36:72" and spans[5].startswith("login:0:19")
 
