@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwright.llm import html, lines, mixing, neighbours, packing, pseudonyms, quality, secrets, simhash, toxicity
+from cellwright.llm import html, lines, mixing, neighbours, oracles, packing, pseudonyms, quality, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,4 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_trigram_secrets": op10_trigram_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": oracles.quality_sql(),
+    "op8_source_mixing": oracles.mixing_sql(),
+    "op10_trigram_secrets": oracles.secrets_sql(),
+}
