@@ -185,12 +185,6 @@ def align_cells(pairs: DataFrame) -> DataFrame:
     return same.unionByName(align_bounded(placed.where("path <> 'identical'")))
 
 
-@F.pandas_udf(T.IntegerType())
-def matching_characters(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Characters in the matching blocks of two texts."""
-    return pd.Series([sum(m.size for m in SequenceMatcher(None, x, y, False).get_matching_blocks()) for x, y in zip(a, b, strict=True)])
-
-
 def _spans(pages: DataFrame, side: str, most: int) -> DataFrame:
     """Runs of 1 to ``most`` consecutive pages: first, width, joined text and share of the document before."""
     own = _doc().orderBy("page_no")
@@ -202,17 +196,31 @@ def _spans(pages: DataFrame, side: str, most: int) -> DataFrame:
     return rows.withColumn(f"{side}t", F.array_join(F.expr(f"slice(ts, 1, {side}w)"), " ")).drop("ts")
 
 
+def _stable_documents(exp: DataFrame, act: DataFrame) -> DataFrame:
+    """Documents with as many pages on both sides, each page of about the same size."""
+    b = act.select("doc_id", "page_no", F.length("text").alias("m"))
+    both = exp.select("doc_id", "page_no", F.length("text").alias("n")).join(b, ["doc_id", "page_no"], "full")
+    near = F.coalesce(F.abs(F.col("n") - F.col("m")) <= F.greatest(F.lit(20.0), F.col("n") / 4), F.lit(False))
+    return both.groupBy("doc_id").agg(F.bool_and(near).alias("near")).where("near").select("doc_id")
+
+
 def match_page_regions(exp: DataFrame, act: DataFrame, band: float = 0.12, most: int = 3) -> DataFrame:
     """Monotone pairing of runs of 1-3 pages a side, by best sum of matches less half the edits and a width penalty.
 
-    Candidates come from an equi-join on bands of the cumulative share, scored in parallel;
-    only the path is picked document by document, over one short row a candidate.
+    Documents whose page counts agree and whose pages differ in size by at most a quarter (or
+    20 cells) pair page by page.  For the others candidates come from an equi-join on bands of
+    the cumulative share and are scored in parallel by the words that both sides have; only
+    the path is picked document by document, over one short row a candidate.
     """
+    stable = _stable_documents(exp, act)
+    paired = exp.join(stable, "doc_id").select("doc_id", *(F.col("page_no").alias(c) for c in ("e_first", "e_last", "a_first", "a_last")))
+    exp, act = exp.join(stable, "doc_id", "left_anti"), act.join(stable, "doc_id", "left_anti")
     a, b = _spans(exp, "e", most), _spans(act, "a", most)
     a = a.withColumn("band", F.floor(F.col("eat") / band))
     b = b.withColumn("band", F.explode(F.array(*(F.floor(F.col("aat") / band) + k for k in (-1, 0, 1)))))
     pairs = a.join(b, ["doc_id", "band"]).where(F.abs(F.col("eat") - F.col("aat")) <= band)
-    match = matching_characters("et", "at")
+    common = F.array_intersect(F.split("et", " "), F.split("at", " "))
+    match = F.aggregate(common, F.lit(0), lambda n, w: n + F.length(w) + 1)
     score = match - 0.5 * (F.length("et") + F.length("at") - 2 * match) - 5 * (F.col("ew") + F.col("aw") - 2)
     cands = pairs.select("doc_id", "e0", "ew", "elast", "a0", "aw", "alast", score.alias("score"))
 
@@ -231,7 +239,8 @@ def match_page_regions(exp: DataFrame, act: DataFrame, band: float = 0.12, most:
             at = before
         return pd.DataFrame(out[::-1], columns=["doc_id", "e_first", "e_last", "a_first", "a_last"])
 
-    return cands.groupBy("doc_id").applyInPandas(pick, "doc_id long, e_first int, e_last int, a_first int, a_last int")
+    schema = "doc_id long, e_first int, e_last int, a_first int, a_last int"
+    return paired.unionByName(cands.groupBy("doc_id").applyInPandas(pick, schema))
 
 
 def assign_blocks_to_lines(blocks: DataFrame, lines: DataFrame, most: int = 3) -> DataFrame:

@@ -95,7 +95,13 @@ def test_reflow_keeps_words_and_width(spark):
 def test_page_regions_follow_a_split_page(spark):
     exp = spark.createDataFrame([(1, 1, "alpha beta gamma delta"), (1, 2, "one two three four")], "doc_id long, page_no int, text string")
     act = spark.createDataFrame([(1, 1, "alpha beta gamma delta"), (1, 2, "one two three four")], "doc_id long, page_no int, text string")
-    assert [tuple(r)[1:] for r in alignment.match_page_regions(exp, act).collect()] == [(1, 1, 1, 1), (2, 2, 2, 2)]
+    assert sorted(tuple(r)[1:] for r in alignment.match_page_regions(exp, act).collect()) == [(1, 1, 1, 1), (2, 2, 2, 2)]
+
+
+def test_page_regions_join_a_page_that_was_split(spark):
+    exp = spark.createDataFrame([(1, 1, "alpha beta gamma delta epsilon zeta eta theta"), (1, 2, "one two three four five six seven eight nine")], "doc_id long, page_no int, text string")
+    act = spark.createDataFrame([(1, 1, "alpha beta gamma delta"), (1, 2, "epsilon zeta eta theta"), (1, 3, "one two three four five six seven eight nine")], "doc_id long, page_no int, text string")
+    assert sorted(tuple(r)[1:] for r in alignment.match_page_regions(exp, act, band=0.5).collect()) == [(1, 1, 1, 2), (2, 2, 3, 3)]
 
 
 def test_blocks_get_their_lines(spark):
