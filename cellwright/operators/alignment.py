@@ -275,14 +275,15 @@ def assign_blocks_to_lines(blocks: DataFrame, lines: DataFrame, most: int = 3) -
 def page_boundaries(stream: DataFrame, pages: DataFrame, reach: int = 32, context: int = 16) -> DataFrame:
     """Blank of the expected stream nearest in text to each actual page start, within ``reach`` cells.
 
-    ``stream`` is (doc_id, text), ``pages`` (doc_id, page_no, start, head).  Best by local edit
-    cost, then distance, then position.
+    ``stream`` is (doc_id, text), ``pages`` (doc_id, page_no, start, head).  Best by the number of
+    differing cells after it, then distance, then position.
     """
     base = F.expr(f"greatest(start - {reach}, 0)")
     near = pages.join(stream, "doc_id").select("doc_id", "page_no", "start", "head", base.alias("base"), F.expr(f"substr(text, greatest(start - {reach}, 0) + 1, {2 * reach + context + 2})").alias("w"))
     near = near.withColumn("k", F.explode(F.expr(f"sequence(0, start + {reach} - base)"))).where("substr(w, k + 1, 1) = ' '")
     blanks = near.withColumn("at", F.col("base") + F.col("k"))
-    cost = F.levenshtein(F.expr(f"substr(w, k + 2, {context})"), F.col("head"))
+    differs = f"filter(sequence(1, {context}), i -> substr(w, cast(k + 1 + i AS int), 1) <> substr(head, i, 1))"
+    cost = F.size(F.expr(differs))
     order = Window.partitionBy("doc_id", "page_no").orderBy("cost", F.abs(F.col("at") - F.col("start")), "at")
     best = blanks.withColumn("cost", cost).withColumn("r", F.row_number().over(order)).where("r = 1")
     top = F.max("at").over(_doc().orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1))

@@ -116,6 +116,6 @@ ORACLE_SQL = {
     "j10_page_boundaries": sql("lines", """, st AS (SELECT doc_id, string_agg(raw_line, ' ' ORDER BY seq) AS text FROM lines GROUP BY doc_id), o AS (SELECT *, coalesce(sum(length(raw_line) + 1) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM lines),
         ps AS (SELECT doc_id, page_no, CAST(greatest(o - 1 + (doc_id + page_no) % 9 - 4, 0) AS INT) AS start, substr(raw_line, 1, 16) AS head FROM o WHERE line_no = 1 AND page_no > 1),
         n AS (SELECT doc_id, page_no, start, head, text, unnest(generate_series(greatest(start - 32, 0), start + 32)) AS pos FROM ps JOIN st USING (doc_id)),
-        b AS (SELECT *, levenshtein(substr(text, pos + 2, 16), head) AS cost FROM n WHERE substr(text, pos + 1, 1) = ' '), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY cost, abs(pos - start), pos) AS r FROM b)
+        b AS (SELECT *, len(list_filter(generate_series(1, 16), lambda i: substr(text, CAST(pos + 1 + i AS INT), 1) <> substr(head, CAST(i AS INT), 1))) AS cost FROM n WHERE substr(text, pos + 1, 1) = ' '), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY cost, abs(pos - start), pos) AS r FROM b)
         SELECT doc_id, page_no, pos AS "at", cost, coalesce(pos > max(pos) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS monotone FROM r WHERE r = 1"""),
 }
