@@ -5,11 +5,14 @@ elements of one label (tag with class and id words) fold into a repeated group;
 pages of a host the streams of children are aligned level by level: what both have merges,
 what one lacks becomes optional, and text that differs becomes a slot, while text that is the
 same on every page stays fixed.  The outcome is a regular expression without unions, kept as
-a tree.  From it each host gets its rules: which paths hold the article, and which text is
-template.  Pages are then read by their host's rules.
+a tree; at levels with more than ``WIDTH`` labels the further siblings fold into one repeated
+group.  From it each host gets its rules: which paths hold the article, and which text is
+template, in nodes that are fixed and in items of groups.  Pages are then read by their host's
+rules, block by block.
 
 The article is what an ``article`` or ``main`` element (or a container named like one) holds;
-on hosts without any, everything but furniture and fixed text.  Menus, headers, footers,
+on pages without any, everything but furniture.  Template text goes in both cases, also where
+it is optional, unless it is most of an article.  Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments go by element or by name.
 
 Inference merges on the map side, then over salted groups of at most ``FAN_IN`` partial
@@ -39,10 +42,13 @@ FAN_IN = 64
 #: Hosts that a task merges before it hands its partial wrappers on.
 HOSTS_HELD = 512
 BROADCAST_BYTES = 16 << 20
-#: Pages of a host from which text that never changes counts as template.
+#: Different pages from which a node's text that never changes counts as template.
 LEAST_PAGES = 4
-#: Children that a wrapper describes at one level; on pages with more, the further ones are read by the name rules.
+#: The same for one item among the changing ones of a group.
+ITEM_PAGES = 8
+#: Children of different labels that a wrapper describes at one level, the last being a group of all further ones.
 WIDTH = 256
+FOLDED = "*"
 
 RAW = frozenset("script style noscript template iframe svg canvas object math textarea title head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -179,33 +185,58 @@ def read_page(page: str | None) -> list[Block]:
     return blocks
 
 
-# A wrapper's node: [label, repeated, optional, text, children]; text is null for none, true for a
-# slot, else the digest of the fixed text.  Children are in page order.
+# A wrapper's node: [label, repeated, optional, text, children, items, contexts]; text is null for
+# none, true for a slot, else the digest of the fixed text.  Children are in page order.  Items are
+# the digests that every page with the node has in it; contexts are the ``ITEM_PAGES`` smallest
+# digests of what those pages say (inside an article: of what the article says), so that copies
+# of one page count once.
 
 
-def page_tree(blocks: list[Block]) -> list:
+def new_node(label: str) -> list:
+    return [label, False, False, None, [], [], []]
+
+
+def digest(*texts: str) -> str:
     import xxhash
 
-    root: list = ["", False, False, None, []]
+    return xxhash.xxh64_hexdigest("\n".join(texts))
+
+
+def page_tree(blocks: list[Block]) -> list:
+    root = new_node("")
+    inside = [any(map(is_main, labels)) for labels, *_ in blocks]
+    whole = digest(*(text for _, dropped, text, _ in blocks if not dropped))
+    article = digest(*(text for main, (_, dropped, text, _) in zip(inside, blocks, strict=True) if main and not dropped))
     last: dict[int, int] = {}  # the element that a node was last met in
     for labels, _, text, numbers in blocks:
-        node = root
+        node, main = root, False
+        root[6] = [whole]
         for label, number in zip(labels, numbers, strict=True):
+            main = main or is_main(label)
             found = next((child for child in reversed(node[4]) if child[0] == label), None)
+            if found is None and len(node[4]) >= WIDTH - 1:
+                found, label = next((child for child in reversed(node[4]) if child[0] == FOLDED), None), FOLDED
             if found is None:
-                if len(node[4]) >= WIDTH:
-                    break
-                found = [label, False, False, None, []]
+                found = new_node(label)
                 node[4].append(found)
             elif last[id(found)] != number:
                 found[1] = True
             last[id(found)] = number
             node = found
-        mark = xxhash.xxh64_hexdigest(text)
+            node[6] = [article if main else whole]
+        mark = digest(text)
         node[3] = mark if node[3] is None or node[3] == mark else True
+        node[5].append(mark)
+    settle(root)
     return root
 
 
+def settle(node: list) -> None:
+    node[5] = sorted(set(node[5]))
+    for child in node[4]:
+        settle(child)
+
+
 def merge(one: list, other: list) -> list:
     """The wrapper of both: aligned children merge, others become optional, differing texts slots."""
     a, b = [c[0] for c in one[4]], [c[0] for c in other[4]]
@@ -218,41 +249,85 @@ def merge(one: list, other: list) -> list:
                 children += [merge(x, y) for x, y in zip(one[4][i0:i1], other[4][j0:j1], strict=True)]
             else:
                 children += [[c[0], c[1], True, *c[3:]] for c in (*one[4][i0:i1], *other[4][j0:j1])]
-        children = children[:WIDTH]
+        children = folded(children)
     text = one[3] if one[3] == other[3] else True
     if one[3] is None or other[3] is None:
         text = one[3] if other[3] is None else other[3]
-    return [one[0], one[1] or other[1], one[2] or other[2], text, children]
+    items = one[5] if one[5] == other[5] else sorted(set(one[5]) & set(other[5]))
+    return [one[0], one[1] or other[1], one[2] or other[2], text, children, items, sorted({*one[6], *other[6]})[:ITEM_PAGES]]
 
 
-def rules(wrapper: list, pages: int) -> dict[str, list[str]]:
-    """main: paths of the outermost article containers; fixed: paths of template text."""
-    main: list[str] = []
-    fixed: list[str] = []
+def folded(children: list[list]) -> list[list]:
+    """At most ``WIDTH`` children: what is beyond becomes one repeated group of unlike siblings."""
+    if len(children) <= WIDTH:
+        return children
+    named = [c for c in children if c[0] != FOLDED]
+    rest = named[WIDTH - 1 :] + [c for c in children if c[0] == FOLDED]
+    group = rest[0]
+    for child in rest[1:]:
+        group = merge(group, child)
+    return [*named[: WIDTH - 1], [FOLDED, True, True, *group[3:]]]
 
-    def walk(node: list, path: str, inside: bool) -> None:
-        if not inside and is_main(node[0]):
-            main.append(path)
-            inside = True
-        if not inside and pages >= LEAST_PAGES and isinstance(node[3], str):
-            fixed.append(path)
-        for child in node[4]:
-            walk(child, f"{path}/{child[0]}", inside)
 
-    walk(wrapper, "", False)
-    exact = [p for p in main if re.search(r"/(?:article|main)[^/]*$", p)]
-    return {"main": exact or main, "fixed": [] if exact or main else fixed}
+def varies(node: list) -> bool:
+    return node[3] is True or any(map(varies, node[4]))
 
 
-def main_text(page: str | None, rule: dict[str, list[str]] | None) -> str:
+def rules(wrapper: list) -> dict:
+    """What pages need of the wrapper, as a tree of children "c" by label.
+
+    "m": an outermost article container (2 by its tag, 1 by its name).  "f": digests of template
+    text: of a node whose text never changes, on ``LEAST_PAGES`` different pages or more, and of
+    the items of a group that all of at least ``ITEM_PAGES`` different pages have.  A wrapper
+    without any slot, as of a host with copies of one page, says nothing about template.
+    """
+
+    def walk(node: list, inside: bool, template: bool) -> dict:
+        out: dict = {}
+        if not inside and is_main(node[0]):
+            out["m"] = 2 if node[0].split(".")[0] in ("article", "main") else 1
+            inside, template = True, varies(node)
+        if template:
+            if isinstance(node[3], str) and len(node[6]) >= LEAST_PAGES:
+                out["f"] = [node[3]]
+            elif node[5] and len(node[6]) >= ITEM_PAGES:
+                out["f"] = node[5]
+        alike: dict[str, list] = {}
+        for child in node[4]:  # one label may stand in several places
+            alike[child[0]] = merge(alike[child[0]], child) if child[0] in alike else child
+        below = {label: walk(child, inside, template) for label, child in alike.items()}
+        if not below.get(FOLDED):  # else all names are needed, to tell which ones are folded
+            below = {label: rule for label, rule in below.items() if rule}
+        return out | {"c": below} if below else out
+
+    return walk(wrapper, False, varies(wrapper))
+
+
+def place(labels: tuple[str, ...], rule: dict) -> tuple[int, frozenset[str]]:
+    """Of a path: whether it lies in an article container (0, 1, 2 as "m"), and its template texts."""
+    main, at = 0, rule
+    for label in labels:
+        below = at.get("c", {})
+        at = below.get(label, below.get(FOLDED, {}))
+        main = main or at.get("m", 0)
+    return main, frozenset(at.get("f", ()))
+
+
+def main_text(page: str | None, rule: dict | None) -> str:
+    """The article's text: the blocks in article containers, else all, without furniture and template."""
     blocks = read_page(page)
-    main = tuple(rule["main"]) if rule else ()
-    paths = ["/" + "/".join(labels) if labels else "" for labels, *_ in blocks]
-    inside = [any(p == m or p.startswith(m + "/") for m in main) for p in paths]
-    if not any(inside):  # no wrapper, or a page that it does not describe
-        own = [any(is_main(x) for x in labels) for labels, *_ in blocks]
-        inside = own if any(own) else [p not in (rule["fixed"] if rule else ()) for p in paths]
-    out = (" ".join(entities.unescape(text).split()) for keep, (_, furniture, text, _) in zip(inside, blocks, strict=True) if keep and not furniture)
+    known = {labels: place(labels, rule or {}) for labels in {b[0] for b in blocks}}
+    inside = [known[labels][0] for labels, *_ in blocks]
+    if 2 in inside:
+        inside = [m == 2 for m in inside]
+    elif not any(inside):  # no wrapper, or a page that it does not describe
+        inside = [any(is_main(x) for x in labels) for labels, *_ in blocks]
+    article = any(inside)
+    read = [(known[labels][1], text) for keep, (labels, furniture, text, _) in zip(inside, blocks, strict=True) if (keep or not article) and not furniture]
+    left = [text for fixed, text in read if not fixed or digest(text) not in fixed]
+    if article and 2 * sum(map(len, left)) < sum(len(text) for _, text in read):
+        left = [text for _, text in read]  # what is most of an article is no template in it
+    out = (" ".join(entities.unescape(text).split()) for text in left)
     return "\n".join(t for t in out if t)
 
 
@@ -302,7 +377,7 @@ def host_rules(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [json.dumps(rules(json.loads(w), n)) for w, n in zip(batch["wrapper"], batch["pages"], strict=True)]
+            made = [json.dumps(rules(json.loads(w))) for w in batch["wrapper"]]
             yield pd.DataFrame({"host": batch["host"], "rule": made})
 
     return found.mapInPandas(run, "host string, rule string")

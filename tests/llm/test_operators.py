@@ -251,6 +251,29 @@ def test_template_text_goes_where_no_article_is(spark):
     assert sorted(r.text for r in found) == [f"body {i}" for i in range(5)]
 
 
+def test_template_text_goes_inside_and_beside_articles(spark):
+    body = "<p>story {0} about many things</p><p>second part {0} of it</p>"
+    notice = "<section>Our house rules apply</section>"
+    pages = [(i, "http://a.example/", "<body><article>" + body.format(i) + (notice if i % 2 else "") + "<p>Read our letter</p></article></body>") for i in range(10)]
+    pages += [(50 + i, "http://b.example/", f"<body><p>Motto</p><div>plain {i}</div></body>") for i in range(5)] + [(60, "http://b.example/", "<body><div class='post'>a post</div></body>")]
+    pages += [(70 + i, "http://copies.example/", "<body><article><h1>Same</h1><p>copy</p></article></body>") for i in range(9)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"story {i} about many things\nsecond part {i} of it" for i in range(10))
+    assert [found[50 + i] for i in range(5)] == [f"plain {i}" for i in range(5)] and found[60] == "a post"
+    assert all(found[70 + i] == "Same\ncopy" for i in range(9))
+
+
+def test_wrappers_fold_wide_levels_and_lose_nothing():
+    many = "".join(f"<div class='k{chr(97 + i // 26)}{chr(97 + i % 26)}'>{{}} {i}</div>" for i in range(400))
+    pages = ["<body>" + many.replace("{}", str(n)) + "<section>fixed</section></body>" for n in range(6)]
+    wrapper = html.page_tree(html.read_page(pages[0]))
+    for page in pages[1:]:
+        wrapper = html.merge(wrapper, html.page_tree(html.read_page(page)))
+    level = wrapper[4][0][4]
+    assert len(level) == html.WIDTH and level[-1][:2] == [html.FOLDED, True] and level[-1][3] is True
+    assert len(html.main_text(pages[0], html.rules(wrapper)).split("\n")) == 401
+
+
 def test_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((40, 24))
