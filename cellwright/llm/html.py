@@ -13,7 +13,9 @@ rules, block by block.
 The article is what an ``article`` or ``main`` element (or a container named like one) holds;
 on pages without any, everything but furniture.  Template text goes in both cases, also where
 it is optional, unless it is most of an article.  Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments go by element or by name.
+sidebars, notices, adverts, forms, scripts, styles and comments go by element or by name; in
+an article a name alone drops nothing, the host's wrapper must show that the element is
+template or a group of its own.  Text of inline elements goes there only if it is hidden.
 
 Inference merges on the map side, then over salted groups of at most ``FAN_IN`` partial
 wrappers, level by level, so no host's pages ever meet in one task.  Wrappers of all hosts are
@@ -29,7 +31,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -50,9 +52,17 @@ ITEM_PAGES = 8
 WIDTH = 256
 FOLDED = "*"
 
-RAW = frozenset("script style noscript template iframe svg canvas object math textarea title head".split())
+#: Elements whose text is no markup: without an end they take the rest of the page.
+RAW = frozenset("script style title textarea".split())
+#: Elements that go with all they hold; without an end only their start tag goes (and what svg draws).
+REPLACED = frozenset("noscript template iframe svg canvas object".split())
+#: What may stand in a head; anything else closes it.
+HEAD = frozenset("html head base basefont bgsound link meta noscript script style template title".split())
+#: Elements of HTML that end an svg element left open.
+BREAKOUT = re.compile(r"<(?:/?(?:article|body|div|main|section)|address|aside|b|blockquote|br|center|code|dd|dl|dt|em|figure|footer|form|h[1-6]|header|hr|i|img|li|nav|ol|p|pre|small|span|strong|table|ul)[\s/>]|</(?:p|li|td|tr|table|ul|ol)[\s>]", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = frozenset("math annotation annotation-xml menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 FURNITURE = frozenset("nav header footer aside form button select option dialog menu fieldset datalist input".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner banners nav navbar navigation menu "
@@ -61,6 +71,8 @@ FURNITURE_WORDS = frozenset(
     "comment comments reply replies discussion disqus respond pagination pager toolbar copyright legal hidden skip feedback".split()
 )
 MAIN_WORDS = frozenset("article content post entry story main maincontent articlebody".split())
+#: Labels whose repetition says nothing against an article.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote br hr dt dd td th tr".split())
 #: Elements whose end may be left out, and what ends them.
 IMPLIED = {
     "p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
@@ -70,27 +82,31 @@ IMPLIED = {
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORDS = re.compile(r"[a-z]+")
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def label_of(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's label, and whether it is furniture by its name or hidden."""
+def label_of(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """An element's label, whether it is furniture by its tag or hidden, and whether by a word of its names."""
     if not attributes or attributes.isspace():
-        return tag, tag in FURNITURE
+        return tag, tag in FURNITURE, False
     words: list[str] = []
     hidden = False
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values).lower(), name.lower()
-        if name == "style":
-            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-        elif name == "hidden":
-            hidden = True
-        elif name == "aria-hidden":
-            hidden |= value == "true"
-        else:
+        if name in ("class", "id", "role"):
             words += WORDS.findall(value)
+        else:
+            hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and bool(HIDING.search(value))
     words = sorted(set(words))
-    furniture = tag in FURNITURE or hidden or not FURNITURE_WORDS.isdisjoint(words)
-    return ".".join([tag, *words]), furniture and tag not in ("body", "html", "article", "main") or hidden or tag == "article" and "comment" in words
+    return ".".join([tag, *words]), tag in FURNITURE or hidden or tag == "article" and "comment" in words, by_word(tag, words)
+
+
+def hidden_by(attributes: str) -> bool:
+    return label_of("", attributes)[1]
+
+
+def by_word(tag: str, words: Iterable[str]) -> bool:
+    return tag not in ("body", "html", "article", "main") and not FURNITURE_WORDS.isdisjoint(words)
 
 
 def is_main(label: str) -> bool:
@@ -102,7 +118,10 @@ Block = tuple[tuple[str, ...], bool, str, tuple[int, ...]]
 
 
 def read_page(page: str | None) -> list[Block]:
-    """The blocks of a page in order: labels of the open elements, furniture or not, raw text, numbers of the elements."""
+    """The blocks of a page in order: labels of the open elements, furniture or not, raw text, numbers of the elements.
+
+    In article containers a word in an element's names does not make it furniture here; see ``rules``.
+    """
     blocks: list[Block] = []
     if not page:
         return blocks
@@ -112,7 +131,24 @@ def read_page(page: str | None) -> list[Block]:
     dropped: list[bool] = []
     inline_dropped: list[str] = []
     run: list[str] = []
-    at, skip = 0, None
+    at, skip, until = 0, None, 0
+    ends: dict[str, dict[int, int]] = {}  # of replaced elements, by where their content starts
+
+    def end_of(tag: str, start: int) -> int | None:
+        if tag not in ends:
+            opened, ends[tag] = [], {}
+            for x in re.finditer(rf"<(/?){tag}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", page, re.I):
+                if not x[1]:
+                    if not x[0].endswith("/>"):
+                        opened.append(x.end())
+                elif opened:
+                    ends[tag][opened.pop()] = x.end()
+        return ends[tag].get(start)
+
+    def leave_head() -> None:
+        flush()
+        for open_elements in (tags, labels, numbers, dropped):
+            open_elements.pop()
 
     def flush() -> None:
         if run:
@@ -127,7 +163,11 @@ def read_page(page: str | None) -> list[Block]:
                 continue
             skip, at = None, found.end()
             continue
+        if found.start() < until:  # inside a replaced element
+            continue
         if found.start() > at and not inline_dropped:
+            if tags and tags[-1] == "head" and not page[at : found.start()].isspace():
+                leave_head()
             run.append(page[at : found.start()])
         at = found.end()
         if found[2] is None:
@@ -148,6 +188,16 @@ def read_page(page: str | None) -> list[Block]:
             else:
                 flush()
             continue
+        if tags and tags[-1] == "head" and tag not in HEAD:
+            leave_head()
+        if tag in REPLACED:
+            if not found[3].endswith("/"):
+                end = end_of(tag, at)
+                if end is None and tag == "svg":
+                    shown = BREAKOUT.search(page, at)
+                    end = shown.start() if shown else len(page)
+                at = until = at if end is None else end
+            continue
         if tag in RAW:
             if not found[3].endswith("/"):
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
@@ -160,8 +210,12 @@ def read_page(page: str | None) -> list[Block]:
         if tag in INLINE:
             if tag in ("br", "wbr", "img"):
                 run.append(" " if tag == "br" else "")
-            elif inline_dropped or label_of(tag, found[3])[1]:
+            elif inline_dropped:
                 inline_dropped.append(tag)
+            else:
+                _, furniture, worded = label_of(tag, found[3])
+                if furniture or worded and not any(map(is_main, labels)):
+                    inline_dropped.append(tag)
             continue
         flush()
         inline_dropped.clear()
@@ -172,9 +226,11 @@ def read_page(page: str | None) -> list[Block]:
             dropped.pop()
         if tag in VOID or found[3].endswith("/"):
             continue
-        label, furniture = label_of(tag, found[3])
-        if furniture and tag == "header" and any(is_main(x) for x in labels):
-            furniture = not FURNITURE_WORDS.isdisjoint(set(label.split(".")[1:]) - {"header"})
+        label, furniture, worded = label_of(tag, found[3])
+        if not any(map(is_main, labels)):
+            furniture = furniture or worded or tag == "head"
+        elif tag == "header":
+            furniture = hidden_by(found[3])
         tags.append(tag)
         labels.append(label)
         numbers.append(at)
@@ -257,6 +313,11 @@ def merge(one: list, other: list) -> list:
     return [one[0], one[1] or other[1], one[2] or other[2], text, children, items, sorted({*one[6], *other[6]})[:ITEM_PAGES]]
 
 
+def split_label(label: str) -> tuple[str, list[str]]:
+    tag, *words = label.split(".")
+    return tag, words
+
+
 def folded(children: list[list]) -> list[list]:
     """At most ``WIDTH`` children: what is beyond becomes one repeated group of unlike siblings."""
     if len(children) <= WIDTH:
@@ -273,12 +334,20 @@ def varies(node: list) -> bool:
     return node[3] is True or any(map(varies, node[4]))
 
 
+def lists(node: list) -> bool:
+    """Whether a node holds a repeated group other than plain prose."""
+    return any(c[1] and c[0] not in PROSE or lists(c) for c in node[4])
+
+
 def rules(wrapper: list) -> dict:
     """What pages need of the wrapper, as a tree of children "c" by label.
 
     "m": an outermost article container (2 by its tag, 1 by its name).  "f": digests of template
     text: of a node whose text never changes, on ``LEAST_PAGES`` different pages or more, and of
-    the items of a group that all of at least ``ITEM_PAGES`` different pages have.  A wrapper
+    the items of a group that all of at least ``ITEM_PAGES`` different pages have.
+    "x": an element in an article
+    with a furniture word that is no part of it: on ``LEAST_PAGES`` different pages or more, and
+    never changing, repeated, or holding a repeated group other than prose.  A wrapper
     without any slot, as of a host with copies of one page, says nothing about template.
     """
 
@@ -287,6 +356,8 @@ def rules(wrapper: list) -> dict:
         if not inside and is_main(node[0]):
             out["m"] = 2 if node[0].split(".")[0] in ("article", "main") else 1
             inside, template = True, varies(node)
+        elif inside and by_word(*split_label(node[0])) and len(node[6]) >= LEAST_PAGES and (template and not varies(node) or node[1] or lists(node)):
+            out["x"] = 1
         if template:
             if isinstance(node[3], str) and len(node[6]) >= LEAST_PAGES:
                 out["f"] = [node[3]]
@@ -303,14 +374,15 @@ def rules(wrapper: list) -> dict:
     return walk(wrapper, False, varies(wrapper))
 
 
-def place(labels: tuple[str, ...], rule: dict) -> tuple[int, frozenset[str]]:
-    """Of a path: whether it lies in an article container (0, 1, 2 as "m"), and its template texts."""
-    main, at = 0, rule
+def place(labels: tuple[str, ...], rule: dict) -> tuple[int, frozenset[str], bool]:
+    """Of a path: whether it lies in an article container (0, 1, 2 as "m"), its template texts, and whether it is furniture."""
+    main, at, gone = 0, rule, False
     for label in labels:
         below = at.get("c", {})
         at = below.get(label, below.get(FOLDED, {}))
         main = main or at.get("m", 0)
-    return main, frozenset(at.get("f", ()))
+        gone = gone or "x" in at
+    return main, frozenset(at.get("f", ())), gone
 
 
 def main_text(page: str | None, rule: dict | None) -> str:
@@ -323,7 +395,7 @@ def main_text(page: str | None, rule: dict | None) -> str:
     elif not any(inside):  # no wrapper, or a page that it does not describe
         inside = [any(is_main(x) for x in labels) for labels, *_ in blocks]
     article = any(inside)
-    read = [(known[labels][1], text) for keep, (labels, furniture, text, _) in zip(inside, blocks, strict=True) if (keep or not article) and not furniture]
+    read = [(known[labels][1], text) for keep, (labels, furniture, text, _) in zip(inside, blocks, strict=True) if (keep or not article) and not furniture and not known[labels][2]]
     left = [text for fixed, text in read if not fixed or digest(text) not in fixed]
     if article and 2 * sum(map(len, left)) < sum(len(text) for _, text in read):
         left = [text for _, text in read]  # what is most of an article is no template in it

@@ -274,6 +274,30 @@ def test_wrappers_fold_wide_levels_and_lose_nothing():
     assert len(html.main_text(pages[0], html.rules(wrapper)).split("\n")) == 401
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<head><title>x</title><body><p>all of it</body>", "all of it"),
+        ("<html><head><meta a=b><title>x</title>bare text<p>more", "bare text\nmore"),
+        ("<head><title>x</title></head><article><p>one<svg><path d=1><text>drawn<p>two</p><object data=a><p>three<iframe src=b><p>four<svg><text>t</text></svg></article>", "one\ntwo\nthree\nfour"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<noscript><p>no</noscript></article>", "so x=2 holds"),
+        ("<article><h2 id='related-work'>Related work</h2><section id='search-methods'><p>We search</p></section><div class='discussion'>We <span class='legal'>may</span></div></article>", "Related work\nWe search\nWe may"),
+        ("<article><p>a<script>never closed <p>b", "a"),
+        ("<article><header class='header'>Head</header><div hidden>x</div><p style='display:none'>y</p><p>z</article>", "Head\nz"),
+    ],
+)
+def test_no_article_text_is_dropped(page, text):
+    assert html.main_text(page, None) == text
+    assert html.main_text(page, html.rules(html.page_tree(html.read_page(page)))) == text
+
+
+def test_furniture_words_in_articles_need_the_wrapper(spark):
+    body = "<article><h1>Title {0}</h1><p>text {0} of some length</p><div class='ad'>buy this</div><div class='related'><ul><li>x {0}<li>y {0}</ul></div><div class='discussion'><p>we think {0}</p><p>so {0}</p></div></article>"
+    pages = [(i, "http://h.example/", body.format(i)) for i in range(6)]
+    found = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert all(r.text == "Title {0}\ntext {0} of some length\nwe think {0}\nso {0}".format(r.page_id) for r in found)
+
+
 def test_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((40, 24))
