@@ -177,6 +177,15 @@ def test_line_dedup_equals_brute_force(spark):
     assert lines.line_dedup(df.limit(0)).count() == 0
 
 
+def test_short_lines_and_inner_edits_are_linked(spark):
+    texts = ["Les.\n \n一行はここで終わる。\nthe quick brown fox jumps over the lazy dog near a river bank", "x\nLes. \n一行はここで終わる。\nthe quick brown fox jumps over the lazy dig near a river bank", "x\nab\nabc"]
+    found = lines.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in found} == {
+        (0, 0): (0, 0), (0, 2): (0, 2), (0, 3): (0, 3), (1, 0): (1, 0), (1, 1): (0, 0), (1, 2): (0, 2), (1, 3): (0, 3), (2, 0): (1, 0), (2, 1): (2, 1), (2, 2): (2, 2)
+    }
+    assert sum(r.kept for r in found) == 6
+
+
 def test_mixing_targets_and_limits(docs):
     found = mixing.mix(docs).collect()
     rows = corpus()
