@@ -12,8 +12,9 @@ does not depend on partitioning and no group is ever gathered; the scatter has a
 (``SCALE_FLOOR``) so constant statistics stay invertible.
 
 Defined results: null text counts as empty; null language or source form their own groups;
-groups below ``MIN_ROWS`` rows are pooled by language, then altogether, and if even that pool
-is smaller the method gives no verdict (kept).  Tied and repeated rows count as often as they
+groups below ``MIN_ROWS`` rows are pooled by language, then altogether; what even that pool
+leaves too small is judged by the estimate of all documents of its language, or if those are
+too few, of the whole table, so that every document has a distance.  Tied and repeated rows count as often as they
 occur.  An empty table gives an empty result.  Other columns of the input are left alone.
 """
 
@@ -193,25 +194,33 @@ def _medians(rows: DataFrame, prefix: str) -> DataFrame:
 
 
 def _with_groups(rows: DataFrame) -> DataFrame:
-    """Add grp: the language and source, or a pool of what is too small (null: no verdict)."""
+    """Add grp, by whose estimate a row is judged, and fits, the groups whose estimates it is part of.
+
+    grp is the language and source, or a pool of what is too small, or else the language ("4")
+    or the table ("5"), which are estimated from all their documents.
+    """
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("lang", "source"))
     rows = rows.withColumns({"g_ls": F.concat(lang, F.lit("\n"), source), "g_l": lang})
     sizes = rows.groupBy("g_ls", "g_l").agg(F.count("*").alias("k_ls"))
     small = F.when(F.col("k_ls") < MIN_ROWS, F.col("k_ls")).otherwise(0)
-    sizes = sizes.withColumn("k_l", F.sum(small).over(Window.partitionBy("g_l")))
-    grp = F.when(F.col("k_ls") >= MIN_ROWS, F.concat(F.lit("1"), "g_ls")).when(F.col("k_l") >= MIN_ROWS, F.concat(F.lit("2"), "g_l")).otherwise("3")
-    sizes = sizes.select("g_ls", grp.alias("grp"), "k_ls")
-    pool = sizes.groupBy("grp").agg(F.sum("k_ls").alias("k_all"))
-    sizes = _grp_join(sizes, pool)
-    sizes = sizes.select("g_ls", F.when((F.col("grp") != "3") | (F.col("k_all") >= MIN_ROWS), F.col("grp")).alias("grp"))
+    language = Window.partitionBy("g_l")
+    sizes = sizes.withColumns({"k_l": F.sum(small).over(language), "k_lang": F.sum("k_ls").over(language)})
+    own = F.when(F.col("k_ls") >= MIN_ROWS, F.concat(F.lit("1"), "g_ls")).when(F.col("k_l") >= MIN_ROWS, F.concat(F.lit("2"), "g_l")).otherwise("3")
+    sizes = sizes.select("g_ls", "g_l", own.alias("own"), "k_ls", F.when(F.col("k_lang") >= MIN_ROWS, F.concat(F.lit("4"), "g_l")).otherwise("5").alias("wide"))
+    pooled = F.col("own") == "3"
+    pool = sizes.groupBy(F.lit(1).alias("one")).agg(
+        F.coalesce(F.sum(F.when(pooled, F.col("k_ls"))), F.lit(0)).alias("k_all"), F.coalesce(F.bool_or(pooled & (F.col("wide") == "5")), F.lit(False)).alias("table")
+    )
+    sizes = sizes.withColumn("one", F.lit(1)).join(F.broadcast(pool), "one")
+    short = pooled & (F.col("k_all") < MIN_ROWS)
+    sizes = sizes.withColumn("back", F.when(short, F.col("wide")))
+    lends = F.when(F.max("back").over(language).startswith("4"), F.concat(F.lit("4"), "g_l"))
+    whole = F.when(F.col("table") & (F.col("k_all") < MIN_ROWS), F.lit("5"))
+    fits = F.array_compact(F.array(F.when(~short, F.col("own")), lends, whole))
+    sizes = sizes.select("g_ls", F.coalesce("back", "own").alias("grp"), fits.alias("fits"))
     return _salted_join(rows, sizes, "g_ls").drop("g_ls", "g_l")
 
 
-def _grp_join(sizes: DataFrame, pool: DataFrame) -> DataFrame:
-    """Both sides have one row a group at most, so this needs no salts."""
-    return sizes.join(pool, "grp")
-
-
 def _salted_join(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
     """Join per-group values to rows; each value is repeated for ``SALTS`` salts as one group may be most rows."""
     small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -221,7 +230,7 @@ def _salted_join(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
 def outlier_verdicts(rows: DataFrame) -> DataFrame:
     """Add ``outlier`` and ``distance`` to rows of doc_id, lang, source and the features."""
     rows = shared_checkpoint(_with_groups(rows))
-    used = rows.where("grp IS NOT NULL").select("grp", "doc_id", *FEATURES)
+    used = rows.select(F.explode("fits").alias("grp"), "doc_id", *FEATURES)
     centre = shared_checkpoint(_medians(used, "c"))
     around = _salted_join(used, centre, "grp")
     spread = _medians(around.select("grp", *(F.abs(F.col(f) - F.col(f"c_{f}")).alias(f) for f in FEATURES)), "d")
@@ -239,7 +248,7 @@ def outlier_verdicts(rows: DataFrame) -> DataFrame:
         distance = distance_sql()
     judged = _salted_join(rows, estimate, "grp")
     return judged.select(
-        *(c for c in rows.columns if c != "grp"),
+        *(c for c in rows.columns if c not in ("grp", "fits")),
         F.coalesce(F.expr(verdict_sql()), F.lit(False)).alias("outlier"),
         F.expr(distance).alias("distance"),
     )
@@ -249,7 +258,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """Statistics and verdict of every document.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, distance (squared, null without a verdict).  See the module docstring for edge cases.
+    kept, distance (squared).  See the module docstring for edge cases.
     """
     stats = with_features(with_statistics(docs.select("doc_id", "text", "lang", "source"))).drop("text")
     judged = outlier_verdicts(stats)

@@ -81,6 +81,16 @@ def test_quality_counts_and_outliers(spark, docs):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_quality_judges_rare_groups_and_small_tables(spark):
+    junk = " ".join(w + "%%%%%%" for w in prose(1, 80).split())
+    rows = [(i, prose(i, 80), "en", "s", 1, "k", 1, 2) for i in range(60)]
+    rows += [(900, junk, "en", "rare", 1, "k", 1, 2), (901, prose(901, 80), "en", "rare", 1, "k", 1, 2), (902, junk, None, None, 1, "k", 1, 2), (903, prose(903, 80), None, None, 1, "k", 1, 2)]
+    for some in (rows, rows[40:]):
+        found = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(some, SCHEMA)).collect()}
+        assert len(found) == len(some) and all(r.distance is not None for r in found.values())
+        assert {i for i, r in found.items() if not r.kept} == {900, 902}
+
+
 def test_chi_square():
     assert abs(quality.chi_square_quantile(0.05, 4) - 9.4877) < 1e-3 and abs(neighbours.chi_square_quantile(0.95, 8) - 15.5073) < 1e-3
 
