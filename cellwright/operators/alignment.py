@@ -6,6 +6,7 @@ grouped maps, whose groups are single regions of bounded size.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -18,8 +19,10 @@ from pyspark.sql import types as T
 
 def _doc():
     return Window.partitionBy("doc_id")
-#: Cells a side beyond which a region is reported as UNALIGNED instead of aligned.
+#: Cells a side beyond which a region is split before it is aligned; what cannot be split is UNALIGNED.
 MOST_CELLS = 2048
+#: Cells of the unique texts at which longer regions are split.
+ANCHOR_CELLS = 8
 OPCODES = "doc_id long, region long, n int, tag string, e0 int, e1 int, a0 int, a1 int"
 
 
@@ -161,19 +164,113 @@ def edit_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, i
     return [tuple(x) for x in merged]
 
 
+def _merged(ops) -> list[tuple[str, int, int, int, int]]:
+    out: list[tuple] = []
+    for op in ops:
+        if op[1] == op[2] and op[3] == op[4]:
+            continue
+        if out and out[-1][0] == op[0] and op[0] not in ("transpose", "UNALIGNED"):
+            out[-1] = (op[0], out[-1][1], op[2], out[-1][3], op[4])
+        else:
+            out.append(tuple(op))
+    return out
+
+
+def equal_width_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, int]]:
+    """J4 of one region."""
+    return _merged(("equal" if x == y else "replace", i, i + 1, i, i + 1) for i, (x, y) in enumerate(zip(expected, actual, strict=True)))
+
+
+def blank_only_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, int]]:
+    """J5 of one region: at each gap the common blanks, then the surplus."""
+    ops, e, a = [], 0, 0
+    while e < len(expected) or a < len(actual):
+        e1, a1 = (next((k for k in range(at, len(text)) if text[k] != " "), len(text)) for at, text in ((e, expected), (a, actual)))
+        both = min(e1 - e, a1 - a)
+        ops += [("equal", e, e + both, a, a + both), ("delete", e + both, e1, a + both, a + both), ("insert", e1, e1, a + both, a1)]
+        if e1 < len(expected):
+            ops.append(("equal", e1, e1 + 1, a1, a1 + 1))
+        e, a = e1 + 1, a1 + 1
+    return _merged(ops)
+
+
+def _split_points(expected: str, actual: str) -> list[tuple[int, int]]:
+    """Places of the cell n-grams that occur once on each side: the longest chain in order on both."""
+
+    def once(text: str) -> dict[str, int]:
+        at: dict[str, int] = {}
+        for k in range(len(text) - ANCHOR_CELLS + 1):
+            gram = text[k : k + ANCHOR_CELLS]
+            at[gram] = -1 if gram in at else k
+        return {gram: k for gram, k in at.items() if k >= 0}
+
+    theirs = once(actual)
+    found = [(i, theirs[gram]) for gram, i in once(expected).items() if gram in theirs]
+    found.sort()
+    tops: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for n, (_, j) in enumerate(found):
+        k = bisect_left(tops, j)
+        before.append(ends[k - 1] if k else -1)
+        tops[k:k + 1], ends[k:k + 1] = [j], [n]
+    chain, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        chain.append(found[n])
+        n = before[n]
+    return chain[::-1]
+
+
+def split_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, int]]:
+    """J7 of a region of any size: beyond ``MOST_CELLS`` split at unique n-grams; only a piece that is still longer is UNALIGNED."""
+    if max(len(expected), len(actual)) <= MOST_CELLS:
+        return edit_opcodes(expected, actual)
+    ops, e, a = [], 0, 0
+
+    def piece(i: int, j: int) -> None:
+        if max(i - e, j - a) > MOST_CELLS:
+            ops.append(("UNALIGNED", e, i, a, j))
+        else:
+            ops.extend((tag, e + e0, e + e1, a + a0, a + a1) for tag, e0, e1, a0, a1 in edit_opcodes(expected[e:i], actual[a:j]))
+
+    for i, j in _split_points(expected, actual):
+        end = i + ANCHOR_CELLS, j + ANCHOR_CELLS
+        if i >= e and j >= a:
+            piece(i, j)
+            ops.append(("equal", i, end[0], j, end[1]))
+        elif i - e == j - a:  # goes on from the anchor before
+            ops.append(("equal", e, end[0], a, end[1]))
+        else:
+            continue
+        e, a = end
+    piece(len(expected), len(actual))
+    return _merged(ops)
+
+
+def region_opcodes(path: str, expected: str, actual: str) -> list[tuple[str, int, int, int, int]]:
+    """Long regions by the exact way of their path, whatever their size; others by J7."""
+    if max(len(expected), len(actual)) > MOST_CELLS and path in ("blank_only", "equal_width"):
+        return (blank_only_opcodes if path == "blank_only" else equal_width_opcodes)(expected, actual)
+    return split_opcodes(expected, actual)
+
+
 def align_bounded(pairs: DataFrame) -> DataFrame:
-    """Opcodes of regions (doc_id, region, text, other), each bounded by ``MOST_CELLS``."""
+    """Opcodes of regions (doc_id, region, text, other), in steps bounded by ``MOST_CELLS``.
+
+    With a column path (J6), long blank-only and equal-width regions take their exact way.
+    """
+    pairs = pairs if "path" in pairs.columns else pairs.withColumn("path", F.lit("matching"))
 
     def run(batches):
         for batch in batches:
             out = [
                 (r.doc_id, r.region, n, *op)
                 for r in batch.itertuples()
-                for n, op in enumerate(edit_opcodes(r.text, r.other) if max(len(r.text), len(r.other)) <= MOST_CELLS else [("UNALIGNED", 0, len(r.text), 0, len(r.other))])
+                for n, op in enumerate(region_opcodes(r.path, r.text, r.other))
             ]
             yield pd.DataFrame(out, columns=["doc_id", "region", "n", "tag", "e0", "e1", "a0", "a1"])
 
-    return pairs.select("doc_id", "region", "text", "other").mapInPandas(run, OPCODES)
+    return pairs.select("doc_id", "region", "text", "other", "path").mapInPandas(run, OPCODES)
 
 
 def align_cells(pairs: DataFrame) -> DataFrame:

@@ -128,6 +128,24 @@ def test_long_regions_are_reported_not_dropped(spark):
     assert [r.tag for r in alignment.align_cells(df).collect()] == ["UNALIGNED"]
 
 
+def test_long_regions_take_exact_ways_or_are_split(spark):
+    text = " ".join(f"word{i}" for i in range(600))
+    others = [text.replace("word77 ", "word77  "), text.replace("word77 ", "wordxx "), "z" + text.replace("word300 ", ""), text[:2500] + "q" * 3000 + text[2500:]]
+    df = spark.createDataFrame([(1, n, text, other) for n, other in enumerate(others)], "doc_id long, region long, text string, other string")
+    rows = alignment.align_cells(df).orderBy("region", "n").collect()
+    ops = [[(r.tag, r.e1 - r.e0, r.a1 - r.a0) for r in rows if r.region == n] for n in range(4)]
+    n = len(text)
+    at = text.index("word77 ")
+    assert ops[0] == [("equal", at + 7, at + 7), ("insert", 0, 1), ("equal", n - at - 7, n - at - 7)]
+    assert ops[1] == [("equal", at + 4, at + 4), ("replace", 2, 2), ("equal", n - at - 6, n - at - 6)]
+    assert sum(e for t, e, _ in ops[2] if t == "delete") == 8 and ops[2][0] == ("insert", 0, 1) and {t for t, *_ in ops[2]} == {"insert", "equal", "delete"}
+    assert [t for t, *_ in ops[3]].count("UNALIGNED") == 1 and sum(e for t, e, _ in ops[3] if t == "equal") > n - 20
+    for n, other in enumerate(others):
+        mine = [r for r in rows if r.region == n]
+        assert "".join(text[r.e0 : r.e1] for r in mine) == text and "".join(other[r.a0 : r.a1] for r in mine) == other
+        assert all(text[r.e0 : r.e1] == other[r.a0 : r.a1] for r in mine if r.tag == "equal")
+
+
 def test_assignment_is_one_to_one_and_flags_ties(spark):
     muts = spark.createDataFrame([(1, 1, m, s) for m, s in (("A", 5), ("B", 6), ("C", 90))], "doc_id long, page_no int, mut_id string, start long")
     cands = spark.createDataFrame([(1, 1, "A", "F", 5, 9), (1, 1, "B", "F", 6, 9), (1, 1, "B", "G", 6, 1), (1, 1, "B", "H", 6, 1)], "doc_id long, page_no int, mut_id string, find_id string, start long, score long")
