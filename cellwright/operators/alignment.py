@@ -282,6 +282,12 @@ def align_cells(pairs: DataFrame) -> DataFrame:
     return same.unionByName(align_bounded(placed.where("path <> 'identical'")))
 
 
+@F.pandas_udf(T.IntegerType())
+def matching_characters(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Characters in the matching blocks of two texts."""
+    return pd.Series([sum(m.size for m in SequenceMatcher(None, x, y, False).get_matching_blocks()) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
 def _spans(pages: DataFrame, side: str, most: int) -> DataFrame:
     """Runs of 1 to ``most`` consecutive pages: first, width, joined text and share of the document before."""
     own = _doc().orderBy("page_no")
@@ -306,8 +312,9 @@ def match_page_regions(exp: DataFrame, act: DataFrame, band: float = 0.12, most:
 
     Documents whose page counts agree and whose pages differ in size by at most a quarter (or
     20 cells) pair page by page.  For the others candidates come from an equi-join on bands of
-    the cumulative share and are scored in parallel by the words that both sides have; only
-    the path is picked document by document, over one short row a candidate.
+    the cumulative share and are scored in parallel by their matching blocks; only
+    the path is picked document by document, over one short row a candidate.  A document
+    without a path is one region, with nulls for a side that it is not on.
     """
     stable = _stable_documents(exp, act)
     paired = exp.join(stable, "doc_id").select("doc_id", *(F.col("page_no").alias(c) for c in ("e_first", "e_last", "a_first", "a_last")))
@@ -316,12 +323,12 @@ def match_page_regions(exp: DataFrame, act: DataFrame, band: float = 0.12, most:
     a = a.withColumn("band", F.floor(F.col("eat") / band))
     b = b.withColumn("band", F.explode(F.array(*(F.floor(F.col("aat") / band) + k for k in (-1, 0, 1)))))
     pairs = a.join(b, ["doc_id", "band"]).where(F.abs(F.col("eat") - F.col("aat")) <= band)
-    common = F.array_intersect(F.split("et", " "), F.split("at", " "))
-    match = F.aggregate(common, F.lit(0), lambda n, w: n + F.length(w) + 1)
+    pairs = pairs.withColumn("match", matching_characters("et", "at"))
+    match = F.col("match")
     score = match - 0.5 * (F.length("et") + F.length("at") - 2 * match) - 5 * (F.col("ew") + F.col("aw") - 2)
     cands = pairs.select("doc_id", "e0", "ew", "elast", "a0", "aw", "alast", score.alias("score"))
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+    def pick(whole: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(1, 1): (0.0, None)}
         for r in rows.sort_values(["e0", "a0", "ew", "aw"]).itertuples():
             start = best.get((r.e0, r.a0))
@@ -329,15 +336,19 @@ def match_page_regions(exp: DataFrame, act: DataFrame, band: float = 0.12, most:
                 end, total = (r.e0 + r.ew, r.a0 + r.aw), start[0] + r.score
                 if end not in best or total > best[end][0]:
                     best[end] = (total, (r.e0, r.a0))
-        at, out = (int(rows["elast"].iloc[0]) + 1, int(rows["alast"].iloc[0]) + 1), []
+        columns = ["doc_id", "e_first", "e_last", "a_first", "a_last"]
+        fallback = tuple(None if pd.isna(x) else int(x) for x in whole[columns].iloc[0])
+        at, out = (int(rows["elast"].iloc[0]) + 1, int(rows["alast"].iloc[0]) + 1) if len(rows) else None, []
         while at in best and best[at][1] is not None:
             before = best[at][1]
             out.append((rows["doc_id"].iloc[0], before[0], at[0] - 1, before[1], at[1] - 1))
             at = before
-        return pd.DataFrame(out[::-1], columns=["doc_id", "e_first", "e_last", "a_first", "a_last"])
+        return pd.DataFrame(out[::-1] or [fallback], columns=columns, dtype=object)
 
+    extent = lambda side, c: side.groupBy("doc_id").agg(F.min("page_no").alias(f"{c}_first"), F.max("page_no").alias(f"{c}_last"))
+    whole = extent(exp, "e").join(extent(act, "a"), "doc_id", "full")
     schema = "doc_id long, e_first int, e_last int, a_first int, a_last int"
-    return paired.unionByName(cands.groupBy("doc_id").applyInPandas(pick, schema))
+    return paired.unionByName(whole.groupBy("doc_id").cogroup(cands.groupBy("doc_id")).applyInPandas(pick, schema))
 
 
 def assign_blocks_to_lines(blocks: DataFrame, lines: DataFrame, most: int = 3) -> DataFrame:

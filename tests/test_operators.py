@@ -104,6 +104,16 @@ def test_page_regions_join_a_page_that_was_split(spark):
     assert sorted(tuple(r)[1:] for r in alignment.match_page_regions(exp, act, band=0.5).collect()) == [(1, 1, 1, 2), (2, 2, 3, 3)]
 
 
+def test_page_regions_keep_order_and_whole_documents(spark):
+    schema = "doc_id long, page_no int, text string"
+    exp = spark.createDataFrame([(1, 1, "a b c d e f g h"), (2, 1, "only here"), (2, 2, "too")] + [(4, 1, "one page " * 9)], schema)
+    act = spark.createDataFrame([(1, 1, "a b c d"), (1, 2, "e f g h"), (3, 1, "only there")] + [(4, p, "one page") for p in range(1, 10)], schema)
+    found = {tuple(r) for r in alignment.match_page_regions(exp, act, band=0.6).collect()}
+    assert found == {(1, 1, 1, 1, 2), (2, 1, 2, None, None), (3, None, None, 1, 1), (4, 1, 1, 1, 9)}
+    pair = spark.createDataFrame([("ab cd ab ab", "ab cd ab ab"), ("one two three", "three two one")], "a string, b string")
+    assert [r[0] for r in pair.select(alignment.matching_characters("a", "b")).collect()] == [11, 7]
+
+
 def test_blocks_get_their_lines(spark):
     blocks = spark.createDataFrame([(1, 1, 0, "x" * 20), (1, 1, 1, "y" * 10)], "doc_id long, region int, n int, text string")
     rows = spark.createDataFrame([(1, 1, i, "z" * 10) for i in range(3)], "doc_id long, region int, n int, text string")
