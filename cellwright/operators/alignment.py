@@ -1,12 +1,15 @@
 """Alignment of expected with actual: anchors, slices, cells, pages and words.
 
-Exact, blank-only and equal-width regions stay in native plans; only what is left goes to
-grouped maps, whose groups are single regions of bounded size.
+Identical regions stay in native plans; the others go through Arrow one region at a time.  Long
+regions are split at unique n-grams, and what is still long at the middle of a cheapest path,
+so every region is aligned in bounded steps, whatever its length.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -15,17 +18,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-
-def _doc():
-    return Window.partitionBy("doc_id")
-#: Cells a side beyond which a region is split before it is aligned; what cannot be split is UNALIGNED.
+#: Cells a side beyond which a region is split before it is aligned.
 MOST_CELLS = 2048
 #: Cells of the unique texts at which longer regions are split.
 ANCHOR_CELLS = 8
 OPCODES = "doc_id long, region long, n int, tag string, e0 int, e1 int, a0 int, a1 int"
 
 
+def _doc():
+    return Window.partitionBy("doc_id")
+
+
 def unique_anchors(exp: DataFrame, act: DataFrame) -> DataFrame:
     """(doc_id, i, j) of texts that occur once on each side."""
 
@@ -38,21 +41,31 @@ def unique_anchors(exp: DataFrame, act: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching ratio of two short texts."""
-    return pd.Series([SequenceMatcher(None, x, y, False).ratio() for x, y in zip(a, b, strict=True)])
+def similarity(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Matching ratio of two short texts; below ``least`` an upper bound of it may stand instead."""
+
+    def ratio(x: str, y: str, bound: float) -> float:
+        matcher = SequenceMatcher(None, x, y, False)
+        most = matcher.quick_ratio()
+        return most if most < bound else matcher.ratio()
+
+    return pd.Series([ratio(x, y, bound) for x, y, bound in zip(a, b, least, strict=True)])
 
 
 def heading_anchors(exp: DataFrame, act: DataFrame, least: float = 0.85) -> DataFrame:
     """Greedy one-to-one pairs of headings by ratio, and unmatched ones with a null partner.
 
-    Candidates are cut by length (2·min/(a+b) bounds the ratio) and by a shared word.
+    Candidates are a document's headings of about equal length: 2·min/(a+b) bounds the ratio, so
+    lengths differ by less than a factor, and an equi-join on bands of the length's logarithm,
+    neighbours included, meets all of them.
     """
-    a = exp.select("doc_id", F.col("seq").alias("i"), F.col("text").alias("ta"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
-    b = act.select("doc_id", F.col("seq").alias("j"), F.col("text").alias("tb"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
+    factor = math.log((2 - least) / least)
+    band = F.floor(F.log(F.greatest(F.length("text"), F.lit(1)).cast("double")) / factor)
+    a = exp.select("doc_id", F.col("seq").alias("i"), F.col("text").alias("ta"), band.alias("band"))
+    b = act.select("doc_id", F.col("seq").alias("j"), F.col("text").alias("tb"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
     bound = 2 * F.least(F.length("ta"), F.length("tb")) / (F.length("ta") + F.length("tb"))
-    pairs = a.join(b, ["doc_id", "w"]).where(bound >= least).select("doc_id", "i", "j", "ta", "tb").distinct()
-    scored = pairs.withColumn("ratio", similarity("ta", "tb")).where(F.col("ratio") >= least).select("doc_id", "i", "j", "ratio")
+    pairs = a.join(b, ["doc_id", "band"]).where(bound >= least).select("doc_id", "i", "j", "ta", "tb")
+    scored = pairs.withColumn("ratio", similarity("ta", "tb", F.lit(least))).where(F.col("ratio") >= least).select("doc_id", "i", "j", "ratio")
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         left, right, out = set(), set(), []
@@ -113,55 +126,87 @@ def align_blank_only(exp: DataFrame, act: DataFrame) -> DataFrame:
 
 
 def alignment_path(pairs: DataFrame) -> DataFrame:
-    """Which plan a region (doc_id, region, text, other) takes: identical, blank_only, equal_width, matching or UNALIGNED."""
+    """Which way a region (doc_id, region, text, other) takes: identical, blank_only or matching."""
     bare = lambda c: F.translate(c, " ", "")
-    path = (
-        F.when(F.col("text") == F.col("other"), "identical").when(bare("text") == bare("other"), "blank_only")
-        .when(F.length("text") == F.length("other"), "equal_width")
-        .when(F.greatest(F.length("text"), F.length("other")) > MOST_CELLS, "UNALIGNED").otherwise("matching")
-    )
+    path = F.when(F.col("text") == F.col("other"), "identical").when(bare("text") == bare("other"), "blank_only").otherwise("matching")
     return pairs.withColumn("path", path)
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.array([ord(c) for c in text], np.int64)
+
+
+def _cost_rows(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of the edit costs of all prefixes, adjacent swaps at one, row by row of ``a``."""
+    ramp = np.arange(len(b) + 1, dtype=np.int64)
+    before, row = None, ramp
+    yield row
+    for i in range(1, len(a) + 1):
+        new = np.empty_like(ramp)
+        new[0] = i
+        new[1:] = np.minimum(row[:-1] + (b != a[i - 1]), row[1:] + 1)
+        if before is not None and len(b) > 1:
+            swap = (b[1:] == a[i - 2]) & (b[:-1] == a[i - 1])
+            new[2:] = np.where(swap, np.minimum(new[2:], before[:-2] + 1), new[2:])
+        before, row = row, np.minimum.accumulate(new - ramp) + ramp  # insertions run to the right
+        yield row
+
+
 def edit_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, int]]:
-    """Minimum edits with adjacent swaps (optimal string alignment), as merged opcodes.
+    """Minimum edits with adjacent swaps at one, as merged opcodes; a swap is a replaced pair.
 
-    Ties: a match or substitution before a swap, a swap before a deletion, a deletion before
-    an insertion, read from the end; so an insertion among equal cells takes the first slot.
+    Where several cheapest ways go on from a place, taken are in this order: an inserted cell
+    before an equal one of a run; a deleted cell before a run that then stands between it and
+    a substitution; an equal cell; a swap; a substitution; a deletion; an insertion.
     """
     n, m = len(expected), len(actual)
-    a, b = np.array([ord(c) for c in expected]), np.array([ord(c) for c in actual])
-    cost = np.zeros((n + 1, m + 1), np.int32)
-    cost[0] = np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.empty(m + 1, np.int32)
-        row[0] = i
-        row[1:] = np.minimum(cost[i - 1, :-1] + (b != a[i - 1]), cost[i - 1, 1:] + 1)
-        if i > 1 and m > 1:
-            swap = (b[1:] == a[i - 2]) & (b[:-1] == a[i - 1])
-            row[2:] = np.where(swap, np.minimum(row[2:], cost[i - 2, :-2] + 1), row[2:])
-        cost[i] = np.minimum.accumulate(row - np.arange(m + 1)) + np.arange(m + 1)  # insertions run to the right
-    steps, i, j = [], n, m
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            steps.append(("equal" if a[i - 1] == b[j - 1] else "replace", i - 1, i, j - 1, j))
-            i, j = i - 1, j - 1
-        elif i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] and cost[i, j] == cost[i - 2, j - 2] + 1:
-            steps.append(("transpose", i - 2, i, j - 2, j))
-            i, j = i - 2, j - 2
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            steps.append(("delete", i - 1, i, j, j))
-            i -= 1
+    a, b = _codes(expected), _codes(actual)
+    left = np.stack(list(_cost_rows(a[::-1], b[::-1])))[::-1, ::-1]  # cost of what remains from each place
+    ops: list[tuple] = []
+    i = j = 0
+
+    def run_end(text: str, at: int, cell: str) -> int:
+        while at < len(text) and text[at] == cell:
+            at += 1
+        return at
+
+    def stands_between() -> bool:
+        e, c = run_end(expected, i, expected[i]), run_end(actual, j, expected[i])
+        return e - i == c - j + 1 and e < n and c < m and left[e, c] == 1 + left[e + 1, c + 1]
+
+    while i < n or j < m:
+        here = left[i, j]
+        same = i < n and j < m and expected[i] == actual[j]
+        if same and j + 1 < m and actual[j + 1] == actual[j] and here == 1 + left[i, j + 1]:
+            tag, di, dj = "insert", 0, 1
+        elif same and i + 1 < n and expected[i + 1] == expected[i] and here == 1 + left[i + 1, j] and stands_between():
+            tag, di, dj = "delete", 1, 0
+        elif same and here == left[i + 1, j + 1]:
+            tag, di, dj = "equal", 1, 1
+        elif i + 1 < n and j + 1 < m and expected[i : i + 2] == actual[j + 1] + actual[j] and here == 1 + left[i + 2, j + 2]:
+            tag, di, dj = "replace", 2, 2
+        elif i < n and j < m and here == 1 + left[i + 1, j + 1]:
+            tag, di, dj = "replace", 1, 1
+        elif i < n and here == 1 + left[i + 1, j]:
+            tag, di, dj = "delete", 1, 0
         else:
-            steps.append(("insert", i, i, j - 1, j))
-            j -= 1
-    merged: list[list] = []
-    for tag, e0, e1, a0, a1 in reversed(steps):
-        if merged and merged[-1][0] == tag and tag != "transpose":
-            merged[-1][2], merged[-1][4] = e1, a1
-        else:
-            merged.append([tag, e0, e1, a0, a1])
-    return [tuple(x) for x in merged]
+            tag, di, dj = "insert", 0, 1
+        ops.append((tag, i, i + di, j, j + dj))
+        i, j = i + di, j + dj
+    return _merged(ops)
+
+
+def halved(expected: str, actual: str) -> tuple[int, int]:
+    """A place that a cheapest path passes, at the middle of the longer side, from two rows of costs."""
+    if len(actual) > len(expected):
+        j, i = halved(actual, expected)
+        return i, j
+    i = len(expected) // 2
+    for down in _cost_rows(_codes(expected[:i]), _codes(actual)):
+        pass
+    for up in _cost_rows(_codes(expected[i:])[::-1], _codes(actual)[::-1]):
+        pass
+    return i, int(np.argmin(down + up[::-1]))
 
 
 def _merged(ops) -> list[tuple[str, int, int, int, int]]:
@@ -169,18 +214,13 @@ def _merged(ops) -> list[tuple[str, int, int, int, int]]:
     for op in ops:
         if op[1] == op[2] and op[3] == op[4]:
             continue
-        if out and out[-1][0] == op[0] and op[0] not in ("transpose", "UNALIGNED"):
+        if out and out[-1][0] == op[0]:
             out[-1] = (op[0], out[-1][1], op[2], out[-1][3], op[4])
         else:
             out.append(tuple(op))
     return out
 
 
-def equal_width_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, int]]:
-    """J4 of one region."""
-    return _merged(("equal" if x == y else "replace", i, i + 1, i, i + 1) for i, (x, y) in enumerate(zip(expected, actual, strict=True)))
-
-
 def blank_only_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, int]]:
     """J5 of one region: at each gap the common blanks, then the surplus."""
     ops, e, a = [], 0, 0
@@ -221,45 +261,48 @@ def _split_points(expected: str, actual: str) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def split_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, int]]:
-    """J7 of a region of any size: beyond ``MOST_CELLS`` split at unique n-grams; only a piece that is still longer is UNALIGNED."""
-    if max(len(expected), len(actual)) <= MOST_CELLS:
-        return edit_opcodes(expected, actual)
-    ops, e, a = [], 0, 0
+def matching_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, int]]:
+    """By longest matching blocks."""
+    return SequenceMatcher(None, expected, actual, False).get_opcodes()
 
-    def piece(i: int, j: int) -> None:
-        if max(i - e, j - a) > MOST_CELLS:
-            ops.append(("UNALIGNED", e, i, a, j))
-        else:
-            ops.extend((tag, e + e0, e + e1, a + a0, a + a1) for tag, e0, e1, a0, a1 in edit_opcodes(expected[e:i], actual[a:j]))
 
-    for i, j in _split_points(expected, actual):
+def split_opcodes(expected: str, actual: str, align=edit_opcodes) -> list[tuple[str, int, int, int, int]]:
+    """Opcodes of a region of any size: beyond ``MOST_CELLS`` split at unique n-grams, then in halves of a cheapest path."""
+    ops: list[tuple] = []
+
+    def piece(e: int, i: int, a: int, j: int) -> None:
+        if max(i - e, j - a) <= MOST_CELLS:
+            ops.extend((tag, e + e0, e + e1, a + a0, a + a1) for tag, e0, e1, a0, a1 in align(expected[e:i], actual[a:j]))
+            return
+        x, y = halved(expected[e:i], actual[a:j])
+        piece(e, e + x, a, a + y)
+        piece(e + x, i, a + y, j)
+
+    e = a = 0
+    for i, j in _split_points(expected, actual) if max(len(expected), len(actual)) > MOST_CELLS else []:
         end = i + ANCHOR_CELLS, j + ANCHOR_CELLS
         if i >= e and j >= a:
-            piece(i, j)
+            piece(e, i, a, j)
             ops.append(("equal", i, end[0], j, end[1]))
         elif i - e == j - a:  # goes on from the anchor before
             ops.append(("equal", e, end[0], a, end[1]))
         else:
             continue
         e, a = end
-    piece(len(expected), len(actual))
+    piece(e, len(expected), a, len(actual))
     return _merged(ops)
 
 
 def region_opcodes(path: str, expected: str, actual: str) -> list[tuple[str, int, int, int, int]]:
-    """Long regions by the exact way of their path, whatever their size; others by J7."""
-    if max(len(expected), len(actual)) > MOST_CELLS and path in ("blank_only", "equal_width"):
-        return (blank_only_opcodes if path == "blank_only" else equal_width_opcodes)(expected, actual)
-    return split_opcodes(expected, actual)
+    """Opcodes of one region by its way: J5, J6's matching blocks, or J7's minimum edits."""
+    if path == "blank_only":
+        return blank_only_opcodes(expected, actual)
+    return split_opcodes(expected, actual, matching_opcodes if path == "matching" else edit_opcodes)
 
 
 def align_bounded(pairs: DataFrame) -> DataFrame:
-    """Opcodes of regions (doc_id, region, text, other), in steps bounded by ``MOST_CELLS``.
-
-    With a column path (J6), long blank-only and equal-width regions take their exact way.
-    """
-    pairs = pairs if "path" in pairs.columns else pairs.withColumn("path", F.lit("matching"))
+    """Opcodes of regions (doc_id, region, text, other) by minimum edits, or by their column path."""
+    pairs = pairs if "path" in pairs.columns else pairs.withColumn("path", F.lit("edits"))
 
     def run(batches):
         for batch in batches:
@@ -351,7 +394,7 @@ def match_page_regions(exp: DataFrame, act: DataFrame, band: float = 0.12, most:
     return paired.unionByName(whole.groupBy("doc_id").cogroup(cands.groupBy("doc_id")).applyInPandas(pick, schema))
 
 
-def assign_blocks_to_lines(blocks: DataFrame, lines: DataFrame, most: int = 3) -> DataFrame:
+def assign_blocks_to_lines(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     """Consecutive lines for each block of a region, at least one, by smallest sum of length differences.
 
     ``blocks`` and ``lines`` are (doc_id, region, n, text), n from 0; a region is one page.
@@ -364,7 +407,7 @@ def assign_blocks_to_lines(blocks: DataFrame, lines: DataFrame, most: int = 3) -
         for k, size in enumerate(sizes):
             nxt: dict[int, tuple[float, list]] = {}
             for at, (total, path) in best.items():
-                widest = len(rows) if k == len(sizes) - 1 else min(len(rows), at + most)
+                widest = len(rows) - (len(sizes) - 1 - k)  # every later block gets a line
                 for end in range(at + 1, widest + 1):
                     cost = total + abs(sum(rows[at:end]) + end - at - 1 - size) + 0.01 * (end - at)
                     if end not in nxt or cost < nxt[end][0]:
@@ -380,20 +423,28 @@ def assign_blocks_to_lines(blocks: DataFrame, lines: DataFrame, most: int = 3) -
     return b.join(l, ["doc_id", "region"]).mapInPandas(run, "doc_id long, region int, block int, first_line int, last_line int")
 
 
-def page_boundaries(stream: DataFrame, pages: DataFrame, reach: int = 32, context: int = 16) -> DataFrame:
-    """Blank of the expected stream nearest in text to each actual page start, within ``reach`` cells.
+def page_boundaries(stream: DataFrame, pages: DataFrame, reach: int = 32) -> DataFrame:
+    """The blank of the expected stream where each actual page begins.
 
-    ``stream`` is (doc_id, text), ``pages`` (doc_id, page_no, start, head).  Best by the number of
-    differing cells after it, then distance, then position.
+    ``stream`` is (doc_id, text), ``pages`` (doc_id, page_no, start, tail, head) with the last cells
+    of the page before and the first ones of the page.  Of the blanks within ``reach`` cells of
+    start the best is that of the least edit cost of ``reach`` cells on either side, then the nearest, then
+    the first; without such a blank the nearest at all, with a null cost.
     """
-    base = F.expr(f"greatest(start - {reach}, 0)")
-    near = pages.join(stream, "doc_id").select("doc_id", "page_no", "start", "head", base.alias("base"), F.expr(f"substr(text, greatest(start - {reach}, 0) + 1, {2 * reach + context + 2})").alias("w"))
-    near = near.withColumn("k", F.explode(F.expr(f"sequence(0, start + {reach} - base)"))).where("substr(w, k + 1, 1) = ' '")
-    blanks = near.withColumn("at", F.col("base") + F.col("k"))
-    differs = f"filter(sequence(1, {context}), i -> substr(w, cast(k + 1 + i AS int), 1) <> substr(head, i, 1))"
-    cost = F.size(F.expr(differs))
+    joined = pages.join(stream, "doc_id")
+    base = F.greatest(F.col("start") - 2 * reach, F.lit(0))
+    before = F.length(F.substring_index(F.substring("text", F.lit(1), F.col("start")), " ", -1))
+    near = joined.select(
+        "doc_id", "page_no", "start", "tail", "head", base.alias("base"), F.expr(f"substr(text, greatest(start - {2 * reach}, 0) + 1, {4 * reach + 2})").alias("w"),
+        F.when(before < F.col("start"), F.col("start") - before - 1).alias("back"), F.expr("nullif(locate(' ', text, start + 1), 0)").alias("on"),
+    )
+    places = F.expr(f"filter(sequence(greatest(start - {reach}, 0) - base, start + {reach} - base), k -> substr(w, cast(k + 1 AS int), 1) = ' ')")
+    near = near.withColumn("k", F.explode_outer(places))
+    left, right = F.expr(f"substr(w, cast(greatest(k - {reach}, 0) + 1 AS int), cast(least(k, {reach}) AS int))"), F.expr(f"substr(w, cast(k + 2 AS int), {reach})")
+    far = F.when(F.col("on").isNull() | (F.col("start") - F.col("back") <= F.col("on") - 1 - F.col("start")), F.col("back")).otherwise(F.col("on") - 1)
+    blanks = near.withColumns({"at": F.coalesce(F.col("base") + F.col("k"), far).cast("int"), "cost": F.levenshtein(left, "tail") + F.levenshtein(right, "head")})
     order = Window.partitionBy("doc_id", "page_no").orderBy("cost", F.abs(F.col("at") - F.col("start")), "at")
-    best = blanks.withColumn("cost", cost).withColumn("r", F.row_number().over(order)).where("r = 1")
+    best = blanks.withColumn("r", F.row_number().over(order)).where("r = 1")
     top = F.max("at").over(_doc().orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1))
     return best.withColumn("monotone", F.coalesce(F.col("at") > top, F.lit(True))).select("doc_id", "page_no", "at", "cost", "monotone")
 

@@ -46,14 +46,20 @@ def raw_runs(s, d):
     return A.project_raw(equal, index.withColumn("raw_pos", F.expr("cast(pos + pos div 10 AS int)")))
 
 
+def cell_lines(s, d):
+    """Layout lines as printed cells: characters outside the cell alphabet are one unknown cell."""
+    return layout_lines(s, d).withColumn("raw_line", F.regexp_replace("raw_line", "[^ -~]", "?"))
+
+
 def page_starts(s, d):
     own = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = layout_lines(s, d).withColumn("offset", F.coalesce(F.sum(F.length("raw_line") + 1).over(own), F.lit(0)))
-    return rows.where("line_no = 1 AND page_no > 1").select("doc_id", "page_no", F.expr("cast(greatest(offset - 1 + (doc_id + page_no) % 9 - 4, 0) AS int)").alias("start"), F.substring("raw_line", 1, 16).alias("head"))
+    rows = cell_lines(s, d).withColumns({"offset": F.coalesce(F.sum(F.length("raw_line") + 1).over(own), F.lit(0)), "tail": F.lag("raw_line").over(Window.partitionBy("doc_id").orderBy("seq"))})
+    start = F.expr("cast(greatest(offset - 1 + (doc_id + page_no) % 9 - 4, 0) AS int)").alias("start")
+    return rows.where("line_no = 1 AND page_no > 1").select("doc_id", "page_no", start, F.expr("right(tail, 32)").alias("tail"), F.substring("raw_line", 1, 32).alias("head"))
 
 
 def streams(s, d):
-    lines = layout_lines(s, d)
+    lines = cell_lines(s, d)
     ordered = F.array_sort(F.collect_list(F.struct("seq", "raw_line")))
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["raw_line"]), " ").alias("text"))
 
@@ -110,12 +116,15 @@ ORACLE_SQL = {
     "j4_align_equal_width": sql("lines", f", {RUNS} SELECT * FROM r"),
     "j5_align_blank_only": sql("lines", f""", {P}, q AS (SELECT doc_id, region, list_transform(string_split_regex(text, '[^ ]'), lambda x: length(x)) AS e, list_transform(string_split_regex(other, '[^ ]'), lambda x: length(x)) AS a FROM p WHERE replace(text, ' ', '') = replace(other, ' ', '')),
         g AS (SELECT doc_id, region, i - 1 AS rank, e[i] AS be, a[i] AS ba FROM (SELECT *, unnest(generate_series(1, len(e))) AS i FROM q)) SELECT doc_id, region, rank, least(be, ba) AS equal, greatest(be - ba, 0) AS deleted, greatest(ba - be, 0) AS inserted FROM g WHERE be + ba > 0"""),
-    "j6_alignment_path": sql("lines", f", {P} SELECT doc_id, region, CASE WHEN text = other THEN 'identical' WHEN replace(text, ' ', '') = replace(other, ' ', '') THEN 'blank_only' WHEN length(text) = length(other) THEN 'equal_width' WHEN greatest(length(text), length(other)) > 2048 THEN 'UNALIGNED' ELSE 'matching' END AS path FROM p"),
+    "j6_alignment_path": sql("lines", f", {P} SELECT doc_id, region, CASE WHEN text = other THEN 'identical' WHEN replace(text, ' ', '') = replace(other, ' ', '') THEN 'blank_only' ELSE 'matching' END AS path FROM p"),
     "j18_project_raw": sql("lines", f", {RUNS}, w AS (SELECT doc_id, region, first AS run, pos + pos // 10 AS rp FROM (SELECT *, unnest(generate_series(first, last)) AS pos FROM r WHERE tag = 'equal')) SELECT doc_id, region, run, min(rp) AS raw_first, max(rp) AS raw_last FROM (SELECT *, rp - row_number() OVER (PARTITION BY doc_id, region, run ORDER BY rp) AS island FROM w) GROUP BY doc_id, region, run, island"),
     "w7_merge_runs": sql("lines", f", {P}, c AS (SELECT doc_id, region, i - 1 AS pos, CASE WHEN substr(text, i, 1) = ' ' THEN 'blank' ELSE 'text' END AS tag FROM (SELECT *, unnest(generate_series(1, length(text))) AS i FROM p)) SELECT doc_id, region, tag, min(pos) AS first, max(pos) AS last FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, region, tag ORDER BY pos) AS island FROM c) GROUP BY doc_id, region, tag, island"),
-    "j10_page_boundaries": sql("lines", """, st AS (SELECT doc_id, string_agg(raw_line, ' ' ORDER BY seq) AS text FROM lines GROUP BY doc_id), o AS (SELECT *, coalesce(sum(length(raw_line) + 1) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM lines),
-        ps AS (SELECT doc_id, page_no, CAST(greatest(o - 1 + (doc_id + page_no) % 9 - 4, 0) AS INT) AS start, substr(raw_line, 1, 16) AS head FROM o WHERE line_no = 1 AND page_no > 1),
-        n AS (SELECT doc_id, page_no, start, head, text, unnest(generate_series(greatest(start - 32, 0), start + 32)) AS pos FROM ps JOIN st USING (doc_id)),
-        b AS (SELECT *, len(list_filter(generate_series(1, 16), lambda i: substr(text, CAST(pos + 1 + i AS INT), 1) <> substr(head, CAST(i AS INT), 1))) AS cost FROM n WHERE substr(text, pos + 1, 1) = ' '), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY cost, abs(pos - start), pos) AS r FROM b)
+    "j10_page_boundaries": sql("lines", """, cl AS (SELECT * REPLACE (regexp_replace(raw_line, '[^ -~]', '?', 'g') AS raw_line) FROM lines), st AS (SELECT doc_id, string_agg(raw_line, ' ' ORDER BY seq) AS text FROM cl GROUP BY doc_id), o AS (SELECT *, coalesce(sum(length(raw_line) + 1) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o, lag(raw_line) OVER (PARTITION BY doc_id ORDER BY seq) AS tail FROM cl),
+        ps AS (SELECT doc_id, page_no, CAST(greatest(o - 1 + (doc_id + page_no) % 9 - 4, 0) AS INT) AS start, right(tail, 32) AS tail, substr(raw_line, 1, 32) AS head, text FROM o JOIN st USING (doc_id) WHERE line_no = 1 AND page_no > 1),
+        n AS (SELECT *, unnest(generate_series(greatest(start - 32, 0), start + 32)) AS pos FROM ps),
+        b AS (SELECT doc_id, page_no, start, pos, levenshtein(substr(text, greatest(pos - 32, 0) + 1, least(pos, 32)), tail) + levenshtein(substr(text, CAST(pos AS BIGINT) + 2, 32), head) AS cost FROM n WHERE substr(text, CAST(pos AS BIGINT) + 1, 1) = ' '),
+        l AS (SELECT *, list_filter(generate_series(0, length(text) - 1), lambda x: substr(text, x + 1, 1) = ' ') AS ks FROM ps ANTI JOIN b USING (doc_id, page_no)),
+        f AS (SELECT doc_id, page_no, start, unnest(ks) AS pos, CAST(NULL AS BIGINT) AS cost FROM l),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY cost, abs(pos - start), pos) AS r FROM (SELECT * FROM b UNION ALL SELECT * FROM f))
         SELECT doc_id, page_no, pos AS "at", cost, coalesce(pos > max(pos) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS monotone FROM r WHERE r = 1"""),
 }
