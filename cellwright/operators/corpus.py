@@ -33,7 +33,8 @@ def plan_mutations(cells: DataFrame) -> DataFrame:
 
 def plan_symbol_mutations(lines: DataFrame, families: DataFrame) -> DataFrame:
     """M2: first occurrence of each family's symbol on the lines, with its 0-based offset."""
-    rows = lines.join(F.broadcast(families), F.expr("contains(raw_line, symbol)"))  # a literal table of families
+    signs = lines.withColumn("sign", F.explode(F.array_distinct(F.split("raw_line", ""))))
+    rows = signs.join(families.withColumn("sign", F.substring("symbol", 1, 1)), "sign").where("contains(raw_line, symbol)")
     return rows.select("doc_id", "page_no", "line_no", "family", (F.expr("locate(symbol, raw_line)") - 1).alias("offset"))
 
 

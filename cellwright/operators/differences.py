@@ -69,7 +69,7 @@ def apply_allowlist(diffs: DataFrame, allowed: DataFrame) -> DataFrame:
     entries = allowed.withColumn("d", F.when(F.size(e) == F.size(a), zipped))
     words = entries.where("size(d) = 1").select(F.col("d")[0]["x"].alias("expected"), F.col("d")[0]["y"].alias("actual"))
     both = allowed.select("expected", "actual").unionByName(words).distinct()
-    return diffs.join(F.broadcast(both), ["expected", "actual"], "left_anti")  # an allowlist kept by hand
+    return diffs.join(both, ["expected", "actual"], "left_anti")
 
 
 def locate_block(offsets: DataFrame, blocks: DataFrame) -> DataFrame:

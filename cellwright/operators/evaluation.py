@@ -1,7 +1,8 @@
 """Scoring findings against a mutation manifest, and coverage of audit cases.
 
-Mutations are (doc_id, page_no, mut_id, operation, family, start, end), findings (doc_id,
-page_no, find_id, operation, start, end).
+Mutations are (doc_id, page_no, mut_id, operation, family, start, end, boxes), findings (doc_id,
+page_no, find_id, operation, start, end, boxes); boxes are their places on the page as an array
+of (line, cell).
 """
 
 from __future__ import annotations
@@ -24,16 +25,18 @@ def repair_swapped(rows: DataFrame, number: str, text: str) -> DataFrame:
 
 
 def match_candidates(muts: DataFrame, findings: DataFrame) -> DataFrame:
-    """Pairs of one operation whose starts are within ±4, scored 4·exact + 2·equal span + overlap.
+    """Pairs of one operation whose starts are within ±4 or that share a box, scored 4·equal boxes + 2·equal span + overlap.
 
-    The range join is an equi-join on blocks of nine positions, each finding in the blocks it can reach.
+    The range join is an equi-join on blocks of nine positions, each finding in the blocks it can
+    reach; shared boxes are an equi-join on boxes.
     """
     width = 2 * REACH + 1
-    m = muts.withColumn("cell", F.expr(f"start div {width}"))
-    f = findings.select(*PAGE, "find_id", "operation", F.col("start").alias("f0"), F.col("end").alias("f1"))
-    f = f.withColumn("cell", F.explode(F.expr(f"sequence((f0 - {REACH}) div {width}, (f0 + {REACH}) div {width})")))
-    met = m.join(f, [*PAGE, "operation", "cell"]).where(F.abs(F.col("start") - F.col("f0")) <= REACH)
-    exact = (F.col("start") == F.col("f0")).cast("int")
+    f = findings.select(*PAGE, "find_id", "operation", F.col("start").alias("f0"), F.col("end").alias("f1"), F.col("boxes").alias("places"))
+    reached = f.withColumn("cell", F.explode(F.expr(f"sequence((f0 - {REACH}) div {width}, (f0 + {REACH}) div {width})")))
+    near = muts.withColumn("cell", F.expr(f"start div {width}")).join(reached, [*PAGE, "operation", "cell"]).where(F.abs(F.col("start") - F.col("f0")) <= REACH)
+    shared = muts.withColumn("cell", F.explode("boxes")).join(f.withColumn("cell", F.explode("places")), [*PAGE, "operation", "cell"])
+    met = near.drop("cell").unionByName(shared.where(F.abs(F.col("start") - F.col("f0")) > REACH).drop("cell").dropDuplicates([*PAGE, "mut_id", "find_id"]))
+    exact = ((F.size("boxes") > 0) & (F.array_sort(F.array_distinct("boxes")) == F.array_sort(F.array_distinct("places")))).cast("int")
     span = ((F.col("start") == F.col("f0")) & (F.col("end") == F.col("f1"))).cast("int")
     overlap = F.greatest(F.lit(0).cast("long"), F.least("end", "f1") - F.greatest("start", "f0"))
     return met.select(*PAGE, "mut_id", "find_id", "start", (4 * exact + 2 * span + overlap).alias("score"))

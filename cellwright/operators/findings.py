@@ -20,7 +20,7 @@ def _doc():
 
 def dispatch_rules(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules (rule_id, scope, needs_math, priority) for each block (source_type, math), in order of priority and id."""
-    met = blocks.join(F.broadcast(rules), F.col("scope") == F.col("source_type")).where("NOT needs_math OR math")  # a rule catalogue
+    met = blocks.join(rules, F.col("scope") == F.col("source_type")).where("NOT needs_math OR math")
     order = Window.partitionBy(*BLOCK).orderBy("priority", "rule_id")
     return met.select(*BLOCK, "rule_id", F.row_number().over(order).alias("turn"))
 

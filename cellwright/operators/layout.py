@@ -254,4 +254,4 @@ def format_check(layouts: DataFrame, formats: DataFrame) -> DataFrame:
 
 def apply_format_allowlist(diffs: DataFrame, allowed: DataFrame) -> DataFrame:
     """Drop differences whose (block_type, indents, centred) layout is allowed."""
-    return diffs.join(F.broadcast(allowed), ["block_type", "first_indent", "runover_indent", "centred"], "left_anti")  # an allowlist kept by hand
+    return diffs.join(allowed, ["block_type", "first_indent", "runover_indent", "centred"], "left_anti")

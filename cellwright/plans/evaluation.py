@@ -15,18 +15,29 @@ from cellwright.sources.testdata import documents, expected_cells, layout_lines,
 SHIFT = "CASE WHEN expected_start % 4 = 0 THEN 1 WHEN expected_start % 6 = 1 THEN -2 ELSE 0 END"
 
 
+BOXES = "array(named_struct('line', line_no, 'cell', greatest(col_no + {}, 1)))"
+
+
+def scored(s, d):
+    """The manifest, and findings that are off by what SHIFT says; each of nine mutations has none."""
+    rows = mutations(expected_cells(s, d)).select("doc_id", "page_no", "line_no", "col_no", "mutation_id", "operation", "family", "expected_start", F.size("expected_cells").alias("n"))
+    found = F.expr(f"greatest(expected_start + {SHIFT}, 0)")
+    own = rows.select("doc_id", "page_no", F.col("mutation_id").alias("mut_id"), "operation", "family", F.col("expected_start").alias("start"), F.expr("expected_start + n").alias("end"), F.expr(BOXES.format("0")).alias("boxes"))
+    theirs = rows.where("expected_start % 9 <> 0").select("doc_id", "page_no", F.expr("concat('F', expected_start)").alias("find_id"), "operation", found.alias("start"), (found + F.col("n")).alias("end"), F.expr(BOXES.format(SHIFT)).alias("boxes"))
+    return own, theirs
+
+
 def muts(s, d):
-    return mutations(expected_cells(s, d)).select("doc_id", "page_no", F.col("mutation_id").alias("mut_id"), "operation", "family", F.col("expected_start").alias("start"), (F.col("expected_start") + F.size("expected_cells")).alias("end"))
+    return scored(s, d)[0]
 
 
 def found(s, d):
-    rows = mutations(expected_cells(s, d)).where("expected_start % 9 <> 0")
-    return rows.select("doc_id", "page_no", F.expr("concat('F', expected_start)").alias("find_id"), "operation", F.expr(f"greatest(expected_start + {SHIFT}, 0)").alias("start"), F.expr(f"greatest(expected_start + {SHIFT}, 0) + size(expected_cells)").alias("end"))
+    return scored(s, d)[1]
 
 
-MU = 'mu AS (SELECT doc_id, page_no, mutation_id AS mut_id, operation, family, expected_start AS start, expected_start + len(expected_cells) AS "end" FROM muts)'
-FO = f"fo AS (SELECT doc_id, page_no, 'F' || expected_start AS find_id, operation, greatest(expected_start + {SHIFT}, 0) AS start, greatest(expected_start + {SHIFT}, 0) + len(expected_cells) AS \"end\" FROM muts WHERE expected_start % 9 <> 0)"
-CA = 'ca AS (SELECT m.doc_id, m.page_no, mut_id, find_id, m.start, CAST(4 * CAST(m.start = f.start AS INT) + 2 * CAST(m.start = f.start AND m."end" = f."end" AS INT) + greatest(0, least(m."end", f."end") - greatest(m.start, f.start)) AS BIGINT) AS score FROM mu m JOIN fo f ON f.doc_id = m.doc_id AND f.page_no = m.page_no AND f.operation = m.operation AND abs(m.start - f.start) <= 4)'
+MU = 'mu AS (SELECT doc_id, page_no, mutation_id AS mut_id, operation, family, expected_start AS start, expected_start + len(expected_cells) AS "end", line_no, col_no AS box FROM muts)'
+FO = f"fo AS (SELECT doc_id, page_no, 'F' || expected_start AS find_id, operation, greatest(expected_start + {SHIFT}, 0) AS start, greatest(expected_start + {SHIFT}, 0) + len(expected_cells) AS \"end\", line_no, greatest(col_no + {SHIFT}, 1) AS box FROM muts WHERE expected_start % 9 <> 0)"
+CA = 'ca AS (SELECT m.doc_id, m.page_no, mut_id, find_id, m.start, CAST(4 * CAST(m.line_no = f.line_no AND m.box = f.box AS INT) + 2 * CAST(m.start = f.start AND m."end" = f."end" AS INT) + greatest(0, least(m."end", f."end") - greatest(m.start, f.start)) AS BIGINT) AS score FROM mu m JOIN fo f ON f.doc_id = m.doc_id AND f.page_no = m.page_no AND f.operation = m.operation WHERE abs(m.start - f.start) <= 4 OR (m.line_no = f.line_no AND m.box = f.box))'
 
 
 def candidates(s, d):
@@ -41,6 +52,26 @@ def outcomes(s, d):
 OUT = "oc AS (SELECT *, CASE WHEN start % 9 <> 0 THEN 'F' || start END AS find_id, CASE WHEN start % 9 = 0 THEN 'MISSED' WHEN start % 4 = 0 THEN 'AMBIGUOUS' ELSE 'DETECTED' END AS state FROM mu)"
 
 
+def assigned(s, d):
+    """Manifest, findings and outcomes of one evaluation: candidates, then the one-to-one assignment."""
+    own, theirs = scored(s, d)
+    states = V.assign_findings(own, V.match_candidates(own, theirs))
+    return own, theirs, states.join(own.select("doc_id", "mut_id", "family", "operation", "start"), ["doc_id", "mut_id"])
+
+
+def assigned_summary(s, d):
+    return V.evaluation_summary(assigned(s, d)[2])
+
+
+def assigned_quality(s, d):
+    own, theirs, states = assigned(s, d)
+    return V.quality(own, states.where("state = 'DETECTED'"), theirs)
+
+
+def assigned_examples(s, d):
+    return V.first_n(assigned(s, d)[2], ["doc_id", "state"], ["start", "mut_id"]).select("doc_id", "state", "mut_id")
+
+
 def runs(s, d):
     return block_ranges(s, d).select("doc_id", F.lit(1).alias("page_no"), F.col("seq").alias("run"), F.col("start").alias("first"), (F.col("start") + 5).alias("last"))
 
@@ -132,6 +163,9 @@ QUERIES = {
     "u3_off_target": lambda s, d: V.off_target(rendered(s, d), rendered(s, d).where("c % 3 = 0"), rendered(s, d).where("c % 5 = 0")),
     "a10_evaluation_summary": lambda s, d: V.evaluation_summary(outcomes(s, d)),
     "a11_quality": lambda s, d: V.quality(muts(s, d), outcomes(s, d).where("state = 'DETECTED'"), found(s, d)),
+    "a10_assigned_summary": assigned_summary,
+    "a11_assigned_quality": assigned_quality,
+    "t5_assigned_examples": assigned_examples,
     "a13_coverage_closure": lambda s, d: V.coverage_closure(scope(s, d), evidence(s, d)),
     "a14_audit_outcomes": lambda s, d: V.audit_outcomes(audit(s, d)),
     "f24_explode_variants": lambda s, d: V.explode_variants(audit(s, d)),

@@ -1,4 +1,4 @@
-"""All registered queries of the reference's own operators, with their oracles."""
+"""All registered queries of the library's operators, with their oracles."""
 
 from __future__ import annotations
 

@@ -106,4 +106,4 @@ CTES = {
 
 def sql(names: str, body: str) -> str:
     """A statement of ``body`` over the named relations."""
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in names.split()) + ("" if body.startswith(",") else " ") + body
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in names.split()) + ("" if body.startswith(",") else " ") + body
