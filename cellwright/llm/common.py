@@ -11,21 +11,37 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Columns that name a row by its contents, see ``with_row_key``.
+ROW_KEY = ("__r1", "__r2")
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or in local mode a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="cellwright-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is used only where
-    the session names none, as in local tests.
-    """
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellwright-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Add ``ROW_KEY``: 128 bits of all columns, so that rows with one id but other contents stay apart.
+
+    Rows that are equal in every column share the key; they are interchangeable.
+    """
+    return df.withColumns({"__r1": F.xxhash64(*df.columns), "__r2": F.xxhash64(F.lit("row"), *df.columns)})
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
@@ -37,6 +53,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def prefix_sums(array: str) -> str:
+    """SQL of the running sums of an integer array, each including its own place, in n log n steps."""
+    grown = "transform(a, (x, i) -> x + coalesce(get(a, i - shiftleft(1, k)), 0))"
+    rounds = f"sequence(0, cast(floor(log2(greatest(size({array}), 1))) AS int))"
+    return f"aggregate({rounds}, {array}, (a, k) -> {grown})"
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -54,11 +77,11 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     )
     seen = None
     while True:
-        current = shared_checkpoint(_small_star(_large_star(current)))
         mark = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
+        if tuple(mark) == seen or not mark[0]:
             break
         seen = tuple(mark)
+        current = shared_checkpoint(_small_star(_large_star(current)))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
