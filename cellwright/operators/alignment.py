@@ -159,9 +159,11 @@ def edit_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, i
     before an equal one of a run; a deleted cell before a run that then stands between it and
     a substitution; an equal cell; a swap; a substitution; a deletion; an insertion.
     """
+    if expected == actual:
+        return _merged([("equal", 0, len(expected), 0, len(actual))])
     n, m = len(expected), len(actual)
     a, b = _codes(expected), _codes(actual)
-    left = np.stack(list(_cost_rows(a[::-1], b[::-1])))[::-1, ::-1]  # cost of what remains from each place
+    left = np.stack(list(_cost_rows(a[::-1], b[::-1])))[::-1, ::-1].tolist()  # cost of what remains from each place
     ops: list[tuple] = []
     i = j = 0
 
@@ -172,22 +174,22 @@ def edit_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, i
 
     def stands_between() -> bool:
         e, c = run_end(expected, i, expected[i]), run_end(actual, j, expected[i])
-        return e - i == c - j + 1 and e < n and c < m and left[e, c] == 1 + left[e + 1, c + 1]
+        return e - i == c - j + 1 and e < n and c < m and left[e][c] == 1 + left[e + 1][c + 1]
 
     while i < n or j < m:
-        here = left[i, j]
+        here = left[i][j]
         same = i < n and j < m and expected[i] == actual[j]
-        if same and j + 1 < m and actual[j + 1] == actual[j] and here == 1 + left[i, j + 1]:
+        if same and j + 1 < m and actual[j + 1] == actual[j] and here == 1 + left[i][j + 1]:
             tag, di, dj = "insert", 0, 1
-        elif same and i + 1 < n and expected[i + 1] == expected[i] and here == 1 + left[i + 1, j] and stands_between():
+        elif same and i + 1 < n and expected[i + 1] == expected[i] and here == 1 + left[i + 1][j] and stands_between():
             tag, di, dj = "delete", 1, 0
-        elif same and here == left[i + 1, j + 1]:
+        elif same and here == left[i + 1][j + 1]:
             tag, di, dj = "equal", 1, 1
-        elif i + 1 < n and j + 1 < m and expected[i : i + 2] == actual[j + 1] + actual[j] and here == 1 + left[i + 2, j + 2]:
+        elif i + 1 < n and j + 1 < m and expected[i : i + 2] == actual[j + 1] + actual[j] and here == 1 + left[i + 2][j + 2]:
             tag, di, dj = "replace", 2, 2
-        elif i < n and j < m and here == 1 + left[i + 1, j + 1]:
+        elif i < n and j < m and here == 1 + left[i + 1][j + 1]:
             tag, di, dj = "replace", 1, 1
-        elif i < n and here == 1 + left[i + 1, j]:
+        elif i < n and here == 1 + left[i + 1][j]:
             tag, di, dj = "delete", 1, 0
         else:
             tag, di, dj = "insert", 0, 1
