@@ -137,19 +137,23 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _cost_rows(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows of the edit costs of all prefixes, adjacent swaps at one, row by row of ``a``."""
+    """Rows of the edit costs of all prefixes, adjacent swaps at one, row by row of ``a``.
+
+    Rows are kept less their column number, so that insertions are a running minimum.
+    """
     ramp = np.arange(len(b) + 1, dtype=np.int64)
-    before, row = None, ramp
-    yield row
-    for i in range(1, len(a) + 1):
-        new = np.empty_like(ramp)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (b != a[i - 1]), row[1:] + 1)
-        if before is not None and len(b) > 1:
-            swap = (b[1:] == a[i - 2]) & (b[:-1] == a[i - 1])
-            new[2:] = np.where(swap, np.minimum(new[2:], before[:-2] + 1), new[2:])
-        before, row = row, np.minimum.accumulate(new - ramp) + ramp  # insertions run to the right
-        yield row
+    before, row = None, np.zeros_like(ramp)
+    yield ramp
+    for i, cell in enumerate(a.tolist()):
+        new = np.empty_like(row)
+        new[0] = i + 1
+        new[1:] = np.minimum(row[:-1] - (b == cell), row[1:] + 1)
+        if i and len(b) > 1:
+            swap = np.flatnonzero((b[1:] == a[i - 1]) & (b[:-1] == cell))
+            if len(swap):
+                new[swap + 2] = np.minimum(new[swap + 2], before[swap] - 1)
+        before, row = row, np.minimum.accumulate(new)
+        yield row + ramp
 
 
 def edit_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, int]]:
