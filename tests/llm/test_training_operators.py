@@ -1,8 +1,10 @@
 """The training-data operators against brute force, with odd rows: nulls, empty and repeated ones, clashing columns."""
 
 import hashlib
+import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -259,9 +261,9 @@ def test_pages_give_their_article(spark):
 def test_wrapper_alignment_finds_optional_and_repeated_groups():
     one = html.page_tree(html.read_page("<body><ul><li>a<li>b</ul><p>x</p></body>"))
     two = html.page_tree(html.read_page("<body><p>y</p><div>new</div></body>"))
-    body = html.merge(one, two)[4][0]
-    assert [(c[0], c[1], c[2]) for c in body[4]] == [("ul", False, True), ("p", False, False), ("div", False, True)]
-    assert body[4][0][4][0][:2] == ["li", True] and body[4][1][3] is True
+    for body in (html.merge(one, two)[4]["body"], html.merge(two, one)[4]["body"]):
+        assert {(c[0], c[1], c[2]) for c in body[4].values()} == {("ul", False, True), ("p", False, False), ("div", False, True)}
+        assert body[4]["ul"][4]["li"][:2] == ["li", True] and body[4]["p"][3] is True
 
 
 def test_template_text_goes_where_no_article_is(spark):
@@ -288,9 +290,9 @@ def test_wrappers_fold_wide_levels_and_lose_nothing():
     wrapper = html.page_tree(html.read_page(pages[0]))
     for page in pages[1:]:
         wrapper = html.merge(wrapper, html.page_tree(html.read_page(page)))
-    level = wrapper[4][0][4]
-    assert len(level) == html.WIDTH and level[-1][:2] == [html.FOLDED, True] and level[-1][3] is True
-    assert len(html.main_text(pages[0], html.rules(wrapper)).split("\n")) == 401
+    level = wrapper[4]["body"][4]
+    assert len(level) == html.WIDTH and level[html.FOLDED][:2] == [html.FOLDED, True] and level[html.FOLDED][3] is True
+    assert html.main_text(pages[0], html.rules(wrapper)).split("\n")[:400] == [f"0 {i}" for i in range(400)]
 
 
 @pytest.mark.parametrize(
@@ -302,6 +304,10 @@ def test_wrappers_fold_wide_levels_and_lose_nothing():
         ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<noscript><p>no</noscript></article>", "so x=2 holds"),
         ("<article><h2 id='related-work'>Related work</h2><section id='search-methods'><p>We search</p></section><div class='discussion'>We <span class='legal'>may</span></div></article>", "Related work\nWe search\nWe may"),
         ("<article><p>a<script>never closed <p>b", "a"),
+        ("<body><div id='content' class='with-sidebar'><p>all of it</div></body>", "all of it"),
+        ("<article class='post comment-open'><p>text</p><p class='share price'>12</p><p class='story-search'>found</p></article>", "text\n12\nfound"),
+        ("<body><div class='search-page'><h2>x</h2><p>most of the text is here</p></div></body>", "x\nmost of the text is here"),
+        ("<article><a title='a>b'>in</a> <p id=\"x>out</article>", "in\nout"),
         ("<article><header class='header'>Head</header><div hidden>x</div><p style='display:none'>y</p><p>z</article>", "Head\nz"),
     ],
 )
@@ -310,6 +316,47 @@ def test_no_article_text_is_dropped(page, text):
     assert html.main_text(page, html.rules(html.page_tree(html.read_page(page)))) == text
 
 
+def test_wrapper_finds_an_article_without_a_telling_name(spark):
+    """The slots' text decides: with the wrapper the side texts go, without it they stay."""
+    body = "<div class='ka'><ul><li>Home<li>About</ul></div><div class='kb'><div class='kc'><h1>Title {0}</h1><p>long text {0} about many different things {0}</p><p>and more {0}</p></div><div class='kd'>short {0}</div></div><div class='ke'>Call us</div>"
+    pages = [(i, "http://n.example/", f"<body>{body.format(i)}</body>") for i in range(6)]
+    found = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    for r in found:
+        assert r.text == "Title {0}\nlong text {0} about many different things {0}\nand more {0}".format(r.page_id)
+    assert html.main_text(pages[0][2], None) != found[0].text
+
+
+def test_rules_do_not_depend_on_how_pages_are_dealt():
+    rng = random.Random(2)
+    pages = ["<body>" + "".join(f"<div class='{rng.choice('abcdefgh') * rng.randrange(1, 4)}'><p>{rng.randrange(4)}</p></div>" for _ in range(rng.randrange(1, 9))) + "</body>" for _ in range(40)]
+    trees, seen = [html.page_tree(html.read_page(p)) for p in pages], set()
+    for turn in range(4):
+        random.Random(turn).shuffle(trees)
+        half = [trees[:15], trees[15:]]
+        parts = []
+        for some in half:
+            whole = some[0]
+            for tree in some[1:]:
+                whole = html.merge(whole, tree)
+            parts.append(whole)
+        seen.add(json.dumps(html.merge(*parts), sort_keys=True))
+    assert len(seen) == 1
+
+
+def test_lost_texts_of_hosts_without_article():
+    pages = [f"<body><p>first {i}</p><p>second {i} of them</p></body>" for i in range(4)] + ["<body><p>first 9</p><blockquote>Only on this page.</blockquote><table><tr><td>cell</table></body>"]
+    wrapper = html.page_tree(html.read_page(pages[0]))
+    for page in pages[1:]:
+        wrapper = html.merge(wrapper, html.page_tree(html.read_page(page)))
+    assert html.main_text(pages[4], html.rules(wrapper)) == "first 9\nOnly on this page.\ncell"
+
+
+def test_open_quotes_cost_linear_time():
+    page = "<article><p>start" + "<a href=\"x>y" * 40_001 + "</article>"
+    began = time.perf_counter()
+    assert html.main_text(page, None).startswith("start") and time.perf_counter() - began < 5
+
+
 def test_furniture_words_in_articles_need_the_wrapper(spark):
     body = "<article><h1>Title {0}</h1><p>text {0} of some length</p><div class='ad'>buy this</div><div class='related'><ul><li>x {0}<li>y {0}</ul></div><div class='discussion'><p>we think {0}</p><p>so {0}</p></div></article>"
     pages = [(i, "http://h.example/", body.format(i)) for i in range(6)]
