@@ -9,32 +9,40 @@ what is left is so far away in projection that a vector nearer than the k-th fou
 been met before with probability ``CONFIDENCE``.
 
 Equal vectors are one entry of the index with their smallest ids, so a vector that fills the
-table costs one row.  Index blocks and query chunks of bounded size are paired, every pair
-once; each chunk's best go to a ranked merge.  Recall is measured in the tests.
+table costs one row.  The index is dealt into blocks of bounded size; a block's vectors come
+first in its partition, become one tree, and all queries stream through it batch by batch, so
+every tree is built once and no task holds more than a block.  Each block's best go to a ranked
+merge.  Work is queries times vectors over the share that the test leaves out; recall is
+measured in the tests.
+
+Before products are taken, vectors are scaled by powers of two, which changes no digit of a
+cosine but keeps very small and very large components from vanishing or overflowing.
 
 Defined results: vectors that are null, empty or zero or hold null or non-finite components
-take no part, nor do rows without an id; vectors of other dimensions are not compared; ties
-go to the smaller id; fewer than k candidates give fewer rows; an empty table an empty result.
+take no part, nor do rows without an id; repeated rows of an id are entries of their own;
+vectors of other dimensions are not compared; equal scores go to the smaller id, so all rows
+that tie with the k-th are kept until ids decide; fewer than k candidates give fewer rows;
+columns other than vec_id and the vector are not looked at; an empty table an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import shared_checkpoint
+from cellwright.llm.common import partitions_for, shared_checkpoint
 
 PROJECTIONS = 12
 CONFIDENCE = 0.93
 LEAF = 32
-#: Leaves that are verified between two tests.
-STEP = 32
-INDEX_BLOCK = 32_768
-QUERY_CHUNK = 4_096
+#: Leaves that are verified before the first test; each further step takes as many as all before it.
+STEP = 4
+INDEX_BLOCK = 16_384
 SEED = 7
 FOUND = "query_id long, vec_id long, score double"
 
@@ -49,10 +57,17 @@ def chi_square_quantile(probability: float, dof: int) -> float:
     return low
 
 
+def rescaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its largest component lies between a half and one."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=-1, keepdims=True))
+    return np.ldexp(vectors, -exponent)
+
+
 class ProjectedTree:
     """A kd-tree over projected unit vectors, its leaves contiguous rows."""
 
     def __init__(self, vectors: np.ndarray):
+        vectors = rescaled(vectors)
         self.norms = np.sqrt((vectors * vectors).sum(1))
         axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTIONS))
         projected = (vectors / self.norms[:, None]) @ axes
@@ -75,25 +90,29 @@ class ProjectedTree:
         self.high = np.maximum.reduceat(self.projected, self.starts)
 
     def nearest(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(row, cosine) of the k nearest found, best first, and how many rows were verified."""
+        """(row, cosine) of the k nearest found and of all found that tie with the last, and how many rows were verified."""
+        query = rescaled(query)
         norm = np.sqrt((query * query).sum())
         at = query / norm @ self.axes
         bound = (np.maximum(np.maximum(self.low - at, at - self.high), 0) ** 2).sum(1)
         leaves = np.argsort(bound, kind="stable")
         limit = chi_square_quantile_cached()
-        rows, scores, seen = np.empty(0, np.int64), np.empty(0), 0
-        for i in range(0, len(leaves), STEP):
-            if len(scores) >= k and bound[leaves[i]] > limit * max(0.0, 2 - 2 * scores[-1]) + 1e-12:
+        rows, scores, seen, i, step = np.empty(0, np.int64), np.empty(0), 0, 0, STEP
+        while i < len(leaves):
+            last = scores.min() if len(scores) >= k else None
+            if last is not None and bound[leaves[i]] > limit * max(0.0, 2 - 2 * last) + 1e-12:
                 break
-            found = np.concatenate([np.arange(self.starts[x], self.ends[x]) for x in leaves[i : i + STEP]])
-            if len(scores) >= k:  # the same test for each vector of the leaves
+            found = np.concatenate([np.arange(self.starts[x], self.ends[x]) for x in leaves[i : i + step]])
+            if last is not None:  # the same test for each vector of the leaves
                 apart = ((self.projected[found] - at) ** 2).sum(1)
-                found = found[apart <= limit * max(0.0, 2 - 2 * scores[-1]) + 1e-12]
+                found = found[apart <= limit * max(0.0, 2 - 2 * last) + 1e-12]
+            i, step = i + step, max(step, i)
             seen += len(found)
             cosine = (self.vectors[found] * query).sum(1) / (self.norms[found] * norm)
             rows, scores = np.concatenate([rows, found]), np.concatenate([scores, cosine])
-            best = np.argsort(-scores, kind="stable")[:k]
-            rows, scores = rows[best], scores[best]
+            if len(scores) > k:
+                best = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                rows, scores = rows[best], scores[best]
         return self.order[rows], scores, seen
 
 
@@ -122,25 +141,36 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, column: str = "embe
     entries = shared_checkpoint(entries.withColumn("dim", F.size("v")))
     queries = shared_checkpoint(rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.size("v").alias("dim")))
     blocks = max(1, -(-entries.count() // INDEX_BLOCK))
-    chunks = max(1, -(-queries.count() // QUERY_CHUNK))
-    left = entries.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)))
-    left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    right = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-
-    def search(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(index) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        tree = ProjectedTree(np.stack(index["v"].to_list()))
-        ids = index["ids"].to_list()
+    block = F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")
+    index = entries.select("dim", block.alias("block"), F.lit(0).alias("turn"), F.lit(0).cast("long").alias("query_id"), "ids", "v")
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = queries.select("dim", each.alias("block"), F.lit(1).alias("turn"), F.col("vec_id").alias("query_id"), F.lit(None).cast("array<long>").alias("ids"), "v")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, tree, ids = None, [], None, []
+        for batch in batches:
+            for here, part in batch.groupby(["dim", "block", "turn"], sort=True):
+                if here[:2] != key:
+                    key, held, tree = here[:2], [], None
+                if not here[2]:
+                    held.append(part)
+                    continue
+                if tree is None and held:
+                    whole = pd.concat(held)
+                    tree, ids, held = ProjectedTree(np.stack(whole["v"].to_list())), whole["ids"].to_list(), []
+                if tree is not None:
+                    yield answers(tree, ids, part)
+
+    def answers(tree: ProjectedTree, ids: list, part: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for query_id, v in zip(asked["vec_id"], asked["v"], strict=True):
+        for query_id, v in zip(part["query_id"], part["v"], strict=True):
             found, scores, _ = tree.nearest(np.asarray(v), k + 1)
             best = [(-s, i) for row, s in zip(found, scores, strict=True) for i in ids[row] if i != query_id]
-            out += [(query_id, i, -s) for s, i in sorted(best)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            out += [(int(query_id), i, -s) for s, i in sorted(best)[:k]]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    keys = ["dim", "block", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, FOUND)
+    parts = max(blocks, partitions_for(vectors.sparkSession))
+    dealt = index.unionByName(asked).repartition(parts, "dim", "block").sortWithinPartitions("dim", "block", "turn")
+    found = dealt.mapInPandas(search, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
