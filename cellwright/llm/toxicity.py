@@ -4,16 +4,20 @@ Categories are predicted one after another, each by a logistic model over lexica
 and the probabilities of the categories before it.  For training, those earlier probabilities
 are out-of-fold predictions, so a later model learns from the errors that the earlier ones
 make on unseen text.  The last link is the label of the ``labels`` table; the ones before it
-are its sub-categories, positive where a toxic document uses a term of that kind.
+are kinds of toxicity found in the data: the toxic documents of the sample, clustered by the
+features they share (spherical k-means from a fixed start).
 
 Features are a document's distinct words and their prefixes, as present or not.  The models
-are fitted on at most ``SAMPLE_ROWS`` labelled documents (whole texts, chosen by a hash of
-the id) and at most ``FEATURES`` features, chosen by their log-odds there; both are bounds of
-what the driver holds.  Scoring streams over the whole texts of all documents.
+are fitted on at most ``SAMPLE_ROWS`` labelled documents (whole texts, chosen by a hash of the
+id, one text for each id); that is the one bound, and with it what the driver holds.  All
+features take part whose log-odds in that sample lie ``EVIDENCE`` standard errors above the
+sample's own.  Scoring streams over the whole texts of all documents.
 
 Defined results: null and empty texts have no features and get the models' base rates; labels
-that are null, or whose document is missing, are not used; without a positive label every
-probability is 0; repeated rows are scored one by one; an empty table gives an empty result.
+that are null, or whose document is missing, are not used, of unlike labels of one id the toxic
+one counts, of unlike texts the smallest; without a positive label every probability is 0;
+repeated rows are scored one by one; very long texts are read whole; columns other than those
+named are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,18 +33,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwright.llm.common import shared_checkpoint
+
 SAMPLE_ROWS = 20_000
-FEATURES = 4_096
 FOLDS = 5
 LEAST_COUNT = 3
+#: Standard errors by which a feature's log-odds must exceed those of the sample.
+EVIDENCE = 4.0
 THRESHOLD = 0.4
 PREFIXES = (4, 5, 6, 7)
-#: Terms of the sub-categories, in the order of the chain; the label itself comes last.
-TERMS = {
-    "insult": frozenset("idiot moron loser clown scum fool jerk imbecile".split()),
-    "contempt": frozenset("stupid pathetic worthless disgusting trash useless garbage".split()),
-}
-CATEGORIES = (*TERMS, "toxic")
+KINDS = 3
+CATEGORIES = (*(f"kind{k + 1}" for k in range(KINDS)), "toxic")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -122,14 +125,40 @@ def fit_chain(places: dict[str, int], rows: list[np.ndarray], targets: np.ndarra
     return Chain(places, weights)
 
 
+def kinds_of(rows: list[np.ndarray], width: int, kinds: int = KINDS, rounds: int = 20) -> np.ndarray:
+    """Cluster of each row of features, by cosine to the clusters' sums; rows without features are in none (-1)."""
+    size = np.array([len(r) for r in rows], np.int64)
+    doc, at = np.repeat(np.arange(len(rows)), size), np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
+    norm = np.sqrt(np.maximum(size, 1))
+
+    def closeness(centre: np.ndarray) -> np.ndarray:
+        return np.bincount(doc, centre[at], len(rows)) / norm / (np.sqrt((centre**2).sum()) or 1)
+
+    centres = [np.bincount(at, minlength=width).astype(float)]
+    while len(centres) < kinds:  # the row least like all centres so far is the next
+        best = np.max([closeness(c) for c in centres], axis=0)
+        far = np.zeros(width)
+        far[rows[int(np.argmin(np.where(size > 0, best, np.inf)))]] = 1
+        centres.append(far)
+    found = np.full(len(rows), -1)
+    for _ in range(rounds):
+        new = np.where(size > 0, np.argmax([closeness(c) for c in centres], axis=0), -1)
+        if (new == found).all():
+            break
+        found = new
+        centres = [np.bincount(at, (found == k)[doc] / norm[doc], width) for k in range(kinds)]
+    return found
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, text, toxic) of at most ``rows`` labelled documents, by a hash of the id."""
     chosen = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``rows`` short rows at most
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``rows`` short rows at most
+    return shared_checkpoint(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, width: int = FEATURES) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Chain:
     """Fit a chain on a bounded labelled sample."""
     sample = labelled_sample(docs, labels, rows)
 
@@ -142,31 +171,27 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, width: in
             yield pd.DataFrame({"feature": names, "clean": [seen[0][f] for f in names], "toxic": [seen[1][f] for f in names]})
 
     counted = sample.mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    score = F.col("toxic") * (F.log((F.col("toxic") + 0.1) / (F.col("clean") + 0.1)))
-    best = counted.where(F.col("toxic") >= LEAST_COUNT).withColumn("score", score)
     totals = sample.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") > 0, 1)), F.lit(0))).first()
-    prior = math.log((totals[1] + 0.2) / (totals[0] - totals[1] + 0.2))
-    best = best.withColumn("score", F.col("score") - F.col("toxic") * prior).where("score > toxic")
-    chosen = [r[0] for r in best.orderBy(F.col("score").desc(), "feature").limit(width).select("feature").collect()]
-    places = {f: i for i, f in enumerate(chosen)}
+    prior = math.log((totals[1] + 0.5) / (totals[0] - totals[1] + 0.5))
+    above = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) - prior
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    chosen = counted.where((F.col("toxic") >= LEAST_COUNT) & (above >= EVIDENCE * error)).select("feature")
+    places = {f: i for i, f in enumerate(sorted(r[0] for r in chosen.collect()))}  # words of the bounded sample
     reader = Chain(places, [])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "at": reader.rows(list(batch["text"]), known)})
-            words = [words_of(t) for t in batch["text"]]
-            for name, terms in TERMS.items():
-                out[name] = [int(t > 0 and not terms.isdisjoint(w)) for t, w in zip(batch["toxic"], words, strict=True)]
-            out["toxic"] = (batch["toxic"] > 0).astype("int64")
-            yield out
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "at": reader.rows(list(batch["text"]), known), "toxic": (batch["toxic"] > 0).astype("int64")})
 
-    schema = "doc_id long, at array<long>, " + ", ".join(f"{c} long" for c in CATEGORIES)
-    data = sample.mapInPandas(place, schema).toPandas().sort_values("doc_id", kind="stable")  # the bounded sample
+    data = sample.mapInPandas(place, "doc_id long, at array<long>, toxic long").toPandas().sort_values("doc_id", kind="stable")  # the bounded sample
     if not len(data) or not data["toxic"].any():
         return Chain({}, [np.array([*[0.0] * c, -40.0]) for c in range(len(CATEGORIES))])
-    folds = np.arange(len(data)) % FOLDS
-    return fit_chain(places, [np.asarray(a, np.int64) for a in data["at"]], data[list(CATEGORIES)].to_numpy(), folds)
+    rows_at, toxic = [np.asarray(a, np.int64) for a in data["at"]], data["toxic"].to_numpy()
+    kinds = np.full(len(data), -1)
+    kinds[toxic > 0] = kinds_of([r for r, t in zip(rows_at, toxic, strict=True) if t], len(places))
+    targets = np.column_stack([*(kinds == k for k in range(KINDS)), toxic > 0]).astype(int)
+    return fit_chain(places, rows_at, targets, np.arange(len(data)) % FOLDS)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
