@@ -7,14 +7,21 @@ function is SHA-256 of key, format, round and the other half; being a permutatio
 format it maps equal values to equal pseudonyms and different values to different ones, in
 every document, without any table of links.
 
-Formats: card (13-19 digits, plain or in groups, check digit recomputed), phone (country code
-kept), ssn (valid areas, groups and serials), iban (digits of the account, check digits
-recomputed), ip (dotted quads), date (five usual forms, 1900-01-01 to 2099-11-12) and email,
-whose local part has no fixed radix and becomes a keyed digest of equal length bounds.
-What does not validate (a wrong check digit, an octet over 255, 31 February) is left alone.
+Formats: card (13-19 digits, plain or in groups, check digit recomputed), phone (country calling
+code kept; the pseudonym depends on the digits, not on how they are grouped), ssn (valid areas,
+groups and serials), iban (digits of the account, check digits recomputed), ip (dotted quads),
+date (six usual forms, every day of the years 1 to 9999, each within some 200 years of its own)
+and email, whose local part has no fixed radix and becomes a keyed digest of 80 bits.  A slash
+date is read month first if it can be; one that must be day first stays such a one.  What does
+not validate (a wrong check digit, an octet over 255, 31 February) is left alone.
+
+The key is part of the plan, so whoever may read plans or event logs can read it: production
+runs pass a key of their own and keep their logs as safe as the key.
 
 Defined results: null text stays null and empty text empty, with no values; a value counts as
-often as it occurs; repeated rows are handled one by one; an empty table gives an empty result.
+often as it occurs; repeated rows are handled one by one; very long texts are read whole, in
+time about linear in their length; columns other than doc_id and text are not looked at, those
+of ``pseudonymize`` stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,12 +29,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellwright.llm.common import prefix_sums
+
 ROUNDS = 8
 #: Key of the registered query; callers pass their own secret.
 DEMO_KEY = "demonstration-key"
 KINDS = ("email", "iban", "date", "ssn", "phone", "ip", "card")
-#: Days that dates are permuted within: 250 x 292 from FIRST_DAY on.
+#: Spans of 250 x 292 days, counted from FIRST_DAY in both directions, that dates are permuted within;
+#: what is left at either end of the years 1 to 9999 is permuted in spans of its own: (first day, radices).
 FIRST_DAY, DAY_RADIX = "1900-01-01", (250, 292)
+FIRST_SPAN, LAST_SPAN = (-693_595, (65, 563)), (2_920_000, (64, 601))
+#: Country calling codes of one and two digits; all others have three.
+CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+#: Hexadecimal digits of an e-mail's pseudonym.
+EMAIL_DIGITS = 20
+#: Times that a permutation is applied again until a day-first date is one again; each try fails in 2 of 5 cases.
+WALKS = 64
 
 EMAIL = "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+"
 IBAN = "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
@@ -93,8 +110,7 @@ def _card(key: str) -> str:
 
 
 def _phone(key: str) -> str:
-    # the country code, up to the first separator, stays
-    head = "CASE WHEN x LIKE '+%' THEN regexp_extract(x, '^[+][0-9]{1,3}(?=[ .(-])|^[+][0-9]', 0) ELSE '' END"
+    head = f"CASE WHEN x LIKE '+%' THEN regexp_extract(x, '^[+](?:{'|'.join(CALLING_CODES)}|[0-9]{{3}}|[0-9]+)', 0) ELSE '' END"
     rest = _let("y", "substr(x, length(k) + 1)", _let("d", _digits("y"), _let("p", _permuted_digits("d", key, "concat('phone', k)"), _refilled("y", "p"))))
     return _let("k", head, f"concat(k, {rest})")
 
@@ -136,28 +152,48 @@ def _day(form: str) -> str:
     return f"cast(try_to_timestamp(x, '{form}') AS date)"
 
 
-def _in_range(form: str) -> str:
-    return f"coalesce(datediff({_day(form)}, date'{FIRST_DAY}') BETWEEN 0 AND {DAY_RADIX[0] * DAY_RADIX[1] - 1}, false)"
+def _valid(form: str) -> str:
+    return f"{_day(form)} IS NOT NULL"
 
 
-def _date(key: str) -> str:
+def _other_day(n: str, key: str) -> str:
+    """SQL of the day that day ``n`` (from FIRST_DAY) is permuted to, within its span."""
     a, b = DAY_RADIX
+
+    def within(base: str, radices: tuple[int, int]) -> str:
+        x, y = radices
+        moved = feistel(f"(n - d0) div {y}", f"(n - d0) % {y}", f"{x}L", f"{y}L", key, "concat('date', cast(d0 AS string))")
+        return _let("d0", base, _let("h", moved, f"cast(d0 + h.l * {y} + h.r AS int)"))
+
+    spans = (
+        f"CASE WHEN n < {FIRST_SPAN[0] + FIRST_SPAN[1][0] * FIRST_SPAN[1][1]} THEN {within(str(FIRST_SPAN[0]), FIRST_SPAN[1])} "
+        f"WHEN n >= {LAST_SPAN[0]} THEN {within(str(LAST_SPAN[0]), LAST_SPAN[1])} "
+        f"ELSE {within(f'cast(floor(n / {a * b}D) AS int) * {a * b}', DAY_RADIX)} END"
+    )
+    return _let("n", n, spans)
+
+
+def _date(key: str) -> str:
     whens = []
     for shape, form in DATE_FORMS:
-        moved = feistel(f"n div {b}", f"n % {b}", f"{a}L", f"{b}L", key, "'date'")
-        text = f"date_format(date_add(date'{FIRST_DAY}', cast(h.l * {b} + h.r AS int)), '{form}')"
-        whens.append(f"WHEN x RLIKE '^{shape}$' AND {_in_range(form)} THEN " + _let("n", f"datediff({_day(form)}, date'{FIRST_DAY}')", _let("h", moved, text)))
+        start = f"datediff({_day(form)}, date'{FIRST_DAY}')"
+        if form == "dd/MM/yyyy":  # reached only if the day is over 12: so must the pseudonym's be
+            again = f"CASE WHEN i > 1 AND day(date_add(date'{FIRST_DAY}', m)) > 12 THEN m ELSE {_other_day('m', key)} END"
+            moved = f"aggregate(sequence(1, {WALKS}), {start}, (m, i) -> {again})"
+        else:
+            moved = _other_day(start, key)
+        text = f"date_format(date_add(date'{FIRST_DAY}', {moved}), '{form}')"
+        whens.append(f"WHEN x RLIKE '^{shape}$' AND {_valid(form)} THEN {text}")
     return f"CASE {' '.join(whens)} ELSE x END"
 
 
 def _email(key: str) -> str:
-    size = "greatest(6, least(32, length(substring_index(x, '@', 1))))"
-    return f"concat('u', substr(sha2(concat_ws('|', {key}, 'email', lower(x), {key}), 256), 1, {size}), '@', substring_index(x, '@', -1))"
+    return f"concat('u', substr(sha2(concat_ws('|', {key}, 'email', lower(x), {key}), 256), 1, {EMAIL_DIGITS}), '@', substring_index(x, '@', -1))"
 
 
 def kind_sql() -> str:
     """Kind of a match x, null where it does not validate."""
-    dates = " OR ".join(f"x RLIKE '^{shape}$' AND {_in_range(form)}" for shape, form in DATE_FORMS)
+    dates = " OR ".join(f"x RLIKE '^{shape}$' AND {_valid(form)}" for shape, form in DATE_FORMS)
     octets = "forall(split(x, '[.]'), t -> cast(t AS int) <= 255)"
     iban = _iban_remainder("concat(substr(x, 5), substr(x, 1, 4))")
     areas = "substr(x, 1, 3) NOT IN ('000', '666') AND substr(x, 1, 1) <> '9' AND substr(x, 5, 2) <> '00' AND substr(x, 8, 4) <> '0000'"
@@ -193,10 +229,9 @@ def pseudonymize(docs: DataFrame, key: str = DEMO_KEY, text: str = "text") -> Da
     )
     out = out.withColumn("__k", F.expr(f"transform(__m, x -> named_struct('x', x, 'kind', {kind_sql()}))"))
     out = out.withColumn("__r", F.expr(f"transform(__k, m -> {_let('x', 'm.x', pseudonym_sql(quoted))})"))
-    ends = F.expr("transform(__m, (x, i) -> length(__g[i]) + length(x))")
-    out = out.withColumn("__e", ends)
-    starts = "aggregate(slice(__e, 1, i), 0, (a, e) -> a + e) + length(__g[i])"
-    out = out.withColumn("__found", F.expr(f"filter(transform(__k, (m, i) -> named_struct('kind', m.kind, 'start', {starts}, 'end', {starts} + length(m.x))), f -> f.kind IS NOT NULL)"))
+    out = out.withColumn("__e", F.expr(prefix_sums("transform(__m, (x, i) -> length(__g[i]) + length(x))")))
+    spans = "transform(__k, (m, i) -> named_struct('kind', m.kind, 'start', __e[i] - length(m.x), 'end', __e[i]))"
+    out = out.withColumn("__found", F.expr(f"filter({spans}, f -> f.kind IS NOT NULL)"))
     joined = F.expr("concat(array_join(transform(__r, (x, i) -> concat(__g[i], x)), ''), element_at(__g, -1))")
     return out.withColumn(text, F.when(F.size("__m") > 0, joined).otherwise(F.col(text))).drop("__m", "__g", "__k", "__r", "__e")
 

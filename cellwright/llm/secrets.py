@@ -11,8 +11,14 @@ runs of hexadecimal digits, scan every text.
 Spans are leftmost and non-overlapping for each rule, matches whose value is too short are
 dropped, and positions are code points with an exclusive end.
 
+Texts stay where they are: only the candidates' keys move, to all executors while they are at
+most ``BROADCAST_ROWS``, beyond it by a join.  Positions come from running sums of the lengths
+of matches and of what lies between, and every pattern reads a text in about linear time, so
+very long texts are scanned whole.
+
 Defined results: null text is empty and has no spans; repeated rows are scanned one by one;
-rows without doc_id are scanned too; an empty table gives an empty result.
+rows without doc_id are scanned too; columns other than doc_id and text are not looked at,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +31,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import shared_checkpoint
+from cellwright.llm.common import prefix_sums, shared_checkpoint
 
+#: Up to so many candidates are sent to all executors.
+BROADCAST_ROWS = 1_000_000
 #: Sets of alternatives larger than this end a literal.
 MOST_STRINGS = 16
 
@@ -58,7 +66,8 @@ RULES = (
     Rule("stripe", "(?:sk|rk)_live_[A-Za-z0-9]{16,}"),
     Rule("google", "AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}"),
-    Rule("login", "[a-z][a-z0-9+.-]*://[^ \t\n/:@]+:[^ \t\n/@]{3,}@"),
+    # a scheme has 31 characters at most, so that long runs are read once
+    Rule("login", "[a-z][a-z0-9+.-]{0,30}://[^ \t\n/:@]+:[^ \t\n/@]{3,}@"),
 )
 BASE = 3
 
@@ -193,22 +202,24 @@ def rule_spans(number: int, rule: Rule, text: str = "text") -> Column:
     """Array of (start, kind number, end) of one rule's matches in a text."""
     quoted = "'" + rule.pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     lengths = "transform({}, x -> length(x))"
-    parts = (
-        f"named_struct('m', {lengths.format(f'regexp_extract_all({text}, {quoted}, 0)')}, "
-        f"'v', {lengths.format(f'regexp_extract_all({text}, {quoted}, {rule.group})')}, 'g', {lengths.format(f'split({text}, {quoted}, -1)')})"
-    )
-    start = "aggregate(slice(p.g, 1, i + 1), 0, (a, x) -> a + x) + aggregate(slice(p.m, 1, i), 0, (a, x) -> a + x)"
+    found = lengths.format(f"regexp_extract_all({text}, {quoted}, 0)")
+    between = lengths.format(f"split({text}, {quoted}, -1)")
+    ends = prefix_sums("zip_with(p.m, slice(p.g, 1, size(p.m)), (m, g) -> m + g)")
+    values = "p.m" if rule.group == 0 else "p.v"
+    size = f", 'v', {lengths.format(f'regexp_extract_all({text}, {quoted}, {rule.group})')}" if rule.group else ""
     spans = (
-        f"filter(transform(p.m, (n, i) -> named_struct('start', {start}, 'kind', {number}, 'end', {start} + n, 'size', p.v[i])), "
+        f"filter(transform({ends}, (e, i) -> named_struct('start', e - p.m[i], 'kind', {number}, 'end', e, 'size', {values}[i])), "
         f"s -> s.size >= {rule.least})"
     )
-    return F.expr(f"element_at(transform(array({parts}), p -> {spans}), 1)")
+    return F.expr(f"element_at(transform(array(named_struct('m', {found}, 'g', {between}{size})), p -> {spans}), 1)")
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Add __spans: all spans of the rules, ordered by start and kind."""
     keyed = with_row_key(docs.withColumn("text", F.coalesce("text", F.lit(""))))
     found = shared_checkpoint(candidates(postings(keyed, rules), rules))
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     joined = keyed.join(found, "__row", "left")
     parts = []
     for n, rule in enumerate(rules):
