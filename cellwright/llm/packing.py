@@ -7,12 +7,18 @@ lengths); among the open sequences that hold a piece under every constraint the
 smallest weighted residual norm after placing it (``rule="norm"``), or of largest weighted
 dot product of residual and demand (``rule="dot"``), is chosen.
 
+A sequence holds at most ``DOCUMENTS`` pieces, as attention over packed documents needs their
+bounds.  The squared lengths in a sequence never exceed its squared length, so the attention
+capacity does not bind by itself; with the document count it decides, through ``WEIGHTS``, which
+of the sequences that are about equally full takes a piece.
+
 Tokenizing streams over the documents and keeps only each piece's length and checksum.
 Packing works on blocks of about ``BLOCK`` pieces dealt out by a hash, so no task grows with
 the input; a block leaves a sequence or two partly filled, some hundredths of a percent.
 
-Defined results: null text is empty, and an empty document is its end id alone; repeated rows
-are packed one by one; rows without doc_id keep a null id; an empty table gives an empty
+Defined results: null text is empty, and an empty document is its end id alone; very long texts
+are cut, no id is lost; repeated rows and ties are packed one by one; rows without doc_id keep a
+null id; columns other than doc_id and text are not looked at; an empty table gives an empty
 result.
 """
 
@@ -32,6 +38,9 @@ from cellwright.llm.common import shared_checkpoint
 SEQUENCE = 2048
 BLOCK = 8192
 END_ID = 0
+DOCUMENTS = 256
+#: Of the residual tokens, documents and attention cost, each as a share of its capacity.
+WEIGHTS = (1.0, 0.25, 0.25)
 #: Fixed value: the one special token of the vocabulary and its id.
 SPECIAL = {"<|endoftext|>": 50256}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -91,7 +100,7 @@ def best_fit(
     size: int = SEQUENCE,
     documents: int | None = None,
     attention: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3),
+    weights: tuple[float, float, float] = WEIGHTS,
     rule: str = "norm",
 ) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of each piece, for pieces no longer than ``size``."""
@@ -127,7 +136,7 @@ def pack(
     docs: DataFrame,
     vocabulary: str | None = None,
     size: int = SEQUENCE,
-    documents: int | None = None,
+    documents: int | None = DOCUMENTS,
     attention: int | None = None,
     rule: str = "norm",
 ) -> DataFrame:
