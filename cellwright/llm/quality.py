@@ -4,8 +4,8 @@ Every document gets a vector of transformed text statistics.  Within each langua
 source the location and scatter of these vectors are estimated by minimum covariance
 determinant: start from coordinate medians and deviations, then concentration steps that
 keep the share ``support`` of rows nearest by Mahalanobis distance and estimate anew.
-Documents beyond a chi-square quantile, on the harmful side of at least one statistic, are
-rejected.
+Documents beyond a chi-square quantile (``TAIL``) are rejected, whichever statistics or
+combination of them puts them there.
 
 Order statistics come from histograms with a fixed number of bins a group, so the result
 does not depend on partitioning and no group is ever gathered; the scatter has a floor
@@ -14,8 +14,11 @@ does not depend on partitioning and no group is ever gathered; the scatter has a
 Defined results: null text counts as empty; null language or source form their own groups;
 groups below ``MIN_ROWS`` rows are pooled by language, then altogether; what even that pool
 leaves too small is judged by the estimate of all documents of its language, or if those are
-too few, of the whole table, so that every document has a distance.  Tied and repeated rows count as often as they
-occur.  An empty table gives an empty result.  Other columns of the input are left alone.
+too few, of the whole table, so that every document has a distance.  Tied and repeated rows
+count as often as they occur.  Very long texts are counted whole: windows that share a hash cut
+short by the bits of their position are told apart by a second hash.  An empty table gives an
+empty result.  Of the input only doc_id, text, lang, source and columns asked for by name are
+read, so other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -30,17 +33,27 @@ from cellwright.llm.common import shared_checkpoint, words_of
 FEATURES = ("f1", "f2", "f3", "f4")
 #: Added to each statistic's standard deviation (as variances), so that constant ones stay invertible.
 SCALE_FLOOR = (0.08, 0.03, 0.15, 0.15)
-#: The side of each statistic that is harmful: longer or shorter words, more symbols, more repetition.
-HARMFUL = ("both", "high", "high", "high")
 SUPPORT = 0.75
 STEPS = 4
 MIN_ROWS = 50
-#: Chi-square tail probability beyond which a document is an outlier.
-TAIL = 1e-12
+#: Chi-square tail probability beyond which a document is an outlier: of 10^8 normal documents one.
+TAIL = 1e-8
 #: Groups are joined to their estimates through this many salts, as one group may hold most rows.
 SALTS = 16
 
 
+def _repeats(places: str, hashed: str) -> str:
+    """SQL of those window places whose hash occurs more than once, in order.
+
+    Each hash carries its place in its ``__b`` low bits, so that sorting brings equal ones together.
+    """
+    digest = hashed.format("__w[cast(i AS int)], __w[cast(i AS int) + 1], __w[cast(i AS int) + 2]")
+    packed = f"sort_array(transform({places}, i -> shiftleft(shiftrightunsigned({digest}, __b), __b) | cast(i AS bigint)))"
+    same = "shiftrightunsigned(x ^ coalesce(get(s, i {} 1), ~x), __b) = 0"
+    marked = f"transform(filter(s, (x, i) -> {same.format('-')} OR {same.format('+')}), x -> x & (shiftleft(1L, __b) - 1L))"
+    return f"CASE WHEN n_words >= 3 THEN sort_array(element_at(transform(array({packed}), s -> {marked}), 1)) END"
+
+
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (long)."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -57,23 +70,13 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "__b": F.when(F.size("__w") > 3, F.ceil(F.log2(F.size("__w").cast("double")))).otherwise(1).cast("int"),
         }
     )
-    # a window's hash with its position in the low bits: sorting brings equal windows together
-    packed = F.expr(
-        "CASE WHEN n_words >= 3 THEN transform(sequence(0, cast(n_words - 3 AS int)), i -> "
-        "shiftleft(shiftrightunsigned(xxhash64(__w[i], __w[i + 1], __w[i + 2]), __b), __b) | cast(i AS bigint)) END"
-    )
-    out = out.withColumn("__s", F.sort_array(packed))
-    marked = F.expr(
-        "sort_array(transform(filter(__s, (x, i) -> "
-        "shiftrightunsigned(x ^ coalesce(get(__s, i - 1), ~x), __b) = 0 OR "
-        "shiftrightunsigned(x ^ coalesce(get(__s, i + 1), ~x), __b) = 0), "
-        "x -> x & (shiftleft(1L, __b) - 1L)))"
-    )
-    out = out.withColumn("__p", marked)
+    # windows that are repeats by one hash, and of those the ones that are by another hash too
+    out = out.withColumn("__p", F.expr(_repeats("sequence(0, cast(n_words - 3 AS int))", "xxhash64({})")))
+    out = out.withColumn("__p", F.expr(_repeats("__p", "xxhash64('again', {})")))
     covered = F.expr(
         "aggregate(transform(__p, (p, i) -> least(3L, coalesce(get(__p, i + 1), p + 3L) - p)), 0L, (a, x) -> a + x)"
     )
-    return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("__w", "__l", "__b", "__s", "__p")
+    return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("__w", "__l", "__b", "__p")
 
 
 def with_features(stats: DataFrame) -> DataFrame:
@@ -168,10 +171,8 @@ def estimate_sql() -> list[dict[str, str]]:
 
 
 def verdict_sql() -> str:
-    """True where a document is an outlier on a harmful side."""
-    sides = {"high": "{f} > c_{f}", "low": "{f} < c_{f}", "both": "true"}
-    harm = " OR ".join(f"(({sides[s].format(f=f)}) AND abs({f} - c_{f}) > 3 * {floor})" for f, s, floor in zip(FEATURES, HARMFUL, SCALE_FLOOR, strict=True))
-    return f"({distance_sql()}) > {chi_square_quantile(TAIL, len(FEATURES))!r} AND ({harm})"
+    """True where a document is an outlier."""
+    return f"({distance_sql()}) > {chi_square_quantile(TAIL, len(FEATURES))!r}"
 
 
 def _nearest_share(rows: DataFrame) -> DataFrame:
@@ -224,7 +225,7 @@ def _with_groups(rows: DataFrame) -> DataFrame:
 def _salted_join(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
     """Join per-group values to rows; each value is repeated for ``SALTS`` salts as one group may be most rows."""
     small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(small, [key, "__salt"], "left").drop("__salt")
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", *FEATURES), F.lit(SALTS)).cast("int")).join(small, [key, "__salt"], "left").drop("__salt")
 
 
 def outlier_verdicts(rows: DataFrame) -> DataFrame:
@@ -254,16 +255,17 @@ def outlier_verdicts(rows: DataFrame) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
+def quality_rules(docs: DataFrame, *keep: str) -> DataFrame:
     """Statistics and verdict of every document.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, distance (squared).  See the module docstring for edge cases.
+    kept, distance (squared) and the columns named in ``keep``.  See the module docstring for
+    edge cases.
     """
-    stats = with_features(with_statistics(docs.select("doc_id", "text", "lang", "source"))).drop("text")
+    stats = with_features(with_statistics(docs.select("doc_id", "text", "lang", "source", *keep))).drop("text")
     judged = outlier_verdicts(stats)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & ~F.col("outlier")).alias("kept"), "distance",
+        failed.alias("base_failed"), (~failed & ~F.col("outlier")).alias("kept"), "distance", *keep,
     )
