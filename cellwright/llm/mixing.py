@@ -4,7 +4,7 @@ Sources share a token budget by weight; a source's target stops at ``MAX_EPOCHS`
 size and what it cannot use is shared again by weight (water-filling, solved in closed form
 over the sources ordered by cap per weight).  Complete epochs come first: every document of a
 source is taken floor(target / size) times.  The rest is a weighted sample without
-replacement: each document gets the key u^(1/w), u a hash of its id and w its quality weight,
+replacement: each document gets the key u^(1/w), u a hash of the document and w its quality weight,
 and documents are taken in falling key order while the prefix sum of sizes stays within the
 rest; the gap that the first one too many leaves is filled by further prefix sums over the
 next documents that fit.
@@ -14,9 +14,12 @@ of about ``BUCKET`` documents, prefix sums run over the buckets, and only the on
 which a source's budget ends is ordered.  Only the table of sources, one short row each, is
 ordered in a single task.
 
-Defined results: null text has size 0 and is never taken; a null source is a source of its
-own, last in order; ties in the key go by doc_id, then size, and equal rows count one by one;
-an empty table gives an empty result.  Reruns agree, as nothing but the rows decides.
+Defined results: null and blank texts have size 0 and are never taken; a null source is a
+source of its own, last in order; u comes from doc_id and text, so rows without doc_id differ by
+their texts; ties go by doc_id, then size, and equal rows count one by one; a very long text
+that no budget holds is passed over for smaller ones; columns other than doc_id, text and source
+are not looked at; an empty table gives an empty result.  Reruns agree, as nothing but the rows
+decides.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import shared_checkpoint, word_count
+from cellwright.llm.common import ROW_KEY, shared_checkpoint, with_row_key, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET_SHARE = 1.5
@@ -34,6 +37,8 @@ SALTS = 16
 #: Passes over a source's last bucket: its prefix, then smaller documents for the gap.
 FILLS = 4
 LEAST_WEIGHT = 0.5
+#: Copies of one row that are made at once.
+RUN = 1024
 
 
 def quality_weight(text: Column, size: Column) -> Column:
@@ -42,9 +47,10 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.greatest(F.lit(LEAST_WEIGHT), 1.0 - symbols.cast("double") / F.greatest(size, F.lit(1)))
 
 
-def uniform(doc_id: Column) -> Column:
-    """A number in (0, 1) that depends on the id alone: 52 bits of its MD5 value."""
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13)
+def uniform(doc_id: Column, text: Column) -> Column:
+    """A number in (0, 1) that depends on the document alone: 52 bits of an MD5 value."""
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    digits = F.substring(F.md5(name.cast("binary")), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -73,17 +79,18 @@ def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(spread, ["key", "salt"]).select(*rows.columns, *(c for c in sources.columns if c != "key"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, *keep: str) -> DataFrame:
     """How many words of each document the mix takes.
 
-    Returns doc_id, size, source_size, target, taken (0, or size times a number of copies).
+    Returns doc_id, size, source_size, target, taken (0, or size times a number of copies) and
+    the columns named in ``keep``.
     """
     sized = docs.select(
         F.col("doc_id").cast("long"), "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("key"),
-        word_count(F.col("text")).alias("size"), F.col("text"),
+        word_count(F.col("text")).alias("size"), F.col("text"), *keep,
     )
-    rank = F.pow(uniform(F.col("doc_id")), 1 / quality_weight(F.col("text"), F.col("size")))
-    sized = sized.withColumn("rank", rank).withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+    rank = F.pow(uniform(F.col("doc_id"), F.col("text")), 1 / quality_weight(F.col("text"), F.col("size")))
+    sized = sized.withColumn("rank", rank).withColumn("salt", F.pmod(F.xxhash64("doc_id", "rank"), F.lit(SALTS)).cast("int"))
     sized = shared_checkpoint(sized.drop("text"))
     plan = source_targets(sized)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -110,11 +117,18 @@ def mix(docs: DataFrame) -> DataFrame:
     others = rows.where("end IS NULL OR bucket <> end")
     others = others.withColumn("more", F.when(F.col("end").isNull(), F.col("rest") > 0).otherwise(F.col("bucket") < F.col("end")))
     copies = F.col("epochs") + F.when(F.col("more"), 1).otherwise(0)
-    return inside.unionByName(others).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    return inside.unionByName(others).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), *keep)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents in their mix: each as many times as it is taken, its columns unchanged."""
-    taken = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
+    """The documents in their mix: each as many times as it is taken, its columns unchanged.
+
+    Rows are told apart by all their columns; equal rows are interchangeable, so one of them
+    comes as often as all of them are taken, dealt out in runs of ``RUN`` copies.
+    """
+    keyed = with_row_key(docs)
+    taken = mix(keyed, *ROW_KEY).where("taken > 0").groupBy(*ROW_KEY).agg(F.sum(F.col("taken") / F.col("size")).cast("long").alias("__copies"))
+    joined = keyed.join(taken, list(ROW_KEY)).dropDuplicates(list(ROW_KEY))
+    runs = joined.withColumn("__left", F.explode(F.expr(f"sequence(__copies, 1, -{RUN}L)")))
+    runs = runs.withColumn("__copy", F.explode(F.expr(f"sequence(1, cast(least(__left, {RUN}) AS int))")))
+    return runs.select(*docs.columns)

@@ -61,8 +61,8 @@ def mixing_sql() -> str:
     for k in range(m.FILLS):
         passes.append(f"j{k} AS (SELECT *, coalesce(NOT more AND size <= gap AND sum(CASE WHEN NOT more AND size <= gap THEN size END) OVER ({order}) <= gap, false) AS now FROM i{k})")
         passes.append(f"i{k + 1} AS (SELECT * EXCLUDE (more, now, gap), more OR now AS more, gap - sum(CASE WHEN now THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM j{k})")
-    return f"""WITH sized AS (SELECT doc_id, source, len({WORDS}) AS size, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS symbols FROM documents),
-        keyed AS (SELECT doc_id, source, size, pow((CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / {1 << 52}::DOUBLE, 1 / greatest({m.LEAST_WEIGHT}, 1.0 - CAST(symbols AS DOUBLE) / greatest(size, 1))) AS rank FROM sized),
+    return f"""WITH sized AS (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) AS name, len({WORDS}) AS size, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS symbols FROM documents),
+        keyed AS (SELECT doc_id, source, size, pow((CAST('0x' || substr(md5(name), 1, 13) AS BIGINT) + 0.5::DOUBLE) / {1 << 52}::DOUBLE, 1 / greatest({m.LEAST_WEIGHT}, 1.0 - CAST(symbols AS DOUBLE) / greatest(size, 1))) AS rank FROM sized),
         src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM keyed GROUP BY source),
         wt AS (SELECT *, CAST([{', '.join(map(str, m.WEIGHTS))}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(m.WEIGHTS)}] AS DOUBLE) AS w, {m.MAX_EPOCHS} * source_size::DOUBLE AS cap, {m.BUDGET_SHARE}::DOUBLE * sum(source_size) OVER () AS total FROM src),
         lv AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM wt),

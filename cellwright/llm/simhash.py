@@ -14,9 +14,14 @@ Equal fingerprints are merged before keys are made, so exact copies cost one row
 is compared in blocks of at most ``BLOCK`` fingerprints (larger buckets in all pairs of their
 blocks), and of each block only a spanning forest leaves the task.
 
+A pair's keys have 24 bits, so in a bucket of unrelated fingerprints work grows with the square
+of their number over 2^24; it is numpy work on 64-bit words, a few nanoseconds a pair.
+
 Defined results: null, empty and blank texts have fingerprint zero and link like any other;
-rows without doc_id are fingerprinted and linked too, but never name a component unless it
-has no other id; repeated rows are kept.  An empty table gives an empty result.
+very long texts are hashed whole, their bits counted in parts; rows without doc_id are
+fingerprinted and linked too, and their component has a null id if it has no other; repeated
+rows are kept; columns other than doc_id and text are not looked at, whatever their names.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import components, partitions_for, shared_checkpoint
+from cellwright.llm.common import ROW_KEY, components, partitions_for, shared_checkpoint, with_row_key
 
 SHINGLE = 4
 SEED = 42
@@ -37,6 +42,8 @@ MAX_BITS = 4
 BLOCK = 4096
 #: Groups up to this size are compared by shifting the sorted column, larger ones by search.
 SMALL = 8
+#: Classes are joined to documents through so many salts.
+SALTS = 16
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
 GOLAY = 0b101011100011
 SEGMENT = 23
@@ -65,15 +72,16 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) with the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, keep) with the fingerprint's bits as a signed long; kept columns are longs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             prints = np.fromiter((fingerprint(t, width, seed) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": prints.view(np.int64)})
+            yield batch.drop(columns="text").assign(fp=prints.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", *keep, "fp"))
+    return docs.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string")).mapInPandas(run, schema)
 
 
 @cache
@@ -209,17 +217,36 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return ordered.mapInPandas(link, "u long, v long").distinct()
 
 
+def _classified(docs: DataFrame, width: int, seed: int, keep: tuple[str, ...]) -> DataFrame:
+    """doc_id, keep, fp, root (a fingerprint of the component) and component_id of every document."""
+    prints = shared_checkpoint(fingerprints(docs, width, seed, keep))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    joined = components(fingerprint_links(nodes))
+    named = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = named.join(roots, "root").select("fp", "root", "component_id")
+    # one fingerprint may be a third of all rows (empty texts, copies), so its class goes to salts
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id", *keep), F.lit(SALTS)).cast("int"))
+    return dealt.join(classes, ["fp", "salt"]).drop("salt")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """Fingerprint and component of every document.
 
     Returns doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable).
     """
-    prints = shared_checkpoint(fingerprints(docs, width, seed))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    joined = components(fingerprint_links(nodes))
-    named = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(roots, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    found = _classified(docs, width, seed, ())
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each component: a row with its smallest doc_id, its columns unchanged.
+
+    Rows are told apart by all their columns; of rows equal in all of them one stays.  A
+    component without any doc_id keeps one row too.
+    """
+    keyed = with_row_key(docs)
+    found = _classified(keyed, SHINGLE, SEED, ROW_KEY).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = found.groupBy("root").agg(F.min(F.struct(*ROW_KEY)).alias("first")).select("first.*")
+    return keyed.join(first, list(ROW_KEY), "left_semi").dropDuplicates(list(ROW_KEY)).select(*docs.columns)
