@@ -30,15 +30,24 @@ def unicode_to_ascii(c: Column) -> Column:
     return F.translate(c, UNICODE_CELLS, ASCII_CELLS)
 
 
-def ascii_mask(c: Column) -> Column:
+#: Eight-dot dialects: the second half of ASCII repeats the first without dot 7, which these characters carry.
+SECOND_HALF, FIRST_HALF = "`{|}~", "@[\\]^"
+DOT_SEVEN = {"duxbury": None, "liblouis": "[@A-Z\\[\\\\\\]^]", "liblouis_math": "[A-Z]"}
+
+
+def ascii_mask(c: Column, dialect: str = "duxbury") -> Column:
     """dot mask of one printable character, null where there is none."""
-    place = F.instr(F.lit(ASCII_CELLS), _upper(c))
-    return F.when(place > 0, place - 1).cast("int")
+    seven = DOT_SEVEN[dialect]
+    if seven is None:
+        place = F.instr(F.lit(ASCII_CELLS), _upper(c))
+        return F.when(place > 0, place - 1).cast("int")
+    place = F.instr(F.lit(ASCII_CELLS), _upper(F.translate(c, SECOND_HALF, FIRST_HALF)))
+    return F.when(place > 0, place - 1 + F.when(c.rlike(seven), 64).otherwise(0)).cast("int")
 
 
-def to_masks(c: Column) -> Column:
-    """masks of a whole string; a null element marks an unsupported character."""
-    return F.transform(F.filter(F.split(c, ""), lambda x: x != ""), ascii_mask)
+def to_masks(c: Column, dialect: str = "duxbury") -> Column:
+    """masks of a whole string in a dialect; a null element marks an unsupported character."""
+    return F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: ascii_mask(x, dialect))
 
 
 def masks_to_unicode(c: Column) -> Column:

@@ -36,30 +36,52 @@ def resolve_profile(name: Column) -> Column:
     return known[key]
 
 
+#: Stand-ins for the letters of words in capitals, so that a letter tells its word's form.
+SHOUTED = "".join(chr(0xE100 + i) for i in range(26))
+
+
+def _shout(text: Column) -> Column:
+    """The letters of every word of two capitals or more as their stand-ins."""
+    words = "(?<![A-Za-z])[A-Z]{2,}(?![A-Za-z])"
+    found = F.regexp_extract_all(text, F.lit(words), F.lit(0))
+    between = F.split(text, words, -1)
+    joined = F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.translate(F.get(found, i), UPPER, SHOUTED), F.lit(""))))
+    return F.array_join(joined, "")
+
+
 def encode_uncontracted(text: Column) -> Column:
     """array of (cell, offset): letters, capital sign, number sign with numeric mode, grade-1 sign, punctuation.
 
-    Numeric runs are delimited by a private mark before the characters are mapped, so the
-    encoding of a character depends on itself and its neighbours only.
+    A word of two capitals or more has one double sign before it.  Numeric runs are delimited by
+    a private mark before the characters are mapped, so the encoding of a character depends on
+    itself and its neighbours only.
     """
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    chars = F.filter(F.split(_shout(text), ""), lambda c: c != "")
     run = F.transform(F.array(chars), lambda s: F.transform(s, lambda c, i: F.struct(c.alias("c"), F.when(i > 0, F.get(s, i - 1)).alias("p"), i.alias("o"))))[0]
+    shouted = f"[{SHOUTED[0]}-{SHOUTED[-1]}]"
 
     def cells(x: Column) -> Column:
         c, p = x["c"], x["p"]
         after_number = F.coalesce(p.rlike("[0-9.,]"), F.lit(False))
         numeric = F.coalesce(p.rlike("[0-9]"), F.lit(False))
-        body = F.translate(F.translate(c, LOWER, UPPER), "1234567890.,;:!?", DIGIT_LETTERS.upper() + "".join(MARKS[m] for m in ".,;:!?"))
+        body = F.translate(F.translate(c, LOWER + SHOUTED, UPPER + UPPER), "1234567890.,;:!?", DIGIT_LETTERS.upper() + "".join(MARKS[m] for m in ".,;:!?"))
         sign = F.when(c.rlike("[A-Z]"), ",").when(c.rlike("[0-9]") & ~numeric & ~after_number, "#").when(c.rlike("[a-j]") & numeric, ";").otherwise("")
+        sign = F.when(c.rlike(shouted), F.when(F.coalesce(p.rlike(shouted), F.lit(False)), "").otherwise(",,")).otherwise(sign)
         return F.transform(F.filter(F.split(F.concat(sign, body), ""), lambda y: y != ""), lambda y: F.struct(y.alias("cell"), x["o"].cast("int").alias("offset")))
 
     return F.flatten(F.transform(run, cells))
 
 
+def encode_capital_passage(text: Column) -> Column:
+    """cells of a passage that the caller marks as all in capitals: a triple sign, small letters, a terminator."""
+    body = F.array_join(F.transform(encode_uncontracted(F.lower(text)), lambda x: x["cell"]), "")
+    return F.concat(F.lit(",,,"), body, F.lit(",'"))
+
+
 def mark_numeric_spaces(text: Column) -> Column:
-    """a space inside grouped thousands becomes the numeric-space mark, and a grade-1 mark comes before a letter after digit-dash."""
+    """a space inside grouped thousands becomes the numeric-space mark, and a grade-1 mark before a letter, yr or an abbreviation in capitals after digit-dash."""
     grouped = F.regexp_replace(text, "([0-9]) (?=[0-9]{3}(?:[^0-9]|$))", "$1\ue001")
-    return F.regexp_replace(grouped, "([0-9])-([a-zA-Z])(?=[^a-zA-Z]|$)", "$1-\ue002$2")
+    return F.regexp_replace(grouped, "([0-9])-([a-zA-Z]|[yY][rR]|[A-Z]{2,})(?=[^a-zA-Z]|$)", "$1-\ue002$2")
 
 
 def normalize_punctuation(text: Column) -> Column:
@@ -133,7 +155,22 @@ def construct_status(text: Column) -> Column:
 
 
 def capital_sites(text: Column) -> Column:
-    """words with their capital state: initial, all or mixed, for every word with a capital."""
+    """every word with a capital: (word, state, source_start, expected_start, following).
+
+    State is initial, all or mixed; words in initial state have the place of their capital sign
+    among the encoded cells and the cell after it.
+    """
     words = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
     state = lambda w: F.when(w.rlike("^[A-Z][a-z]*$"), "initial").when(w.rlike("^[A-Z]+$"), "all").otherwise("mixed")
-    return F.transform(F.filter(words, lambda w: w.rlike("[A-Z]")), lambda w: F.struct(w.alias("word"), state(w).alias("state")))
+    cells = encode_uncontracted(text)
+    places = F.transform(cells, lambda x: x["offset"])
+
+    def site(w: Column, start: Column, at: Column, cell: Column) -> Column:
+        own = state(w) == "initial"
+        place = (F.array_position(at, start) - 1).cast("int")
+        return F.struct(w.alias("word"), state(w).alias("state"), start.alias("source_start"), F.when(own, place).alias("expected_start"), F.when(own, F.get(cell, place + 1)).alias("following"))
+
+    between = F.split(text, "[A-Za-z]+", -1)
+    begins = F.transform(words, lambda w, i: F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda t, g: t + F.length(g)) + F.aggregate(F.slice(words, F.lit(1), i), F.lit(0), lambda t, x: t + F.length(x)))
+    sites = F.zip_with(words, begins, lambda w, start: site(w, start, places, F.transform(cells, lambda x: x["cell"])))
+    return F.filter(sites, lambda x: x["word"].rlike("[A-Z]"))
