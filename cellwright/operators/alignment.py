@@ -80,21 +80,42 @@ def heading_anchors(exp: DataFrame, act: DataFrame, least: float = 0.85) -> Data
     return exp.select("doc_id", F.col("seq").alias("i")).join(matched, ["doc_id", "i"], "left")
 
 
-def pair_between_anchors(exp: DataFrame, act: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Pairs (doc_id, i, j) in the slices between anchors: by place where counts agree, else equal texts only."""
+def _sliced(side: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
+    """Blocks of one side with their slice between anchors, place in it and its number of blocks."""
+    marked = side.withColumnRenamed("seq", key).join(anchors.select("doc_id", key, F.col("i").alias("anchor")).distinct(), ["doc_id", key], "left")
+    out = marked.withColumn("slice", F.coalesce(F.last("anchor", ignorenulls=True).over(_doc().orderBy(key)), F.lit(-1)))
+    one = Window.partitionBy("doc_id", "slice")
+    return out.select("doc_id", "slice", key, F.col("text").alias(f"t{key}"), F.row_number().over(one.orderBy(key)).alias("place"), F.count("*").over(one).alias(f"n{key}"))
 
-    def sliced(side: DataFrame, key: str) -> DataFrame:
-        marked = side.withColumnRenamed("seq", key).join(anchors.select("doc_id", key, F.col("i").alias("anchor")).distinct(), ["doc_id", key], "left")
-        own = _doc().orderBy(key)
-        out = marked.withColumn("slice", F.coalesce(F.last("anchor", ignorenulls=True).over(own), F.lit(-1)))
-        one = Window.partitionBy("doc_id", "slice")
-        return out.select("doc_id", "slice", key, F.col("text").alias(f"t{key}"), F.row_number().over(one.orderBy(key)).alias("place"), F.count("*").over(one).alias(f"n{key}"))
 
-    a, b = sliced(exp, "i"), sliced(act, "j")
-    pairs = a.join(b, ["doc_id", "slice", "place"]).where("ni = nj OR ti = tj")
+def pair_between_anchors(exp: DataFrame, act: DataFrame, anchors: DataFrame) -> DataFrame:
+    """J3, its native part: pairs (doc_id, i, j) at one place of the slices between anchors, where counts agree or texts do."""
+    pairs = _sliced(exp, anchors, "i").join(_sliced(act, anchors, "j"), ["doc_id", "slice", "place"]).where("ni = nj OR ti = tj")
     return pairs.select("doc_id", "i", "j", (F.col("ti") == F.col("tj")).alias("same_text"))
 
 
+def pair_slices(exp: DataFrame, act: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Pairs (doc_id, i, j) in the slices between anchors: by place where counts agree, else the blocks of longest matching runs of texts.
+
+    Only slices of unlike counts leave the native plan, as two arrays of text hashes each.
+    """
+    a, b = _sliced(exp, anchors, "i"), _sliced(act, anchors, "j")
+    even = a.join(b, ["doc_id", "slice", "place"]).where("ni = nj").select("doc_id", "i", "j", (F.col("ti") == F.col("tj")).alias("same_text"))
+    listed = lambda side, key: side.groupBy("doc_id", "slice").agg(F.array_sort(F.collect_list(F.struct(key, F.xxhash64(f"t{key}").alias("h")))).alias(f"l{key}"))
+    uneven = listed(a, "i").join(listed(b, "j"), ["doc_id", "slice"]).where("size(li) <> size(lj)")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                x, y = list(r.li), list(r.lj)
+                for block in SequenceMatcher(None, [v["h"] for v in x], [v["h"] for v in y], False).get_matching_blocks():
+                    out += [(r.doc_id, x[block.a + k]["i"], y[block.b + k]["j"], True) for k in range(block.size)]
+            yield pd.DataFrame(out, columns=["doc_id", "i", "j", "same_text"])
+
+    return even.unionByName(uneven.select("doc_id", "li", "lj").mapInPandas(run, even.schema))
+
+
 def merge_runs(tagged: DataFrame, keys: list[str], pos: str = "pos", tag: str = "tag") -> DataFrame:
     """Runs of adjacent positions with one tag: (keys, tag, first, last)."""
     place = F.row_number().over(Window.partitionBy(*keys, tag).orderBy(pos))

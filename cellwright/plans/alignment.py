@@ -95,6 +95,7 @@ QUERIES = {
     "j1_unique_anchors": anchors,
     "j2_heading_anchors": lambda s, d: A.heading_anchors(headings(expected(s, d)), headings(actual(s, d))),
     "j3_pair_between_anchors": lambda s, d: A.pair_between_anchors(expected(s, d), actual(s, d), monotone_anchors(anchors(s, d))),
+    "j3_pair_slices": lambda s, d: A.pair_slices(expected(s, d), actual(s, d), monotone_anchors(anchors(s, d))),
     "j4_align_equal_width": width_runs,
     "j5_align_blank_only": lambda s, d: A.align_blank_only(pairs(s, d).select("doc_id", "region", "text"), pairs(s, d).select("doc_id", "region", F.col("other").alias("text"))),
     "j6_alignment_path": lambda s, d: A.alignment_path(pairs(s, d)).select("doc_id", "region", "path"),
