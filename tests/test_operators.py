@@ -141,6 +141,22 @@ def test_heading_anchors_are_one_to_one(spark):
     assert [(r.i, r.j) for r in alignment.heading_anchors(exp, act).orderBy("i").collect()] == [(0, 0), (1, 1), (2, None)]
 
 
+def test_slices_of_unlike_counts_pair_by_matching_runs(spark):
+    exp = spark.createDataFrame([(1, i, t) for i, t in enumerate(["A", "x", "y", "x", "z", "B", "p", "q"])], "doc_id long, seq int, text string")
+    act = spark.createDataFrame([(1, i, t) for i, t in enumerate(["A", "y", "x", "z", "B", "p", "r"])], "doc_id long, seq int, text string")
+    found = {(r.i, r.j): r.same_text for r in alignment.pair_slices(exp, act, spark.createDataFrame([(1, 0, 0), (1, 5, 4)], "doc_id long, i int, j int")).collect()}
+    assert found == {(0, 0): True, (2, 1): True, (3, 2): True, (4, 3): True, (5, 4): True, (6, 5): True, (7, 6): False}
+
+
+def test_capital_words_and_dialects(spark):
+    df = spark.createDataFrame([("NASA Ab cD 3A",)], "x string")
+    out = df.select(encoding.encode_uncontracted(F.col("x")).alias("e"), encoding.capital_sites(F.col("x")).alias("s"), encoding.encode_capital_passage(F.lit("ab C")).alias("p")).first()
+    assert "".join(c.cell for c in out.e) == ",,NASA ,AB C,D #C,A" and out.p == ",,,AB C,'"
+    assert [(w.word, w.state, w.source_start, w.expected_start, w.following) for w in out.s] == [("NASA", "all", 0, None, None), ("Ab", "initial", 5, 7, "A"), ("cD", "mixed", 8, None, None), ("A", "initial", 12, 17, "A")]
+    masks = spark.createDataFrame([("aA@`[{",)], "x string").select(*(braille.to_masks(F.col("x"), d).alias(d) for d in braille.DOT_SEVEN)).first()
+    assert masks.duxbury == [1, 1, 8, None, 42, None] and masks.liblouis == [1, 65, 72, 8, 106, 42] and masks.liblouis_math == [1, 65, 8, 8, 42, 42]
+
+
 def test_words_align_with_merged_changes(spark):
     df = spark.createDataFrame([(1, 0, "a b c d", "a x d")], "doc_id long, region long, text string, other string")
     assert [(r.tag, r.e0, r.e1, r.a0, r.a1) for r in alignment.align_words(df).orderBy("n").collect()] == [("equal", 0, 1, 0, 1), ("replace", 1, 3, 1, 2), ("equal", 3, 4, 2, 3)]
