@@ -10,8 +10,8 @@ features they share (spherical k-means from a fixed start).
 Features are a document's distinct words and their prefixes, as present or not.  The models
 are fitted on at most ``SAMPLE_ROWS`` labelled documents (whole texts, chosen by a hash of the
 id, one text for each id); that is the one bound, and with it what the driver holds.  All
-features take part whose log-odds in that sample lie ``EVIDENCE`` standard errors above the
-sample's own.  Scoring streams over the whole texts of all documents.
+features take part whose rate of toxic documents in that sample lies ``EVIDENCE`` standard errors
+above the sample's own.  Scoring streams over the whole texts of all documents.
 
 Defined results: null and empty texts have no features and get the models' base rates; labels
 that are null, or whose document is missing, are not used, of unlike labels of one id the toxic
@@ -38,7 +38,7 @@ from cellwright.llm.common import shared_checkpoint
 SAMPLE_ROWS = 20_000
 FOLDS = 5
 LEAST_COUNT = 3
-#: Standard errors by which a feature's log-odds must exceed those of the sample.
+#: Standard errors by which a feature's rate of toxic documents must exceed the sample's (root of the likelihood ratio).
 EVIDENCE = 4.0
 THRESHOLD = 0.4
 PREFIXES = (4, 5, 6, 7)
@@ -172,10 +172,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Chain:
 
     counted = sample.mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     totals = sample.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") > 0, 1)), F.lit(0))).first()
-    prior = math.log((totals[1] + 0.5) / (totals[0] - totals[1] + 0.5))
-    above = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) - prior
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    chosen = counted.where((F.col("toxic") >= LEAST_COUNT) & (above >= EVIDENCE * error)).select("feature")
+    rate = (totals[1] + 0.5) / (totals[0] + 1)
+    seen = F.col("toxic") + F.col("clean")
+    share = lambda part, expected: F.when(F.col(part) > 0, F.col(part) * F.log(F.col(part) / (seen * expected))).otherwise(0.0)
+    evidence = 2 * (share("toxic", rate) + share("clean", 1 - rate))  # likelihood ratio against the sample's own rate
+    telling = (F.col("toxic") >= LEAST_COUNT) & (F.col("toxic") > rate * seen) & (evidence >= EVIDENCE**2)
+    chosen = counted.where(telling).select("feature")
     places = {f: i for i, f in enumerate(sorted(r[0] for r in chosen.collect()))}  # words of the bounded sample
     reader = Chain(places, [])
 
