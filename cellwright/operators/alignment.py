@@ -20,6 +20,10 @@ from pyspark.sql import types as T
 
 #: Cells a side beyond which a region is split before it is aligned.
 MOST_CELLS = 2048
+#: Costs that are computed at once, unless one pair alone has more.
+COSTS_HELD = 1 << 20
+#: Regions of up to so many cells a side are costed together.
+TOGETHER = 128
 #: Cells of the unique texts at which longer regions are split.
 ANCHOR_CELLS = 8
 OPCODES = "doc_id long, region long, n int, tag string, e0 int, e1 int, a0 int, a1 int"
@@ -177,7 +181,41 @@ def _cost_rows(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
         yield row + ramp
 
 
-def edit_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, int]]:
+def _remaining_costs(pairs: list[tuple[str, str]]) -> list[list[list[int]]]:
+    """For each pair the edit costs of what remains from every place, many pairs of about one size at a time."""
+    out: list = [None] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: tuple(map(len, pairs[k])))
+    while order:
+        n = m = 0
+        chunk: list[int] = []
+        while order:
+            x, y = pairs[order[-1]]
+            grown = max(n, len(x)), max(m, len(y))
+            if chunk and (len(chunk) + 1) * (grown[0] + 1) * (grown[1] + 1) > COSTS_HELD:
+                break
+            (n, m), _ = grown, chunk.append(order.pop())
+        a, b = np.full((len(chunk), n), -1, np.int64), np.full((len(chunk), m), -2, np.int64)  # padding equals nothing
+        for row, k in enumerate(chunk):
+            x, y = pairs[k]
+            a[row, : len(x)], b[row, : len(y)] = _codes(x)[::-1], _codes(y)[::-1]
+        ramp = np.arange(m + 1, dtype=np.int64)
+        costs = np.zeros((len(chunk), n + 1, m + 1), np.int64)  # less the column number, as in _cost_rows
+        for i in range(1, n + 1):
+            cell, new = a[:, i - 1 : i], costs[:, i]
+            new[:, 0] = i
+            new[:, 1:] = np.minimum(costs[:, i - 1, :-1] - (b == cell), costs[:, i - 1, 1:] + 1)
+            if i > 1 and m > 1:
+                swap = (b[:, 1:] == a[:, i - 2 : i - 1]) & (b[:, :-1] == cell)
+                new[:, 2:] = np.where(swap, np.minimum(new[:, 2:], costs[:, i - 2, :-2] - 1), new[:, 2:])
+            np.minimum.accumulate(new, axis=1, out=new)
+        costs += ramp
+        for row, k in enumerate(chunk):
+            x, y = pairs[k]
+            out[k] = costs[row, len(x) :: -1, len(y) :: -1].tolist()
+    return out
+
+
+def edit_opcodes(expected: str, actual: str, left: list[list[int]] | None = None) -> list[tuple[str, int, int, int, int]]:
     """Minimum edits with adjacent swaps at one, as merged opcodes; a swap is a replaced pair.
 
     Where several cheapest ways go on from a place, taken are in this order: an inserted cell
@@ -187,8 +225,7 @@ def edit_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, i
     if expected == actual:
         return _merged([("equal", 0, len(expected), 0, len(actual))])
     n, m = len(expected), len(actual)
-    a, b = _codes(expected), _codes(actual)
-    left = np.stack(list(_cost_rows(a[::-1], b[::-1])))[::-1, ::-1].tolist()  # cost of what remains from each place
+    left = left or _remaining_costs([(expected, actual)])[0]
     ops: list[tuple] = []
     i = j = 0
 
@@ -333,10 +370,12 @@ def align_bounded(pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            short = [(r.text, r.other) for r in batch.itertuples() if r.path == "edits" and r.text != r.other and max(len(r.text), len(r.other)) <= TOGETHER]
+            known = {pair: edit_opcodes(*pair, costs) for start in range(0, len(short), 4096) for pair, costs in zip(short[start : start + 4096], _remaining_costs(short[start : start + 4096]), strict=True)}
             out = [
                 (r.doc_id, r.region, n, *op)
                 for r in batch.itertuples()
-                for n, op in enumerate(region_opcodes(r.path, r.text, r.other))
+                for n, op in enumerate(known.get((r.text, r.other)) if r.path == "edits" and (r.text, r.other) in known else region_opcodes(r.path, r.text, r.other))
             ]
             yield pd.DataFrame(out, columns=["doc_id", "region", "n", "tag", "e0", "e1", "a0", "a1"])
 
