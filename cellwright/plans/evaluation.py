@@ -136,6 +136,23 @@ def manifest_rows(s, d):
     return files.with_json(mutations(expected_cells(s, d)).select("doc_id", "mutation_id", "expected_cells", F.array(F.struct("page_no", "line_no", "col_no")).alias("locations")))
 
 
+SINK = "doc_id long, mutation_id string, operation string, expected_start long, page_no int, expected_cells string"
+
+
+def differences_written(s, d):
+    """Differences written as CSV and read back."""
+    path = files.new_folder(s)
+    files.write_csv(mutations(expected_cells(s, d)), [c.split()[0] for c in SINK.split(", ")], path)
+    return s.read.csv(path, header=True, schema=SINK, quote='"', escape='"')
+
+
+def findings_written(s, d):
+    """Findings written as JSON by folders of documents and read back."""
+    path = files.new_folder(s)
+    files.write_findings(found(s, d).drop("boxes"), path)
+    return s.read.json(path, schema="doc_id long, page_no int, find_id string, operation string, start long, end long").drop("doc_bucket")
+
+
 def geometry(s, d):
     rows = source_blocks(s, d).select("doc_id", "seq", F.expr("array(doc_id % 3, seq % 2, 7)").alias("a"), F.expr("array(cast(seq % 3 AS bigint), doc_id % 2, CASE WHEN seq % 4 = 0 THEN 7 ELSE 9 END)").alias("b"))
     return rows.select("doc_id", "seq", V.geometry_relation(F.col("a"), F.col("b")).alias("relation"))
@@ -149,6 +166,8 @@ QUERIES = {
     "s1_split_pages": lambda s, d: files.split_pages(form_fed(s, d)),
     "s8_manifest_columns": manifest_rows,
     "s9_repair_swapped": lambda s, d: V.repair_swapped(swapped(s, d), "number", "text"),
+    "s11_findings_written": findings_written,
+    "s13_differences_written": differences_written,
     "s12_diagnostics": lambda s, d: files.diagnostics(reviews(s, d), mapped(s, d)).select("doc_id", "diff_id", "mapped", "cells", F.coalesce(F.size("ranges"), F.lit(0)).alias("n_ranges")),
     "s14_cells_to_brf": lambda s, d: files.cells_to_brf(expected_cells(s, d).where("mask IS NOT NULL")),
     "j28_match_candidates": candidates,
@@ -179,6 +198,8 @@ ORACLE_SQL = {
     "s1_split_pages": "WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS path, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL), q AS (SELECT path, CASE WHEN len(p) > 1 AND CAST(path AS BIGINT) % 2 = 1 AND trim(p[-1]) = '' THEN p[:-2] ELSE p END AS p FROM p) SELECT path, CAST(i AS INT) AS page_no, p[i] AS page_text FROM (SELECT *, unnest(generate_series(1, len(p))) AS i FROM q)",
     "s8_manifest_columns": sql("lines cells muts", "SELECT doc_id, mutation_id, '[' || array_to_string(expected_cells, ',') || ']' AS expected_cells, printf('[{\"page_no\":%d,\"line_no\":%d,\"col_no\":%d}]', page_no, line_no, col_no) AS locations FROM muts"),
     "s9_repair_swapped": sql("lines", ", w AS (SELECT doc_id, seq, CASE WHEN seq % 3 = 0 THEN raw_line ELSE CAST(doc_id AS VARCHAR) END AS n, CASE WHEN seq % 3 = 0 THEN CAST(doc_id AS VARCHAR) ELSE raw_line END AS t FROM lines), k AS (SELECT *, NOT regexp_matches(n, '^[0-9]+$') AND regexp_matches(t, '^[0-9]+$') AS repaired FROM w) SELECT doc_id, seq, CASE WHEN repaired THEN t ELSE n END AS number, CASE WHEN repaired THEN n ELSE t END AS text, repaired FROM k"),
+    "s11_findings_written": sql("lines cells muts", f', {FO} SELECT doc_id, page_no, find_id, operation, start, "end" FROM fo'),
+    "s13_differences_written": sql("lines cells muts", "SELECT doc_id, mutation_id, operation, expected_start, page_no, '[' || array_to_string(expected_cells, ',') || ']' AS expected_cells FROM muts"),
     "s12_diagnostics": sql("blocks", f", {BRS}, sp AS (SELECT * FROM (SELECT doc_id, seq AS id, start + doc_id % 5 AS start, \"end\" + (doc_id + seq) % 40 AS \"end\" FROM br) WHERE start <= \"end\"), pg AS (SELECT doc_id, page_no, min(start) AS r0, max(\"end\") + 1 AS r1 FROM br GROUP BY ALL), x AS (SELECT s.doc_id, id, least(\"end\", r1) - greatest(start, r0) AS n FROM sp s JOIN pg p ON s.doc_id = p.doc_id AND start < r1 AND (r0 < \"end\" OR (start = \"end\" AND r0 <= start)) WHERE id % 2 = 0), g AS (SELECT doc_id, id, sum(n) AS cells, count(*) AS n_ranges FROM x GROUP BY ALL) SELECT s.doc_id, s.id AS diff_id, g.id IS NOT NULL AS mapped, coalesce(cells, 0) AS cells, coalesce(n_ranges, 0) AS n_ranges FROM sp s LEFT JOIN g ON g.doc_id = s.doc_id AND g.id = s.id"),
     "s14_cells_to_brf": sql("lines cells", f", l AS (SELECT doc_id, page_no, line_no, string_agg(substr('{ASCII_CELLS.replace(chr(39), chr(39) * 2)}', mask + 1, 1), '' ORDER BY col_no) AS t FROM cells WHERE mask IS NOT NULL GROUP BY ALL), p AS (SELECT doc_id, page_no, string_agg(t, chr(10) ORDER BY line_no) AS t FROM l GROUP BY ALL) SELECT doc_id, string_agg(t, chr(12) ORDER BY page_no) AS text FROM p GROUP BY doc_id"),
     "j28_match_candidates": sql("lines cells muts", f", {MU}, {FO}, {CA} SELECT * FROM ca"),
