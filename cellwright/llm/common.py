@@ -34,6 +34,15 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compacted(df: DataFrame, rows: int = 65_536) -> DataFrame:
+    """A checkpointed DataFrame with one partition for about so many rows, where it has more than that takes.
+
+    Small intermediate results otherwise keep the partitions of the shuffle that made them, and
+    every later exchange writes a file for each.
+    """
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def with_row_key(df: DataFrame) -> DataFrame:
     """Add ``ROW_KEY``: 128 bits of all columns, so that rows with one id but other contents stay apart.
 
@@ -75,7 +84,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """
     current = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
     while True:
-        current = shared_checkpoint(_small_star(_large_star(current)))
+        current = compacted(shared_checkpoint(_small_star(_large_star(current))))
         inner = current.select(F.col("v").alias("u")).distinct()
         several = current.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         if current.join(inner, "u", "left_semi").select("u").unionByName(several).isEmpty():
