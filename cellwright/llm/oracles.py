@@ -91,3 +91,24 @@ def secrets_sql() -> str:
         "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), s AS (SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE size >= least) "
         f"SELECT doc_id, {counts}, sha256({joined.format(f' FILTER (kind < {secrets.BASE})')}) AS base_sha256, {joined.format('')} AS spans FROM d LEFT JOIN s USING (r) GROUP BY r, doc_id"
     )
+
+
+def audit_sql() -> str:
+    """op11: every mask against every order, step by step."""
+    return f"""WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+    orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM letters a, letters b, letters c, letters d, letters e
+        WHERE a.f NOT IN (b.f, c.f, d.f, e.f) AND b.f NOT IN (c.f, d.f, e.f) AND c.f NOT IN (d.f, e.f) AND d.f <> e.f),
+    d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+    low AS (SELECT t, min(doc_id) AS m FROM d GROUP BY t),
+    masked AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > m THEN 'E' ELSE '' END AS mask FROM d JOIN low USING (t)),
+    l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    counts AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM masked LEFT JOIN l USING (doc_id) GROUP BY ALL),
+    steps AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS k FROM orders),
+    facts AS (SELECT part, o, k, substr(o, k, 1) AS f, n, good, toxic, mask, contains(mask, substr(o, k, 1)) AS fails, translate(mask, substr(o, 1, k - 1), '') = mask AS reached,
+        translate(mask, substr(o, 1, k), '') = mask AS stays FROM counts, steps),
+    summed AS (SELECT part, o, k, f, coalesce(sum(n) FILTER (stays), 0) AS kept, coalesce(sum(n) FILTER (fails AND reached), 0) AS removed, coalesce(sum(n) FILTER (fails AND NOT reached), 0) AS redundant,
+        coalesce(sum(n) FILTER (mask = f), 0) AS unique_fails, coalesce(sum(good) FILTER (fails AND reached), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND reached), 0) AS toxic_lost FROM facts GROUP BY ALL)
+    SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM summed"""
