@@ -8,6 +8,7 @@ so every region is aligned in bounded steps, whatever its length.
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -127,6 +128,13 @@ def merge_runs(tagged: DataFrame, keys: list[str], pos: str = "pos", tag: str =
     return runs.groupBy(*keys, tag, "island").agg(F.min(pos).alias("first"), F.max(pos).alias("last")).drop("island")
 
 
+def merge_opcodes(opcodes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """W7 of opcodes that follow each other without a gap: neighbours of one tag become one, numbered from 0."""
+    own = Window.partitionBy(*keys).orderBy(*order)
+    rows = opcodes.withColumn("group", F.sum((~F.lag("tag").over(own).eqNullSafe(F.col("tag"))).cast("int")).over(own) - 1)
+    return rows.groupBy(*keys, F.col("group").cast("int").alias("n")).agg(F.first("tag").alias("tag"), *(f(c).alias(c) for f, c in ((F.min, "e0"), (F.max, "e1"), (F.min, "a0"), (F.max, "a1"))))
+
+
 def align_equal_width(exp: DataFrame, act: DataFrame) -> DataFrame:
     """Positional compare of regions (doc_id, region, pos, mask): runs of equal and replace."""
     both = exp.join(act.withColumnRenamed("mask", "other"), ["doc_id", "region", "pos"])
@@ -181,9 +189,15 @@ def _cost_rows(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
         yield row + ramp
 
 
-def _remaining_costs(pairs: list[tuple[str, str]]) -> list[list[list[int]]]:
-    """For each pair the edit costs of what remains from every place, many pairs of about one size at a time."""
-    out: list = [None] * len(pairs)
+#: Steps of a path: cells of the expected and of the actual side that each takes, and its tag.
+EQUAL, SWAP, SUBSTITUTE, DELETE, INSERT = range(5)
+TAKES = ((1, 1), (2, 2), (1, 1), (1, 0), (0, 1))
+SAME_TAG = re.compile(b"(\x00+)|([\x01\x02]+)|(\x03+)|(\x04+)")
+TAGS = ("equal", "replace", "delete", "insert")
+
+
+def _batches(pairs: list[tuple[str, str]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Pairs of about one size together: their places, and both sides reversed, so that what remains is a prefix."""
     order = sorted(range(len(pairs)), key=lambda k: tuple(map(len, pairs[k])))
     while order:
         n = m = 0
@@ -198,66 +212,121 @@ def _remaining_costs(pairs: list[tuple[str, str]]) -> list[list[list[int]]]:
         for row, k in enumerate(chunk):
             x, y = pairs[k]
             a[row, : len(x)], b[row, : len(y)] = _codes(x)[::-1], _codes(y)[::-1]
-        ramp = np.arange(m + 1, dtype=np.int64)
-        costs = np.zeros((len(chunk), n + 1, m + 1), np.int64)  # less the column number, as in _cost_rows
-        for i in range(1, n + 1):
-            cell, new = a[:, i - 1 : i], costs[:, i]
-            new[:, 0] = i
-            new[:, 1:] = np.minimum(costs[:, i - 1, :-1] - (b == cell), costs[:, i - 1, 1:] + 1)
-            if i > 1 and m > 1:
-                swap = (b[:, 1:] == a[:, i - 2 : i - 1]) & (b[:, :-1] == cell)
-                new[:, 2:] = np.where(swap, np.minimum(new[:, 2:], costs[:, i - 2, :-2] - 1), new[:, 2:])
-            np.minimum.accumulate(new, axis=1, out=new)
-        costs += ramp
-        for row, k in enumerate(chunk):
-            x, y = pairs[k]
-            out[k] = costs[row, len(x) :: -1, len(y) :: -1].tolist()
+        yield chunk, a, b
+
+
+def _remaining_costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit costs by how many cells remain on each side, adjacent swaps at one, of reversed pairs."""
+    (k, n), m = a.shape, b.shape[1]
+    costs = np.zeros((k, n + 1, m + 1), np.int64)  # less the column number, as in _cost_rows
+    for i in range(1, n + 1):
+        cell, new = a[:, i - 1 : i], costs[:, i]
+        new[:, 0] = i
+        new[:, 1:] = np.minimum(costs[:, i - 1, :-1] - (b == cell), costs[:, i - 1, 1:] + 1)
+        if i > 1 and m > 1:
+            swap = (b[:, 1:] == a[:, i - 2 : i - 1]) & (b[:, :-1] == cell)
+            new[:, 2:] = np.where(swap, np.minimum(new[:, 2:], costs[:, i - 2, :-2] - 1), new[:, 2:])
+        np.minimum.accumulate(new, axis=1, out=new)
+    costs += np.arange(m + 1, dtype=np.int64)
+    return costs
+
+
+def _run_lengths(side: np.ndarray) -> np.ndarray:
+    """For each cell of reversed texts how many equal ones go on from it."""
+    out = np.ones_like(side)
+    for i in range(1, side.shape[1]):
+        out[:, i] += np.where(side[:, i] == side[:, i - 1], out[:, i - 1], 0)
+    return out
+
+
+def _steps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The step to take by how many cells remain (both sides at least one), for all places of reversed pairs at once.
+
+    Of the steps that a cheapest path can take the first of this order counts: an insertion in front of an
+    equal cell of its run; a deletion in front of a run that is left one cell longer than its counterpart
+    and is followed by a substitution, which it then stands apart from; an equal cell; a swap; a
+    substitution; a deletion; an insertion.
+    """
+    costs = _remaining_costs(a, b)
+    here, diagonal = costs[:, 1:, 1:], costs[:, :-1, :-1]
+    same = a[:, :, None] == b[:, None, :]
+    inserts, deletes = here == costs[:, 1:, :-1] + 1, here == costs[:, :-1, 1:] + 1
+    steps = np.where(deletes, DELETE, INSERT).astype(np.uint8)
+    steps[here == diagonal + 1] = SUBSTITUTE
+    if a.shape[1] > 1 and b.shape[1] > 1:
+        crossed = (a[:, 1:, None] == b[:, None, :-1]) & (a[:, :-1, None] == b[:, None, 1:])
+        steps[:, 1:, 1:][crossed & (here[:, 1:, 1:] == costs[:, :-2, :-2] + 1)] = SWAP
+    steps[same & (here == diagonal)] = EQUAL
+    run_a, run_b = _run_lengths(a), _run_lengths(b)
+    row, i, j = np.nonzero(same & deletes & (run_a[:, :, None] == run_b[:, None, :] + 1))
+    after_a, after_b = i + 1 - run_a[row, i], j + 1 - run_b[row, j]  # what remains behind both runs
+    apart = (after_a > 0) & (after_b > 0)
+    apart &= costs[row, after_a, after_b] == costs[row, after_a - 1, after_b - 1] + 1
+    steps[row[apart], i[apart], j[apart]] = DELETE
+    steps[same & inserts & (run_b > 1)[:, None, :]] = INSERT
+    return steps
+
+
+def _opcodes(taken: bytes) -> list[tuple[str, int, int, int, int]]:
+    """Merged opcodes of a path's steps."""
+    out, e, a = [], 0, 0
+    for run in SAME_TAG.finditer(taken):
+        e1, a1 = (at + sum(TAKES[step][side] * run[0].count(step) for step in set(run[0])) for side, at in enumerate((e, a)))
+        out.append((TAGS[run.lastindex - 1], e, e1, a, a1))
+        e, a = e1, a1
     return out
 
 
-def edit_opcodes(expected: str, actual: str, left: list[list[int]] | None = None) -> list[tuple[str, int, int, int, int]]:
-    """Minimum edits with adjacent swaps at one, as merged opcodes; a swap is a replaced pair.
+def single_edit(expected: str, actual: str) -> list[tuple[str, int, int, int, int]] | None:
+    """The opcodes where one edit turns one text into the other, else null; found without costs.
 
-    Where several cheapest ways go on from a place, taken are in this order: an inserted cell
-    before an equal one of a run; a deleted cell before a run that then stands between it and
-    a substitution; an equal cell; a swap; a substitution; a deletion; an insertion.
+    An inserted cell goes to the front of its run, a deleted one comes as late as it can.
     """
-    if expected == actual:
-        return _merged([("equal", 0, len(expected), 0, len(actual))])
     n, m = len(expected), len(actual)
-    left = left or _remaining_costs([(expected, actual)])[0]
-    ops: list[tuple] = []
-    i = j = 0
-
-    def run_end(text: str, at: int, cell: str) -> int:
-        while at < len(text) and text[at] == cell:
-            at += 1
-        return at
-
-    def stands_between() -> bool:
-        e, c = run_end(expected, i, expected[i]), run_end(actual, j, expected[i])
-        return e - i == c - j + 1 and e < n and c < m and left[e][c] == 1 + left[e + 1][c + 1]
-
-    while i < n or j < m:
-        here = left[i][j]
-        same = i < n and j < m and expected[i] == actual[j]
-        if same and j + 1 < m and actual[j + 1] == actual[j] and here == 1 + left[i][j + 1]:
-            tag, di, dj = "insert", 0, 1
-        elif same and i + 1 < n and expected[i + 1] == expected[i] and here == 1 + left[i + 1][j] and stands_between():
-            tag, di, dj = "delete", 1, 0
-        elif same and here == left[i + 1][j + 1]:
-            tag, di, dj = "equal", 1, 1
-        elif i + 1 < n and j + 1 < m and expected[i : i + 2] == actual[j + 1] + actual[j] and here == 1 + left[i + 2][j + 2]:
-            tag, di, dj = "replace", 2, 2
-        elif i < n and j < m and here == 1 + left[i + 1][j + 1]:
-            tag, di, dj = "replace", 1, 1
-        elif i < n and here == 1 + left[i + 1][j]:
-            tag, di, dj = "delete", 1, 0
-        else:
-            tag, di, dj = "insert", 0, 1
-        ops.append((tag, i, i + di, j, j + dj))
-        i, j = i + di, j + dj
-    return _merged(ops)
+    low, high = 0, min(n, m)
+    if abs(n - m) > 1:
+        return None
+    while low < high:  # the common prefix
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if expected[low:middle] == actual[low:middle] else (low, middle - 1)
+    p, step = low, None
+    if n == m:
+        if p == n or expected[p + 1 :] == actual[p + 1 :]:
+            step = ("replace", p, min(p + 1, n), p, min(p + 1, m))
+        elif expected[p : p + 2] == actual[p : p + 2][::-1] and expected[p + 2 :] == actual[p + 2 :]:
+            step = ("replace", p, p + 2, p, p + 2)
+    elif n < m and expected[p:] == actual[p + 1 :]:
+        p = len(expected[:p].rstrip(actual[p]))
+        step = ("insert", p, p, p, p + 1)
+    elif n > m and expected[p + 1 :] == actual[p:]:
+        step = ("delete", p, p + 1, p, p)
+    return step and _merged([("equal", 0, step[1], 0, step[3]), step, ("equal", step[2], n, step[4], m)])
+
+
+def edit_paths(pairs: list[tuple[str, str]]) -> list[list[tuple[str, int, int, int, int]]]:
+    """J7 of many pairs: minimum edits with adjacent swaps at one, as merged opcodes; a swap is a replaced pair.
+
+    Pairs that one edit parts need no costs; the others are costed together, by size.
+    """
+    out = [single_edit(*pair) for pair in pairs]
+    rest = [k for k, ops in enumerate(out) if ops is None]
+    for chunk, a, b in _batches([pairs[k] for k in rest]):
+        steps = _steps(a, b) if a.shape[1] and b.shape[1] else np.zeros((len(chunk), 0, 0), np.uint8)
+        wide = steps.shape[2]
+        for row, k in enumerate(chunk):
+            (x, y), table, taken = pairs[rest[k]], steps[row].tobytes(), bytearray()
+            i, j = len(x), len(y)
+            while i and j:
+                step = table[(i - 1) * wide + j - 1]
+                taken.append(step)
+                i, j = i - TAKES[step][0], j - TAKES[step][1]
+            out[rest[k]] = _opcodes(bytes(taken) + bytes([DELETE]) * i + bytes([INSERT]) * j)
+    return out
+
+
+def edit_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, int]]:
+    """J7 of one pair."""
+    return edit_paths([(expected, actual)])[0]
 
 
 def halved(expected: str, actual: str) -> tuple[int, int]:
@@ -357,38 +426,49 @@ def split_opcodes(expected: str, actual: str, align=edit_opcodes) -> list[tuple[
     return _merged(ops)
 
 
+def positional_opcodes(expected: str, actual: str) -> list[tuple[str, int, int, int, int]]:
+    """J4 of one region of equal width: runs of equal and of replaced cells."""
+    return _merged([("equal" if x == y else "replace", k, k + 1, k, k + 1) for k, (x, y) in enumerate(zip(expected, actual, strict=True))])
+
+
 def region_opcodes(path: str, expected: str, actual: str) -> list[tuple[str, int, int, int, int]]:
-    """Opcodes of one region by its way: J5, J6's matching blocks, or J7's minimum edits."""
+    """Opcodes of one region by its way: cell by cell, J5, J6's matching blocks, or J7's minimum edits."""
+    if path == "positional":
+        return positional_opcodes(expected, actual)
     if path == "blank_only":
         return blank_only_opcodes(expected, actual)
     return split_opcodes(expected, actual, matching_opcodes if path == "matching" else edit_opcodes)
 
 
+def identical_opcodes(pairs: DataFrame) -> DataFrame:
+    """One equal run for each region whose sides are the same; empty ones have none."""
+    return pairs.where("text = other AND text <> ''").select(
+        "doc_id", "region", F.lit(0).alias("n"), F.lit("equal").alias("tag"), F.lit(0).alias("e0"), F.length("text").alias("e1"), F.lit(0).alias("a0"), F.length("other").alias("a1")
+    )
+
+
 def align_bounded(pairs: DataFrame) -> DataFrame:
-    """Opcodes of regions (doc_id, region, text, other) by minimum edits, or by their column path."""
+    """Opcodes of regions (doc_id, region, text, other) by minimum edits, or by their column path (J6); identical ones never leave the native plan."""
     pairs = pairs if "path" in pairs.columns else pairs.withColumn("path", F.lit("edits"))
 
     def run(batches):
         for batch in batches:
-            short = [(r.text, r.other) for r in batch.itertuples() if r.path == "edits" and r.text != r.other and max(len(r.text), len(r.other)) <= TOGETHER]
-            known = {pair: edit_opcodes(*pair, costs) for start in range(0, len(short), 4096) for pair, costs in zip(short[start : start + 4096], _remaining_costs(short[start : start + 4096]), strict=True)}
+            short = list({(r.text, r.other) for r in batch.itertuples() if r.path == "edits" and max(len(r.text), len(r.other)) <= TOGETHER})
+            known = dict(zip(short, edit_paths(short), strict=True))
             out = [
                 (r.doc_id, r.region, n, *op)
                 for r in batch.itertuples()
-                for n, op in enumerate(known.get((r.text, r.other)) if r.path == "edits" and (r.text, r.other) in known else region_opcodes(r.path, r.text, r.other))
+                for n, op in enumerate((r.path == "edits" and known.get((r.text, r.other))) or region_opcodes(r.path, r.text, r.other))
             ]
             yield pd.DataFrame(out, columns=["doc_id", "region", "n", "tag", "e0", "e1", "a0", "a1"])
 
-    return pairs.select("doc_id", "region", "text", "other", "path").mapInPandas(run, OPCODES)
+    edited = pairs.where("text <> other").select("doc_id", "region", "text", "other", "path").mapInPandas(run, OPCODES)
+    return identical_opcodes(pairs).unionByName(edited)
 
 
 def align_cells(pairs: DataFrame) -> DataFrame:
-    """Opcodes of all regions; identical ones never leave the native plan."""
-    placed = alignment_path(pairs)
-    same = placed.where("path = 'identical'").select(
-        "doc_id", "region", F.lit(0).alias("n"), F.lit("equal").alias("tag"), F.lit(0).alias("e0"), F.length("text").alias("e1"), F.lit(0).alias("a0"), F.length("other").alias("a1")
-    )
-    return same.unionByName(align_bounded(placed.where("path <> 'identical'")))
+    """Opcodes of all regions by the way that each takes."""
+    return align_bounded(alignment_path(pairs))
 
 
 @F.pandas_udf(T.IntegerType())

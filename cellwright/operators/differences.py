@@ -1,4 +1,4 @@
-"""Differences: their class, place and owner, and the comparison of math spans.
+"""Differences: their class, place and owner, and the marks of math.
 
 Differences are (doc_id, diff_id, expected_start, expected_end, actual_start, actual_end,
 expected, actual, ...); blocks and pages are half-open ranges of the document stream.
@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellwright.operators.mathspans import ordered_matching
+
 #: Bucket of positions for interval joins.
 BUCKET = 256
 #: Marks whose lone differences are ignored.
@@ -142,23 +144,11 @@ def pair_quotes(words: DataFrame) -> DataFrame:
     return words.withColumn("closing", closing).where("word LIKE '\\'%' OR word LIKE ',\\'%'").select("doc_id", "pos", "word", "closing")
 
 
-OPERATOR_CELLS = "[-+*/=]"
-
-
-def align_math_operators(pairs: DataFrame) -> DataFrame:
-    """Records of equal length whose cells agree but for operators: (doc_id, id, positions of the differing operators); others take the matcher."""
-    cells = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    zipped = F.transform(F.arrays_zip(cells("expected").alias("x"), cells("actual").alias("y")), lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), i.alias("i")))
-    rows = pairs.where("length(expected) = length(actual)").withColumn("z", zipped)
-    both = lambda p: p["x"].rlike(OPERATOR_CELLS) & p["y"].rlike(OPERATOR_CELLS)
-    rows = rows.where(F.forall("z", lambda p: (p["x"] == p["y"]) | both(p)))
-    return rows.select("doc_id", "id", F.transform(F.filter("z", lambda p: p["x"] != p["y"]), lambda p: p["i"]).alias("positions"))
-
-
 def pair_math_spans(records: DataFrame, spans: DataFrame) -> DataFrame:
-    """Records and actual spans of a page in order: by ordinal where counts agree, else the longest ordered matching of equal texts.
+    """Records and actual spans of a page in order: by ordinal where counts agree, else the largest ordered matching of equal texts.
 
-    Returns (doc_id, page_no, record, span); unpaired spans have a null record.
+    Returns (doc_id, page_no, record, span); unpaired spans have a null record.  For texts that are
+    read already; ``mathspans.math_verdicts`` pairs records with spans of a cell stream.
     """
 
     def counted(side: DataFrame, name: str) -> DataFrame:
@@ -173,12 +163,10 @@ def pair_math_spans(records: DataFrame, spans: DataFrame) -> DataFrame:
     odd = s.where("n_record IS NULL OR n_span <> n_record")
 
     def ordered(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-
         a, b = a.sort_values("record"), b.sort_values("span")
         found = dict.fromkeys(b["span"], None)
-        for m in SequenceMatcher(None, a["t_record"].tolist(), b["t_span"].tolist(), False).get_matching_blocks():
-            found.update(zip(b["span"].iloc[m.b : m.b + m.size], a["record"].iloc[m.a : m.a + m.size], strict=True))
+        same = a["t_record"].to_numpy(object)[:, None] == b["t_span"].to_numpy(object)[None, :]
+        found.update((b["span"].iloc[j], a["record"].iloc[i]) for i, j in ordered_matching(same))
         if not len(b):
             return pd.DataFrame({"doc_id": [], "page_no": [], "record": [], "span": []})
         return pd.DataFrame({"doc_id": b["doc_id"].iloc[0], "page_no": b["page_no"].iloc[0], "record": pd.array(list(found.values()), "Int32"), "span": list(found)})
@@ -188,18 +176,6 @@ def pair_math_spans(records: DataFrame, spans: DataFrame) -> DataFrame:
     return even.unionByName(rest)
 
 
-def tolerate_operator_spacing(pairs: DataFrame) -> DataFrame:
-    """Accept actual texts that differ only by a blank beside a binary operator or a repeated number sign after it.
-
-    Ambiguous ones, where an operator stands beside a blank of the expected text, go to review.
-    """
-    loose = lambda c: F.regexp_replace(F.regexp_replace(c, " ?([-+*/]) ?", "$1"), "([-+*/])#(?=[A-J0-9])", "$1")
-    status = F.when(F.col("expected") == F.col("actual"), "PASS").when(
-        loose(F.col("expected")) == loose(F.col("actual")), F.when(F.col("expected").rlike("[-+*/] | [-+*/]"), "REVIEW").otherwise("TOLERATED")
-    ).otherwise("DIFFERENT")
-    return pairs.select("doc_id", "id", status.alias("status"))
-
-
 def switch_pairs(blocks: DataFrame, opening: str = "_%", closing: str = "_:") -> DataFrame:
     """Opening and closing switches of each block against its number of math records."""
     quoted = lambda x: "".join(f"[{c}]" for c in x)

@@ -15,8 +15,6 @@ LONE = ("CASE seq % 4 WHEN 0 THEN ',' WHEN 1 THEN '?!' WHEN 2 THEN concat('a ',
 ALLOW = [("the end", "tha end"), ("and", "ond"), ("of the", "of th")]
 WORD = "CASE seq % 5 WHEN 0 THEN 'the' WHEN 1 THEN 'and' WHEN 2 THEN 'of the' WHEN 3 THEN 'the end' ELSE 'other' END"
 WORD2 = "CASE seq % 7 WHEN 0 THEN 'tha' WHEN 1 THEN 'ond' WHEN 2 THEN 'of th' WHEN 3 THEN 'tha end' ELSE 'th' END"
-MATH = "concat('#', doc_id % 90, CASE seq % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE '*' END, seq % 50)"
-MATH2 = "concat('#', doc_id % 90, CASE seq % 4 WHEN 0 THEN '+' WHEN 1 THEN ' - ' WHEN 2 THEN '+#' ELSE '*' END, CASE WHEN seq % 11 = 0 THEN seq % 49 ELSE seq % 50 END)"
 
 
 def lines(s, d, **columns):
@@ -58,12 +56,6 @@ def words(s, d):
     return rows.select("doc_id", F.expr("seq * 5 + i").alias("pos"), F.expr("CASE WHEN (doc_id + seq * 5 + i) % 17 = 0 THEN concat(',\\'', w) WHEN (doc_id + seq * 5 + i) % 17 = 4 THEN concat(w, '\\'') ELSE w END").alias("word"))
 
 
-def records(s, d):
-    rows = layout_lines(s, d).where("(doc_id + seq) % 3 = 0").select("doc_id", "page_no", "seq", F.expr(MATH).alias("text"))
-    acts = layout_lines(s, d).where("(doc_id + seq) % 3 = 0 AND (page_no % 2 = 0 OR seq % 4 <> 0)").select("doc_id", "page_no", "seq", F.expr(MATH).alias("text"))
-    return rows, acts
-
-
 QUERIES = {
     "f14_letter_group": lambda s, d: lines(s, d, x="CASE seq % 6 WHEN 0 THEN 'f(x)' WHEN 1 THEN '((a))' WHEN 2 THEN '(b)' WHEN 3 THEN '(((((c)))))' WHEN 4 THEN '((((d))))' ELSE raw_line END").select("doc_id", "seq", D.letter_group(F.col("x")).alias("kind")),
     "f16_mismatch_class": lambda s, d: lines(s, d, e="raw_line", a=OTHER, t=TAG).where("e <> a").select("doc_id", "seq", D.mismatch_class(F.col("e"), F.col("a"), F.col("t")).alias("severity")),
@@ -72,9 +64,6 @@ QUERIES = {
     "f20_unspaced_equals": lambda s, d: lines(s, d, x="CASE seq % 4 WHEN 0 THEN concat('a', seq, '=b') WHEN 1 THEN 'x==y' WHEN 2 THEN 'p = q' ELSE raw_line END").select("doc_id", "seq", D.unspaced_equals(F.col("x")).alias("suggestion")),
     "p9_ignorable": lambda s, d: lines(s, d, e=LONE[0], a=LONE[1]).select("doc_id", "seq", D.ignorable(F.col("e"), F.col("a")).alias("ignored")),
     "p10_allowlist": lambda s, d: D.apply_allowlist(lines(s, d, expected=WORD, actual=WORD2), s.createDataFrame(ALLOW, "expected string, actual string")).select("doc_id", "seq", "expected", "actual"),
-    "j12_align_math_operators": lambda s, d: D.align_math_operators(lines(s, d, expected=MATH, actual=MATH2).withColumnRenamed("seq", "id")),
-    "j13_pair_math_spans": lambda s, d: D.pair_math_spans(*records(s, d)),
-    "j14_tolerate_operator_spacing": lambda s, d: D.tolerate_operator_spacing(lines(s, d, expected=MATH, actual=MATH2).withColumnRenamed("seq", "id")),
     "j15_locate_block": lambda s, d: D.locate_block(offsets(s, d), block_ranges(s, d)),
     "j16_split_to_pages": lambda s, d: D.split_to_pages(spans(s, d), pages_of(s, d)),
     "j17_project_span": lambda s, d: D.project_span(spans(s, d).withColumn("region", F.lit(0)), opcodes(s, d)),
@@ -97,8 +86,6 @@ ORACLE_SQL = {
     "f20_unspaced_equals": sql("lines", ", p AS (SELECT doc_id, seq, CASE seq % 4 WHEN 0 THEN concat('a', seq, '=b') WHEN 1 THEN 'x==y' WHEN 2 THEN 'p = q' ELSE raw_line END AS x FROM lines) SELECT doc_id, seq, CASE WHEN regexp_matches(x, '[^=<>]=[^=<>]') THEN regexp_replace(x, '([^=<> ])=([^=<> ])', '\\1 = \\2', 'g') END AS suggestion FROM p"),
     "p9_ignorable": sql("lines", f", p AS (SELECT doc_id, seq, {LONE[0]} AS e, {LONE[1]} AS a FROM lines) SELECT doc_id, seq, (regexp_matches(e, '^[,;:!?''\".-]{{0,2}}$') AND regexp_matches(a, '^[,;:!?''\".-]{{0,2}}$')) OR regexp_matches(e, '\\\\X[0-9A-Fa-f]{{4}}') OR regexp_matches(a, '\\\\X[0-9A-Fa-f]{{4}}') AS ignored FROM p"),
     "p10_allowlist": sql("lines", f", p AS (SELECT doc_id, seq, {WORD} AS expected, {WORD2} AS actual FROM lines) SELECT * FROM p WHERE (expected, actual) NOT IN (('the end', 'tha end'), ('and', 'ond'), ('of the', 'of th'), ('the', 'tha'), ('the', 'th'))"),
-    "j12_align_math_operators": sql("lines", f", p AS (SELECT doc_id, seq AS id, {MATH} AS e, {MATH2} AS a FROM lines), q AS (SELECT *, list_filter(generate_series(1, length(e)), lambda i: substr(e, i, 1) <> substr(a, i, 1)) AS d FROM p WHERE length(e) = length(a)) SELECT doc_id, id, list_transform(d, lambda i: i - 1) AS positions FROM q WHERE len(list_filter(d, lambda i: NOT (regexp_matches(substr(e, i, 1), '[-+*/=]') AND regexp_matches(substr(a, i, 1), '[-+*/=]')))) = 0"),
-    "j14_tolerate_operator_spacing": sql("lines", f", p AS (SELECT doc_id, seq AS id, {MATH} AS e, {MATH2} AS a FROM lines), q AS (SELECT *, regexp_replace(regexp_replace(e, ' ?([-+*/]) ?', '\\1', 'g'), '([-+*/])#([A-J0-9])', '\\1\\2', 'g') AS le, regexp_replace(regexp_replace(a, ' ?([-+*/]) ?', '\\1', 'g'), '([-+*/])#([A-J0-9])', '\\1\\2', 'g') AS la FROM p) SELECT doc_id, id, CASE WHEN e = a THEN 'PASS' WHEN le = la THEN CASE WHEN regexp_matches(e, '[-+*/] | [-+*/]') THEN 'REVIEW' ELSE 'TOLERATED' END ELSE 'DIFFERENT' END AS status FROM q"),
     "j15_locate_block": sql("lines blocks cells muts", f", {BR} SELECT m.doc_id, expected_start AS id, expected_start AS \"at\", seq FROM muts m LEFT JOIN br ON br.doc_id = m.doc_id AND expected_start >= start AND expected_start < \"end\""),
     "j16_split_to_pages": sql("blocks", f", {BR}, {SP}, pg AS (SELECT doc_id, page_no, min(start) AS r0, max(\"end\") + 1 AS r1 FROM br GROUP BY ALL), {OV} SELECT * FROM x"),
     "j17_project_span": sql("blocks", f""", {BR}, {SP}, o AS (SELECT doc_id, start AS r0, "end" + 1 AS r1, start + seq AS a0, "end" + 1 + seq AS a1, CASE WHEN (doc_id + seq) % 4 = 0 THEN 'replace' ELSE 'equal' END AS tag FROM br),
