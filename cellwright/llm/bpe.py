@@ -27,11 +27,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 CHUNK = 65_536
+#: Bytes of texts, or ids, that a task holds as Python objects at once, unless one row alone has more.
+PORTION = 1 << 20
 #: The white space of the pattern, letters that every Unicode version has, and marks.
 WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 LETTERS = "0-9A-Za-z\xc0-\xd6\xd8-\xf6Α-Ρα-ωА-яء-غअ-हぁ-ゖァ-ヺ一-龥가-힣"
@@ -120,12 +123,21 @@ def text_ids(text: str | None, vocabulary: str, size: int = CHUNK) -> list[int]:
     return ids
 
 
-def list_column(ids: list[list[int]]) -> pa.ListArray:
+def portions(batch: pa.RecordBatch, column: str, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices whose texts or lists of one column sum up to about ``most``; a longer one has its own."""
+    values = batch.column(column)
+    sizes = (pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length)(values).fill_null(0).to_numpy()
+    part = np.cumsum(sizes, dtype=np.int64) // most
+    edges = np.flatnonzero(np.diff(part, prepend=-1))
+    for start, stop in zip(edges, [*edges[1:], len(part)], strict=True):
+        yield batch.slice(start, stop - start)
+
+
+def list_column(ids: list[np.ndarray]) -> pa.ListArray:
     """An Arrow list column of rows of ids."""
     offsets = np.zeros(len(ids) + 1, np.int32)
     np.cumsum([len(row) for row in ids], out=offsets[1:])
-    values = np.fromiter((i for row in ids for i in row), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)))
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
@@ -135,9 +147,10 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str
     frame = df.drop(ids).withColumn(ids, F.col(text).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = list_column([text_ids(t.as_py(), vocabulary) for t in batch.column(ids)])
-            yield batch.set_column(batch.num_columns - 1, ids, column)
+        for whole in batches:
+            for batch in portions(whole, ids):
+                column = list_column([np.array(text_ids(t.as_py(), vocabulary), np.int32) for t in batch.column(ids)])
+                yield batch.set_column(batch.num_columns - 1, ids, column)
 
     return frame.mapInArrow(run, schema)
 
@@ -167,8 +180,9 @@ def decode(df: DataFrame, ids: str = "ids", data: str = "data", vocabulary: str
     frame = df.drop(data).withColumn(data, F.lit(None).cast(BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.set_column(batch.num_columns - 1, data, bytes_column(batch.column(ids), vocabulary))
+        for whole in batches:
+            for batch in portions(whole, ids):
+                yield batch.set_column(batch.num_columns - 1, data, bytes_column(batch.column(ids), vocabulary))
 
     return frame.mapInArrow(run, schema)
 
