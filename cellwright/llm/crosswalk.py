@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwright.llm.bpe import byte_lengths, list_column, text_ids
+from cellwright.llm.bpe import byte_lengths, list_column, portions, text_ids
 from cellwright.llm.common import partitions_for, shared_folder
 
 BLOCK_TOKENS = 2_000_000
@@ -172,10 +172,10 @@ def tokenized(docs: DataFrame, a_vocabulary: str | None = None, b_vocabulary: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, row, held = TaskContext.get().partitionId() << 32, 0, 0, 0
-        for batch in batches:
+        for batch in (portion for whole in batches for portion in portions(whole, "text")):
             blocks, rows, a_ids, b_ids = [], [], [], []
             for text in batch.column("text"):
-                a, b = ids_of(text.as_py())
+                a, b = (np.array(ids, np.int32) for ids in ids_of(text.as_py()))
                 if held and held + len(a) + len(b) > block_tokens:
                     number, row, held = number + 1, 0, 0
                 blocks.append(task | number)
