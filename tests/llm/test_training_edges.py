@@ -182,6 +182,37 @@ def test_recall_of_similar_lines(spark):
     assert found / pairs >= 0.9
 
 
+def close_pairs(rng, low, high, n):
+    """Pairs of lines of low to high characters with a Jaccard similarity of 0.8 to 0.95, by an edit at an end or inside."""
+    pairs = []
+    while len(pairs) < n:
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(rng.randrange(low, high))).strip()
+        at = rng.choice([0, len(a), rng.randrange(len(a) + 1)])
+        b = (a[:at] + rng.choice("XYZ") * rng.choice([1, 1, 2]) + a[at + rng.choice([0, 1]) :]).strip()
+        for _ in range(len(b) // 60):
+            at = rng.randrange(len(b))
+            b = b[:at] + "Q" + b[at + 1 :]
+        x, y = ({t[i : i + 5] for i in range(len(t) - 4)} or {t} for t in (a, b))
+        if a != b and 0.8 <= len(x & y) / len(x | y) < 0.95:
+            pairs.append((a, b))
+    return pairs
+
+
+@pytest.mark.parametrize(("low", "high"), [(8, 16), (16, 30), (28, 60), (60, 130), (130, 190), (190, 1000)])
+def test_recall_of_lines_by_length(spark, low, high):
+    pairs = close_pairs(random.Random(low), low, high, 400)
+    rows = [(2 * k + side, pair[side]) for k, pair in enumerate(pairs) for side in (0, 1)]
+    found = lines.line_dedup(documents(spark, rows)).where("doc_id % 2 = 1 AND class_doc_id = doc_id - 1").count()
+    assert found / len(pairs) >= 0.9
+
+
+def test_rulers_of_any_length_are_one_line(spark):
+    rulers = ["-" * 7, "-" * 10, "-" * 40, "-" * 300, "-" * 5000, "- " * 20, "- " * 400, "=-=" * 9, "=-=" * 99]
+    titles = ["Part one " + "." * n for n in (9, 30, 120, 900)]
+    found = {r.doc_id: r.class_doc_id for r in lines.line_dedup(documents(spark, list(enumerate(rulers + titles)))).collect()}
+    assert [found[i] for i in range(13)] == [0, 0, 0, 0, 0, 5, 5, 7, 7, 9, 9, 9, 9]
+
+
 def test_packing_constraints_and_tokens(spark):
     found = packing.pack(documents(spark, [(i, "") for i in range(300)])).groupBy("sequence_id").count().collect()
     assert max(r["count"] for r in found) == packing.DOCUMENTS and len(found) == 2
