@@ -9,17 +9,20 @@ what is left is so far away in projection that a vector nearer than the k-th fou
 been met before with probability ``CONFIDENCE``.
 
 Equal vectors are one entry of the index with their smallest ids, so a vector that fills the
-table costs one row.  The index is dealt into blocks of bounded size; a block's vectors come
-first in its partition, become one tree, and all queries stream through it batch by batch, so
-every tree is built once and no task holds more than a block.  Each block's best go to a ranked
-merge.  Work is queries times vectors over the share that the test leaves out; recall is
-measured in the tests.
+table costs one row; each task keeps only that many before they shuffle.  The index is dealt
+into blocks of bounded size; a block's vectors come first in its partition, become one tree,
+and queries stream through it batch by batch, so no task holds more than a block.  A query
+first searches the block that its own vector is in.  Its k-th score there bounds the search
+in all others: their test holds from the first leaf on, and a block whose leaves are all
+beyond the bound costs a comparison of boxes.  Each block's best go to a ranked merge.
+Recall is measured in the tests.
 
 Before products are taken, vectors are scaled by powers of two, which changes no digit of a
 cosine but keeps very small and very large components from vanishing or overflowing.
 
 Defined results: vectors that are null, empty or zero or hold null or non-finite components
-take no part, nor do rows without an id; repeated rows of an id are entries of their own;
+take no part, nor do rows without an id; repeated rows of an id are entries and queries of
+their own, each with its ranks, and find each other;
 vectors of other dimensions are not compared; equal scores go to the smaller id, so all rows
 that tie with the k-th are kept until ids decide; fewer than k candidates give fewer rows;
 columns other than vec_id and the vector are not looked at; an empty table an empty result.
@@ -44,7 +47,7 @@ LEAF = 32
 STEP = 4
 INDEX_BLOCK = 16_384
 SEED = 7
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query long, query_id long, vec_id long, score double"
 
 
 def chi_square_quantile(probability: float, dof: int) -> float:
@@ -67,7 +70,7 @@ class ProjectedTree:
     """A kd-tree over projected unit vectors, its leaves contiguous rows."""
 
     def __init__(self, vectors: np.ndarray):
-        vectors = rescaled(vectors)
+        self.given, vectors = vectors, rescaled(vectors)
         self.norms = np.sqrt((vectors * vectors).sum(1))
         axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTIONS))
         projected = (vectors / self.norms[:, None]) @ axes
@@ -89,8 +92,11 @@ class ProjectedTree:
         self.low = np.minimum.reduceat(self.projected, self.starts)
         self.high = np.maximum.reduceat(self.projected, self.starts)
 
-    def nearest(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(row, cosine) of the k nearest found and of all found that tie with the last, and how many rows were verified."""
+    def nearest(self, query: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """(row, cosine) of the k nearest found and of all found that tie with the last, and how many rows were verified.
+
+        Rows below ``least`` need not be found.
+        """
         query = rescaled(query)
         norm = np.sqrt((query * query).sum())
         at = query / norm @ self.axes
@@ -99,7 +105,7 @@ class ProjectedTree:
         limit = chi_square_quantile_cached()
         rows, scores, seen, i, step = np.empty(0, np.int64), np.empty(0), 0, 0, STEP
         while i < len(leaves):
-            last = scores.min() if len(scores) >= k else None
+            last = max(scores.min(), least) if len(scores) >= k else least if least > -np.inf else None
             if last is not None and bound[leaves[i]] > limit * max(0.0, 2 - 2 * last) + 1e-12:
                 break
             found = np.concatenate([np.arange(self.starts[x], self.ends[x]) for x in leaves[i : i + step]])
@@ -139,12 +145,11 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, column: str = "embe
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     entries = rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     entries = shared_checkpoint(entries.withColumn("dim", F.size("v")))
-    queries = shared_checkpoint(rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.size("v").alias("dim")))
     blocks = max(1, -(-entries.count() // INDEX_BLOCK))
     block = F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")
-    index = entries.select("dim", block.alias("block"), F.lit(0).alias("turn"), F.lit(0).cast("long").alias("query_id"), "ids", "v")
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = queries.select("dim", each.alias("block"), F.lit(1).alias("turn"), F.col("vec_id").alias("query_id"), F.lit(None).cast("array<long>").alias("ids"), "v")
+    asking = shared_checkpoint(rows.where(F.col("vec_id") % every == 0))
+    queries = asking.select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim"), block.alias("own"))
+    index = entries.select("dim", block.alias("block"), F.lit(0).alias("turn"), F.lit(None).cast("long").alias("query"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("double").alias("least"), "ids", "v")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held, tree, ids = None, [], None, []
@@ -163,14 +168,29 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, column: str = "embe
 
     def answers(tree: ProjectedTree, ids: list, part: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for query_id, v in zip(part["query_id"], part["v"], strict=True):
-            found, scores, _ = tree.nearest(np.asarray(v), k + 1)
-            best = [(-s, i) for row, s in zip(found, scores, strict=True) for i in ids[row] if i != query_id]
-            out += [(int(query_id), i, -s) for s, i in sorted(best)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        for query, query_id, v, least in zip(part["query"], part["query_id"], part["v"], part["least"], strict=True):
+            v = np.asarray(v)
+            found, scores, _ = tree.nearest(v, k + 1, -np.inf if least is None or np.isnan(least) else least)
+            best = []
+            for row, s in zip(found, scores, strict=True):
+                others = list(ids[row])
+                if query_id in others and np.array_equal(tree.given[row], v):
+                    others.remove(query_id)  # the query's own row
+                best += [(-s, i) for i in others]
+            out += [(int(query), int(query_id), i, -s) for s, i in sorted(best)[:k]]
+        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"]).astype({"query": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     parts = max(blocks, partitions_for(vectors.sparkSession))
-    dealt = index.unionByName(asked).repartition(parts, "dim", "block").sortWithinPartitions("dim", "block", "turn")
-    found = dealt.mapInPandas(search, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+
+    def searched(asked: DataFrame) -> DataFrame:
+        dealt = index.unionByName(asked).repartition(parts, "dim", "block").sortWithinPartitions("dim", "block", "turn")
+        return shared_checkpoint(dealt.mapInPandas(search, FOUND))
+
+    visit = [F.lit(1).alias("turn"), "query", "query_id", "least", F.lit(None).cast("array<long>").alias("ids"), "v"]
+    found = searched(queries.withColumn("least", F.lit(None).cast("double")).select("dim", F.col("own").alias("block"), *visit))
+    if blocks > 1:
+        bounds = found.groupBy("query").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k).select("query", "least")
+        others = F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(blocks - 1)), F.col("own")))
+        found = found.unionByName(searched(queries.join(bounds, "query", "left").withColumn("block", others).select("dim", "block", *visit)))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

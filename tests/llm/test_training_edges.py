@@ -165,6 +165,39 @@ def test_ties_and_extreme_sizes_of_vectors(spark):
     assert of(1100)[0] == (1101, pytest.approx(1.0)) and [i for i, _ in of(1050)][:2] == [1100, 1101]
 
 
+def test_repeated_query_rows_against_brute_force(spark, monkeypatch):
+    """Each row is a query of its own; its copies, and rows of its id with another vector, are candidates."""
+    monkeypatch.setattr(neighbours, "INDEX_BLOCK", 40)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(200)]
+    rows += [rows[50], rows[50], (100, rng.standard_normal(6).tolist()), (150, rows[7][1]), (7, rows[150][1])] + [rows[9]] * 8
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    unit = np.array([v for _, v in rows])
+    unit /= np.sqrt((unit**2).sum(1))[:, None]
+    wanted = []
+    for at, (query, _) in enumerate(rows):
+        if query % 50 == 0:
+            near = sorted((-round(float(unit[at] @ unit[j]), 9), rows[j][0]) for j in range(len(rows)) if j != at)[:5]
+            wanted += [(query, rank, i, -s) for rank, (s, i) in enumerate(near, 1)]
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in found)
+    assert len(got) == len(wanted) and len(set(got) & set(wanted)) >= 0.95 * len(set(wanted))
+    assert [g for g in got if g[0] == 50] == sorted(w for w in wanted if w[0] == 50)
+
+
+def test_a_bound_from_the_own_block_saves_work():
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 24))
+    vectors = np.repeat(centres, 100, axis=0) + 0.2 * rng.standard_normal((4000, 24))
+    tree, free, bound, same = neighbours.ProjectedTree(vectors[1:]), 0, 0, 0
+    for query in vectors[:400:8]:
+        rows, scores, seen = tree.nearest(query, 5)
+        free += seen
+        kept, _, seen = tree.nearest(query, 5, float(np.sort(scores)[-5]))
+        bound += seen
+        same += len(set(rows[np.argsort(-scores)[:5]]) & set(kept))
+    assert bound < 0.9 * free and same >= 0.93 * 250
+
+
 def test_recall_of_similar_lines(spark):
     """Lines with edits that leave a Jaccard similarity of 0.8 or a little more: nearly all are found."""
     rng, rows, pairs = random.Random(11), [], 0
