@@ -12,9 +12,11 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +25,9 @@ from pyspark.sql import types as T
 MOST_CELLS = 2048
 #: Costs that are computed at once, unless one pair alone has more.
 COSTS_HELD = 1 << 20
-#: Regions of up to so many cells a side are costed together.
-TOGETHER = 128
+#: Diagonals on either side of the first band of costs, and the places that the band of one pair may have.
+REACH, BAND_CELLS = 16, 1 << 24
+TOO_MUCH = 1 << 28
 #: Cells of the unique texts at which longer regions are split.
 ANCHOR_CELLS = 8
 OPCODES = "doc_id long, region long, n int, tag string, e0 int, e1 int, a0 int, a1 int"
@@ -166,7 +169,7 @@ def alignment_path(pairs: DataFrame) -> DataFrame:
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.array([ord(c) for c in text], np.int64)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
 
 
 def _cost_rows(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
@@ -196,38 +199,69 @@ SAME_TAG = re.compile(b"(\x00+)|([\x01\x02]+)|(\x03+)|(\x04+)")
 TAGS = ("equal", "replace", "delete", "insert")
 
 
-def _batches(pairs: list[tuple[str, str]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Pairs of about one size together: their places, and both sides reversed, so that what remains is a prefix."""
-    order = sorted(range(len(pairs)), key=lambda k: tuple(map(len, pairs[k])))
+class _Band(NamedTuple):
+    """Reversed pairs side by side, seen within a band of diagonals, so that what remains is a prefix.
+
+    A place is (p, w): p cells of the first side remain and p + low + w of the second.
+    """
+
+    a: np.ndarray
+    b: np.ndarray
+    low: int
+    width: int
+
+    def beside(self, values: np.ndarray, back: int = 0) -> np.ndarray:
+        """Of each place with p from 1 the value of the second side's last remaining cell, or of one ``back`` before it."""
+        n, pad = self.a.shape[1], max(0, -self.low) + 1
+        over = max(0, n + self.low + self.width - values.shape[1])
+        wide = np.pad(values, ((0, 0), (pad, over)), constant_values=-3)
+        first = pad + self.low - back
+        return sliding_window_view(wide, self.width, axis=1)[:, first : first + n]
+
+
+def _batches(pairs: list[tuple[str, str]], reach: int) -> Iterator[tuple[list[int], _Band]]:
+    """Pairs of about one size together, with ``reach`` diagonals on either side of those between their ends."""
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
     while order:
-        n = m = 0
         chunk: list[int] = []
+        n = m = low = high = 0
         while order:
             x, y = pairs[order[-1]]
-            grown = max(n, len(x)), max(m, len(y))
-            if chunk and (len(chunk) + 1) * (grown[0] + 1) * (grown[1] + 1) > COSTS_HELD:
+            grown = max(n, len(x)), max(m, len(y)), min(low, len(y) - len(x)), max(high, len(y) - len(x))
+            if chunk and (len(chunk) + 1) * (grown[0] + 1) * (grown[3] - grown[2] + 2 * reach + 1) > COSTS_HELD:
                 break
-            (n, m), _ = grown, chunk.append(order.pop())
-        a, b = np.full((len(chunk), n), -1, np.int64), np.full((len(chunk), m), -2, np.int64)  # padding equals nothing
+            (n, m, low, high), _ = grown, chunk.append(order.pop())
+        a, b = np.full((len(chunk), n), -1, np.int32), np.full((len(chunk), m), -2, np.int32)  # padding equals nothing
         for row, k in enumerate(chunk):
             x, y = pairs[k]
             a[row, : len(x)], b[row, : len(y)] = _codes(x)[::-1], _codes(y)[::-1]
-        yield chunk, a, b
-
-
-def _remaining_costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit costs by how many cells remain on each side, adjacent swaps at one, of reversed pairs."""
-    (k, n), m = a.shape, b.shape[1]
-    costs = np.zeros((k, n + 1, m + 1), np.int64)  # less the column number, as in _cost_rows
-    for i in range(1, n + 1):
-        cell, new = a[:, i - 1 : i], costs[:, i]
-        new[:, 0] = i
-        new[:, 1:] = np.minimum(costs[:, i - 1, :-1] - (b == cell), costs[:, i - 1, 1:] + 1)
-        if i > 1 and m > 1:
-            swap = (b[:, 1:] == a[:, i - 2 : i - 1]) & (b[:, :-1] == cell)
-            new[:, 2:] = np.where(swap, np.minimum(new[:, 2:], costs[:, i - 2, :-2] - 1), new[:, 2:])
+        low, high = max(low - reach, -n), min(high + reach, m)
+        yield chunk, _Band(a, b, low, high - low + 1)
+
+
+def _remaining_costs(band: _Band) -> np.ndarray:
+    """Edit costs of what remains at the places of a band, adjacent swaps at one; a way out of the band costs too much."""
+    a, low, width = band.a, band.low, band.width
+    k, n = a.shape
+    costs = np.full((k, n + 1, width), TOO_MUCH, np.int32)
+    same = band.beside(band.b) == a[:, :, None]
+    ramp = np.arange(width, dtype=np.int32)
+    costs[:, 0, -low:] = ramp[: width + low]
+    if n > 1:
+        crossed = (band.beside(band.b, 1)[:, 1:] == a[:, 1:, None]) & (band.beside(band.b)[:, 1:] == a[:, :-1, None])
+    for p in range(1, n + 1):
+        before, new = costs[:, p - 1], costs[:, p]
+        np.add(before, ~same[:, p - 1], out=new, casting="unsafe")
+        np.minimum(new[:, :-1], before[:, 1:] + 1, out=new[:, :-1])
+        if p > 1:
+            np.minimum(new, np.where(crossed[:, p - 2], costs[:, p - 2] + 1, TOO_MUCH), out=new)
+        if p + low <= 0:  # nothing remains of the second side here, and less than nothing before
+            new[:, : -low - p] = TOO_MUCH
+            if -low - p < width:
+                new[:, -low - p] = p
+        new -= ramp  # insertions are a running minimum
         np.minimum.accumulate(new, axis=1, out=new)
-    costs += np.arange(m + 1, dtype=np.int64)
+        new += ramp
     return costs
 
 
@@ -239,31 +273,35 @@ def _run_lengths(side: np.ndarray) -> np.ndarray:
     return out
 
 
-def _steps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The step to take by how many cells remain (both sides at least one), for all places of reversed pairs at once.
+def _steps(band: _Band, costs: np.ndarray) -> np.ndarray:
+    """The step to take at each place of a band with cells on both sides, for all places at once.
 
     Of the steps that a cheapest path can take the first of this order counts: an insertion in front of an
     equal cell of its run; a deletion in front of a run that is left one cell longer than its counterpart
     and is followed by a substitution, which it then stands apart from; an equal cell; a swap; a
     substitution; a deletion; an insertion.
     """
-    costs = _remaining_costs(a, b)
-    here, diagonal = costs[:, 1:, 1:], costs[:, :-1, :-1]
-    same = a[:, :, None] == b[:, None, :]
-    inserts, deletes = here == costs[:, 1:, :-1] + 1, here == costs[:, :-1, 1:] + 1
+    a, low, width = band.a, band.low, band.width
+    here, diagonal = costs[:, 1:], costs[:, :-1]
+    same = a[:, :, None] == band.beside(band.b)
+    deletes, inserts = np.zeros(here.shape, bool), np.zeros(here.shape, bool)
+    deletes[:, :, :-1] = here[:, :, :-1] == diagonal[:, :, 1:] + 1
+    inserts[:, :, 1:] = here[:, :, 1:] == here[:, :, :-1] + 1
     steps = np.where(deletes, DELETE, INSERT).astype(np.uint8)
     steps[here == diagonal + 1] = SUBSTITUTE
-    if a.shape[1] > 1 and b.shape[1] > 1:
-        crossed = (a[:, 1:, None] == b[:, None, :-1]) & (a[:, :-1, None] == b[:, None, 1:])
-        steps[:, 1:, 1:][crossed & (here[:, 1:, 1:] == costs[:, :-2, :-2] + 1)] = SWAP
+    if a.shape[1] > 1:
+        crossed = (a[:, 1:, None] == band.beside(band.b, 1)[:, 1:]) & (a[:, :-1, None] == band.beside(band.b)[:, 1:])
+        steps[:, 1:][crossed & (here[:, 1:] == costs[:, :-2] + 1)] = SWAP
     steps[same & (here == diagonal)] = EQUAL
-    run_a, run_b = _run_lengths(a), _run_lengths(b)
-    row, i, j = np.nonzero(same & deletes & (run_a[:, :, None] == run_b[:, None, :] + 1))
-    after_a, after_b = i + 1 - run_a[row, i], j + 1 - run_b[row, j]  # what remains behind both runs
-    apart = (after_a > 0) & (after_b > 0)
-    apart &= costs[row, after_a, after_b] == costs[row, after_a - 1, after_b - 1] + 1
-    steps[row[apart], i[apart], j[apart]] = DELETE
-    steps[same & inserts & (run_b > 1)[:, None, :]] = INSERT
+    run_a, run_b = _run_lengths(a), band.beside(_run_lengths(band.b))
+    row, i, w = np.nonzero(same & deletes & (run_a[:, :, None] == run_b + 1))
+    after_a = i + 1 - run_a[row, i]  # what remains behind both runs, one diagonal on
+    after_b, w = i + 1 + low + w - run_b[row, i, w], w + 1
+    apart = (after_a > 0) & (after_b > 0) & (w < width)
+    w = np.minimum(w, width - 1)
+    apart &= costs[row, after_a, w] == costs[row, after_a - 1, w] + 1
+    steps[row[apart], i[apart], w[apart] - 1] = DELETE
+    steps[same & inserts & (run_b > 1)] = INSERT
     return steps
 
 
@@ -306,21 +344,35 @@ def single_edit(expected: str, actual: str) -> list[tuple[str, int, int, int, in
 def edit_paths(pairs: list[tuple[str, str]]) -> list[list[tuple[str, int, int, int, int]]]:
     """J7 of many pairs: minimum edits with adjacent swaps at one, as merged opcodes; a swap is a replaced pair.
 
-    Pairs that one edit parts need no costs; the others are costed together, by size.
+    Pairs that one edit parts need no costs.  The others are costed together, by size, in a band
+    of diagonals: a path of no more edits than the band reaches cannot leave it, so its costs and steps are
+    those of the whole table; pairs with more edits go on in a band of four times the reach.
+    Pairs whose band grows beyond ``BAND_CELLS`` are split.
     """
     out = [single_edit(*pair) for pair in pairs]
-    rest = [k for k, ops in enumerate(out) if ops is None]
-    for chunk, a, b in _batches([pairs[k] for k in rest]):
-        steps = _steps(a, b) if a.shape[1] and b.shape[1] else np.zeros((len(chunk), 0, 0), np.uint8)
-        wide = steps.shape[2]
-        for row, k in enumerate(chunk):
-            (x, y), table, taken = pairs[rest[k]], steps[row].tobytes(), bytearray()
-            i, j = len(x), len(y)
-            while i and j:
-                step = table[(i - 1) * wide + j - 1]
-                taken.append(step)
-                i, j = i - TAKES[step][0], j - TAKES[step][1]
-            out[rest[k]] = _opcodes(bytes(taken) + bytes([DELETE]) * i + bytes([INSERT]) * j)
+    rest, reach = [k for k, ops in enumerate(out) if ops is None], REACH
+    while rest:
+        fits = lambda x, y: (len(x) + 1) * (abs(len(x) - len(y)) + 2 * reach + 1) <= BAND_CELLS or max(len(x), len(y)) <= MOST_CELLS  # noqa: B023, E731
+        for k in rest:
+            if not fits(*pairs[k]):
+                out[k] = split_opcodes(*pairs[k])
+        rest, again = [k for k in rest if out[k] is None], []
+        for chunk, band in _batches([pairs[k] for k in rest], reach):
+            costs = _remaining_costs(band)
+            steps = _steps(band, costs)
+            for row, k in enumerate(chunk):
+                x, y = pairs[rest[k]]
+                i, j = len(x), len(y)
+                if costs[row, i, j - i - band.low] > reach and reach < max(i, j):
+                    again.append(rest[k])
+                    continue
+                table, taken = steps[row].tobytes(), bytearray()
+                while i and j:
+                    step = table[(i - 1) * band.width + j - i - band.low]
+                    taken.append(step)
+                    i, j = i - TAKES[step][0], j - TAKES[step][1]
+                out[rest[k]] = _opcodes(bytes(taken) + bytes([DELETE]) * i + bytes([INSERT]) * j)
+        rest, reach = again, reach * 4
     return out
 
 
@@ -437,7 +489,7 @@ def region_opcodes(path: str, expected: str, actual: str) -> list[tuple[str, int
         return positional_opcodes(expected, actual)
     if path == "blank_only":
         return blank_only_opcodes(expected, actual)
-    return split_opcodes(expected, actual, matching_opcodes if path == "matching" else edit_opcodes)
+    return split_opcodes(expected, actual, matching_opcodes) if path == "matching" else edit_opcodes(expected, actual)
 
 
 def identical_opcodes(pairs: DataFrame) -> DataFrame:
@@ -453,8 +505,8 @@ def align_bounded(pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            short = list({(r.text, r.other) for r in batch.itertuples() if r.path == "edits" and max(len(r.text), len(r.other)) <= TOGETHER})
-            known = dict(zip(short, edit_paths(short), strict=True))
+            edited = list({(r.text, r.other) for r in batch.itertuples() if r.path == "edits"})
+            known = dict(zip(edited, edit_paths(edited), strict=True))
             out = [
                 (r.doc_id, r.region, n, *op)
                 for r in batch.itertuples()
@@ -462,8 +514,8 @@ def align_bounded(pairs: DataFrame) -> DataFrame:
             ]
             yield pd.DataFrame(out, columns=["doc_id", "region", "n", "tag", "e0", "e1", "a0", "a1"])
 
-    edited = pairs.where("text <> other").select("doc_id", "region", "text", "other", "path").mapInPandas(run, OPCODES)
-    return identical_opcodes(pairs).unionByName(edited)
+    changed = pairs.where("text <> other").select("doc_id", "region", "text", "other", "path").mapInPandas(run, OPCODES)
+    return identical_opcodes(pairs).unionByName(changed)
 
 
 def align_cells(pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ expected_start and the arrays expected_cells and actual_cells.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,22 +147,73 @@ def seeded_order(seed: int) -> Column:
     return F.expr(f"(expected_start * 7919 + doc_id * 104729 + {seed}) % 10007")
 
 
+def seat_lines(options: dict[str, list], quotas: dict[str, int]) -> dict:
+    """Which family takes each line, so that a quota is short only if it must be.
+
+    ``options`` are the lines of each family in its order.  Families come with the fewest lines
+    first; a family that finds no free line moves earlier ones to other lines of theirs, along a
+    shortest chain of moves, so none of them loses a line by it.
+    """
+    taken: dict = {}
+    for family in sorted(quotas, key=lambda f: (len(options.get(f, ())), f)):
+        for _ in range(quotas[family]):
+            reached: dict = {line: None for line in options.get(family, ())}  # a line, and the line whose holder would come from there
+            queue, end = list(reached), None
+            for line in queue:
+                if line not in taken:
+                    end = line
+                    break
+                for other in options[taken[line]]:
+                    if other not in reached:
+                        reached[other] = line
+                        queue.append(other)
+            if end is None:
+                break
+            while reached[end] is not None:
+                taken[end] = taken[reached[end]]
+                end = reached[end]
+            taken[end] = family
+    return taken
+
+
 def quota_sample(cands: DataFrame, quotas: dict[str, int], seed: int = 1) -> DataFrame:
-    """Per document at most one candidate a line and exactly the quota of each family, scarcest family first.
+    """Per document at most one candidate a line and the quota of each family, if lines allow it; spans on different lines cannot overlap.
 
-    A family that cannot be filled gives a shortfall row.
+    Families have their turns in order of scarcity, each in a seeded order of its lines.  No
+    family needs more of its lines than all quotas together, so that many of each are looked
+    at, whatever the document's size.  A quota that cannot be met gives a row with its shortfall.
     """
-    size = F.count("*").over(Window.partitionBy("doc_id", "family"))
-    rows = cands.withColumns({"size": size, "h": seeded_order(seed)})
-    one = F.row_number().over(Window.partitionBy("doc_id", "page_no", "line_no").orderBy("size", "family", "h", "expected_start"))
+    most = sum(quotas.values())
+    rows = cands.where(F.col("family").isin(*quotas)).withColumn("h", seeded_order(seed))
+    one = F.row_number().over(Window.partitionBy("doc_id", "family", "page_no", "line_no").orderBy("h", "expected_start"))
     rows = rows.withColumn("one", one).where("one = 1")
     turn = F.row_number().over(Window.partitionBy("doc_id", "family").orderBy("h", "expected_start"))
-    limit = F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair))
-    picked = rows.withColumns({"turn": turn, "quota": limit[F.col("family")]}).where("turn <= quota")
-    counts = picked.groupBy("doc_id", "family").agg(F.count("*").alias("n"))
-    wanted = cands.select("doc_id").distinct().select("doc_id", F.explode(limit).alias("family", "quota"))
-    short = wanted.join(counts, ["doc_id", "family"], "left").withColumn("shortfall", F.col("quota") - F.coalesce("n", F.lit(0))).where("shortfall > 0")
-    return picked.select("doc_id", "family", "expected_start", F.lit(0).cast("long").alias("shortfall")).unionByName(short.select("doc_id", "family", F.lit(None).cast("long").alias("expected_start"), "shortfall"))
+    rows = rows.withColumn("turn", turn).where(F.col("turn") <= most)
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("family", "turn", "page_no", "line_no", "expected_start"))).alias("options"))
+
+    def seat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, options in zip(batch["doc_id"], batch["options"], strict=True):
+                by_family: dict[str, list] = {}
+                start = {}
+                for o in options if options is not None else []:
+                    line = (o["page_no"], o["line_no"])
+                    by_family.setdefault(o["family"], []).append(line)
+                    start[o["family"], line] = o["expected_start"]
+                taken = seat_lines(by_family, quotas)
+                out += [(doc_id, family, start[family, line], 0) for line, family in taken.items()]
+                found = list(taken.values())
+                out += [(doc_id, f, None, quotas[f] - found.count(f)) for f in quotas if found.count(f) < quotas[f]]
+            yield pd.DataFrame(out, columns=["doc_id", "family", "expected_start", "shortfall"]).astype({"expected_start": "Int64"})
+
+    documents = cands.select("doc_id").distinct().join(listed, "doc_id", "left")
+    return documents.mapInPandas(seat, "doc_id long, family string, expected_start long, shortfall long")
+
+
+def quota_counts(picked: DataFrame) -> DataFrame:
+    """Candidates picked and missing by document and family."""
+    return picked.groupBy("doc_id", "family").agg(F.count("expected_start").alias("picked"), F.sum("shortfall").alias("shortfall"))
 
 
 def integrity(muts: DataFrame, required: dict[str, int]) -> DataFrame:

@@ -14,8 +14,8 @@ from cellwright.operators.mathspans import ordered_matching
 
 #: Bucket of positions for interval joins.
 BUCKET = 256
-#: Marks whose lone differences are ignored.
-AMBIGUOUS = ",;:!?'-\"."
+#: Cells of marks whose lone differences are ignored.
+AMBIGUOUS = "'\"`,;:.*?0 7 8"
 
 
 def _doc():
@@ -34,14 +34,23 @@ def mismatch_class(expected: Column, actual: Column, tag: Column) -> Column:
     )
 
 
-def difference_category(status: Column, math: Column, switch: Column, expected: Column, actual: Column) -> Column:
-    """category in order of precedence: layout, spacing, review, excluded, math payload, numeric guard, switch, math, literary."""
-    bare = lambda c: F.translate(c, " \n", "")
-    numeric = F.translate(expected, "#", "") == F.translate(actual, "#", "")
+def difference_category(tag: Column, expected: Column, actual: Column, status: Column, payload: Column, math: Column, numeric: Column) -> Column:
+    """the category of a difference by its cells and by what is known of the block that owns it.
+
+    In order of precedence: only blanks differ; only spacing differs; the block is under review, or
+    excluded (null where no block owns the place); expected cells inside a recognized math
+    record; a number sign inserted beside prose, where neither math nor a numeric rule
+    (``numeric``) accounts for it; a switch, or in a block with math one of its cells; math; else literary.
+    """
+    bare = lambda c: F.translate(c, " ", "")
+    owned = status.isNotNull()
+    beside_prose = (tag == "insert") & (expected == "") & owned & ~math & ~numeric & F.contains(actual, F.lit("#"))
+    both = F.concat(expected, F.lit("\n"), actual)
+    switch = both.rlike("_%|_:") | (math & both.rlike("[_%:]"))
     return (
-        F.when(F.translate(expected, "\n", " ") == F.translate(actual, "\n", " "), "layout_only").when(bare(expected) == bare(actual), "spacing_only")
-        .when(status == "REVIEW", "review").when(status == "EXCLUDED", "excluded").when(math & ~numeric & ~switch, "math_payload")
-        .when(numeric, "numeric_sign_guard").when(switch, "switch").when(math, "math").otherwise("literary")
+        F.when((bare(expected) == "") & (bare(actual) == ""), "layout_only").when(bare(expected) == bare(actual), "spacing_only")
+        .when(status == "REVIEW", "review").when(status == "EXCLUDED", "excluded").when(payload & (expected != ""), "math_payload")
+        .when(F.coalesce(beside_prose, F.lit(False)), "numeric_sign_guard").when(switch, "switch").when(math, "math").otherwise("literary")
     )
 
 
@@ -59,9 +68,9 @@ def unspaced_equals(word: Column) -> Column:
 
 
 def ignorable(expected: Column, actual: Column) -> Column:
-    """Lone ambiguous marks on both sides, or an unresolved escape."""
-    marks = lambda c: (F.length(c) <= 2) & (F.translate(c, AMBIGUOUS, "") == "")
-    return (marks(expected) & marks(actual)) | expected.rlike("\\\\X[0-9A-Fa-f]{4}") | actual.rlike("\\\\X[0-9A-Fa-f]{4}")
+    """One or two ambiguous marks on both sides, one word each, or an unresolved escape on the expected side."""
+    marks = lambda c: F.length(c).between(1, 2) & (F.translate(c, AMBIGUOUS, "") == "") & (F.btrim(c) != "") & ~F.btrim(c).contains(" ")
+    return (marks(expected) & marks(actual)) | expected.rlike("(?i)\\\\X[0-9A-F]{4,}")
 
 
 def apply_allowlist(diffs: DataFrame, allowed: DataFrame) -> DataFrame:

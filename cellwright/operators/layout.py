@@ -18,7 +18,10 @@ SYSTEMIC = 0.3
 def _doc():
     return Window.partitionBy("doc_id")
 #: Style names and the block types they stand for.
-STYLE_TYPES = {"Title": "title", "Subtitle": "subtitle", "Caption": "caption", "Normal": "body", "Body Text": "body", "List Bullet": "list_bullet", "List Number": "list_number"}
+STYLE_TYPES = {
+    "heading 1": "heading1", "heading 2": "heading2", "heading 3": "heading3", "heading 4": "heading4", "heading 5": "heading5", "heading 6": "heading6",
+    "normal": "body", "body text": "body", "list bullet": "list_bullet", "list number": "list_number", "caption": "caption", "subtitle": "subtitle", "title": "title",
+}
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -64,27 +67,26 @@ def partition_page_markers(blocks: DataFrame) -> DataFrame:
 
 
 def block_type(style: Column) -> Column:
-    """Block type of a style name: exact names, then parts of names, else unknown."""
+    """Block type of a style name in any case: exact names, then parts of names, else unknown; a heading of no level 1 or 2 in its name is heading3."""
     exact = F.create_map(*(F.lit(x) for pair in STYLE_TYPES.items() for x in pair))
     low = F.lower(style)
-    level = F.regexp_extract(low, "heading ?([1-6])", 1)
     return F.coalesce(
-        exact[style],
-        F.when(level != "", F.concat(F.lit("heading"), level)).when(low.contains("bullet"), "list_bullet").when(low.contains("number"), "list_number")
-        .when(low.contains("list"), "list_bullet").when(low.contains("caption"), "caption").when(low.contains("body") | low.contains("normal"), "body"),
+        F.try_element_at(exact, low),
+        F.when(low.contains("heading 1"), "heading1").when(low.contains("heading 2"), "heading2").when(low.contains("heading"), "heading3")
+        .when(low.contains("bullet"), "list_bullet").when(low.contains("number"), "list_number"),
         F.lit("unknown"),
     )
 
 
 def block_type_from_font(size: Column, bold: Column, text: Column) -> Column:
-    """Struct (block_type, text): by size and weight, list markers stripped from the text."""
-    bullet, number = "^\\s*[•*-]\\s+", "^\\s*[0-9]+[.)]\\s+"
+    """Struct (block_type, text): by size and weight of the trimmed text, list markers stripped from it."""
+    line = F.regexp_replace(text, r"^\s+|\s+$", "")
     kind = (
-        F.when(size >= 18, "heading1").when(size >= 14, "heading2").when(bold & (size >= 12), "heading3")
-        .when(text.rlike(bullet), "list_bullet").when(text.rlike(number), "list_number").otherwise("body")
+        F.when(size >= 16, "heading1").when(size >= 13, "heading2").when(bold & (size >= 11), "heading3")
+        .when(line.rlike("^[•▪*-]"), "list_bullet").when(line.rlike(r"^[0-9]+[.)]\s+"), "list_number").otherwise("body")
     )
-    stripped = F.when(kind == "list_bullet", F.regexp_replace(text, bullet, "")).when(kind == "list_number", F.regexp_replace(text, number, "")).otherwise(text)
-    return F.struct(kind.alias("block_type"), stripped.alias("text"))
+    marker = F.when(kind == "list_bullet", r"^[•▪*-]\s*").when(kind == "list_number", r"^[0-9]+[.)]\s*")
+    return F.struct(kind.alias("block_type"), F.when(marker.isNull(), line).otherwise(F.regexp_replace(line, marker, "")).alias("text"))
 
 
 def is_page_number(line: Column) -> Column:
@@ -233,23 +235,32 @@ def heading_collapse(layouts: DataFrame) -> DataFrame:
     return modes.join(other, ["doc_id", "first_indent", "centred"]).where("level < other_level").select("doc_id", "level", "other_level", "first_indent", "centred")
 
 
-#: Expected layout of a block type: blank lines before, first and run-over indent (null: any).
-FORMATS = [("heading1", 2, None, None), ("heading2", 1, 4, 4), ("body", None, 2, 0), ("list_bullet", None, 0, 2), ("list_number", None, 0, 2)]
+#: Blank lines that headings want before them, and the indents of paragraphs and lists in blanks.
+FORMATS = {"heading1": 2, "heading2": 1, "heading3": 1, "paragraph": (2, 0), "list_starts": (0, 2), "list_runovers": (2, 4)}
 
 
-def format_check(layouts: DataFrame, formats: DataFrame) -> DataFrame:
-    """blank lines before headings (first on a page is exempt), first and run-over indents; one cell off is for review."""
-    rows = layouts.join(F.broadcast(formats), "block_type")  # a literal table of block types
-    off = F.abs(F.col("first_indent") - F.col("want_first"))
-    over = F.abs(F.col("runover_indent") - F.col("want_runover"))
-    found = F.array_compact(
-        F.array(
-            F.when(~F.col("first_on_page") & (F.col("blank_before") < F.col("want_blank")), F.struct(F.lit("heading_blank_lines").alias("issue_type"), F.when(F.col("blank_before") == 0, "high_confidence").otherwise("needs_review").alias("tier"))),
-            F.when(off > 0, F.struct(F.lit("first_indent").alias("issue_type"), F.when(off == 1, "needs_review").otherwise("high_confidence").alias("tier"))),
-            F.when(over > 0, F.struct(F.lit("runover_indent").alias("issue_type"), F.when(over == 1, "needs_review").otherwise("high_confidence").alias("tier"))),
-        )
-    )
-    return rows.select("doc_id", "page_no", "para_no", "block_type", F.explode(found).alias("f")).select("doc_id", "page_no", "para_no", "block_type", "f.issue_type", "f.tier")
+def format_check(layouts: DataFrame, formats: dict = FORMATS) -> DataFrame:
+    """one verdict for each block that is laid out otherwise than its type wants.
+
+    Headings, but for the first block of a page, want blank lines before them; a first-level one
+    that lacks just one is for review.  Paragraphs want their first and run-over indents, a first
+    indent off by one alone is for review; list items want one of the allowed starts and
+    run-overs.  A block of one line counts as running over to the margin.
+    """
+    first, over = F.col("first_indent"), F.coalesce("runover_indent", F.lit(0))
+    kind, blanks = F.col("block_type"), F.col("blank_before")
+    verdict = lambda issue, tier: F.struct(F.lit(issue).alias("issue_type"), tier.alias("tier"))
+    high = F.lit("high_confidence")
+    spacing = lambda level, tier: F.when((kind == level) & ~F.col("first_on_page") & (blanks < formats[level]), verdict("heading_spacing_error", tier))
+    want, margin = formats["paragraph"]
+    paragraph = kind.isin("body", "paragraph") & ((first != want) | (over != margin))
+    minor = F.when((F.abs(first - want) <= 1) & (over == margin), "needs_review").otherwise("high_confidence")
+    items = kind.startswith("list") & ~(first.isin(*formats["list_starts"]) & over.isin(*formats["list_runovers"]))
+    found = F.coalesce(
+        spacing("heading1", F.when(blanks < formats["heading1"] - 1, high).otherwise("needs_review")), spacing("heading2", high), spacing("heading3", high),
+        F.when(paragraph, verdict("paragraph_indentation_error", minor)), F.when(items, verdict("list_indentation_error", high)),
+    )
+    return layouts.withColumn("found", found).where("found IS NOT NULL").select("doc_id", "page_no", "para_no", "block_type", "found.issue_type", "found.tier")
 
 
 def apply_format_allowlist(diffs: DataFrame, allowed: DataFrame) -> DataFrame:

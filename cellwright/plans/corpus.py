@@ -54,6 +54,7 @@ QUERIES = {
     "m7_scale_up": lambda s, d: C.scale_up(source_blocks(s, d), 9),
     "t1_evenly_spaced": lambda s, d: C.evenly_spaced(layout_lines(s, d), 4),
     "t2_quota_sample": lambda s, d: C.quota_sample(muts(s, d), QUOTAS),
+    "t2_quota_counts": lambda s, d: C.quota_counts(C.quota_sample(muts(s, d), QUOTAS)),
     "a12_integrity": lambda s, d: C.integrity(muts(s, d), REQUIRED),
     "a12_length_changes": lambda s, d: C.length_changes(muts(s, d)),
     "a15_repeated_tokens": lambda s, d: C.repeated_tokens(layout_lines(s, d)),
@@ -76,10 +77,13 @@ ORACLE_SQL = {
     "m5_replay_check": sql("lines cells muts", f", {applied('cells', 'muts', 'x')}, fewer AS (SELECT * FROM muts WHERE expected_start % 101 <> 0), {applied('cells', 'fewer', 'y')}, z AS ({COMPARED.format('x', 'y')}) SELECT * FROM z WHERE different + only_first + only_second > 0"),
     "m7_scale_up": sql("blocks", ", p AS (SELECT *, max(page_no) OVER (PARTITION BY doc_id) AS pages FROM blocks) SELECT doc_id, CAST(packet AS INT) AS packet, page_no + packet * pages AS page_no, block_no, packet IN (0, 2, 4, 6, 8) AS corrupted FROM p, range(9) r(packet)"),
     "t1_evenly_spaced": sql("lines", ", p AS (SELECT doc_id, page_no, line_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) - 1 AS i, count(*) OVER (PARTITION BY doc_id, page_no) AS n FROM lines) SELECT doc_id, page_no, line_no, 0 AS shortfall FROM p WHERE n < 4 OR i IN (0, round_even((n - 1) / 3, 0), round_even(2 * (n - 1) / 3, 0), n - 1) UNION ALL SELECT doc_id, page_no, NULL, 4 - n FROM p WHERE n < 4 AND i = 0"),
-    "t2_quota_sample": sql("lines cells muts", """, c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, family) AS size, (expected_start * 7919 + doc_id * 104729 + 1) % 10007 AS h FROM muts),
-        o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, line_no ORDER BY size, family, h, expected_start) AS one FROM c), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, family ORDER BY h, expected_start) AS turn FROM o WHERE one = 1),
-        q(family, quota) AS (VALUES ('letter', 4), ('blank', 2), ('punctuation', 1)), p AS (SELECT t.* FROM t JOIN q USING (family) WHERE turn <= quota), n AS (SELECT doc_id, family, count(*) AS n FROM p GROUP BY ALL)
-        SELECT doc_id, family, expected_start, 0 AS shortfall FROM p UNION ALL SELECT d.doc_id, q.family, NULL, quota - coalesce(n, 0) FROM (SELECT DISTINCT doc_id FROM muts) d CROSS JOIN q LEFT JOIN n ON n.doc_id = d.doc_id AND n.family = q.family WHERE quota > coalesce(n, 0)"""),
+    # the most lines that families can have together: over all of their subsets, the quotas outside and the lines inside
+    "t2_quota_counts": sql("lines cells muts", """, q(family, quota, bit) AS (VALUES ('letter', 4, 1), ('blank', 2, 2), ('punctuation', 1, 4)), l AS (SELECT doc_id, page_no, line_no, bit_or(bit) AS fs FROM muts JOIN q USING (family) GROUP BY ALL),
+        d AS (SELECT DISTINCT doc_id FROM muts), k AS (SELECT doc_id, q.family AS family, bit, quota, count(DISTINCT (page_no, line_no)) FILTER (m.family = q.family) AS size FROM d JOIN muts m USING (doc_id) CROSS JOIN q GROUP BY doc_id, q.family, bit, quota),
+        o AS (SELECT *, sum(bit) OVER (PARTITION BY doc_id ORDER BY size, family) AS upto FROM k), s AS (SELECT unnest(generate_series(0, 7)) AS inside),
+        cut AS (SELECT o.doc_id, o.family, o.quota, upto, bit, inside, (SELECT coalesce(sum(quota), 0) FROM q WHERE q.bit & o.upto & ~s.inside > 0) + (SELECT count(*) FROM l WHERE l.doc_id = o.doc_id AND l.fs & s.inside > 0) AS c FROM o CROSS JOIN s WHERE inside & ~upto = 0),
+        f AS (SELECT doc_id, family, quota, upto, min(c) AS flow FROM cut GROUP BY ALL), g AS (SELECT *, flow - coalesce(lag(flow) OVER (PARTITION BY doc_id ORDER BY bit_count(upto)), 0) AS picked FROM f)
+        SELECT doc_id, family, CAST(picked AS BIGINT) AS picked, CAST(quota - picked AS BIGINT) AS shortfall FROM g"""),
     "a12_integrity": sql("lines cells muts", """, r(family, wanted) AS (VALUES ('letter', 10), ('blank', 3), ('punctuation', 1)), f AS (SELECT doc_id, family, count(*) AS found FROM muts GROUP BY ALL), w AS (SELECT * FROM (SELECT DISTINCT doc_id FROM muts), r)
         SELECT doc_id, 'family:' || family AS "check", coalesce(found, 0) AS found, coalesce(wanted, 0) AS wanted FROM w FULL JOIN f USING (doc_id, family) WHERE coalesce(found, 0) <> coalesce(wanted, 0)
         UNION ALL SELECT doc_id, 'unique_ids', count(DISTINCT mutation_id), count(*) FROM muts GROUP BY doc_id HAVING count(DISTINCT mutation_id) <> count(*)"""),

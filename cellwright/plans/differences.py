@@ -11,7 +11,7 @@ from cellwright.sources.testdata import expected_cells, layout_lines, mutations,
 OTHER = "CASE (doc_id + seq) % 6 WHEN 1 THEN replace(raw_line, ' ', '  ') WHEN 2 THEN replace(raw_line, 'e', 'a') WHEN 3 THEN replace(raw_line, 'e', '') WHEN 5 THEN concat('x ', raw_line) ELSE raw_line END"
 TAG = "CASE (doc_id + seq) % 6 WHEN 1 THEN 'insert' WHEN 3 THEN 'delete' ELSE 'replace' END"
 STATUS = "CASE doc_id % 4 WHEN 0 THEN 'REVIEW' WHEN 1 THEN 'EXCLUDED' ELSE 'PASS' END"
-LONE = ("CASE seq % 4 WHEN 0 THEN ',' WHEN 1 THEN '?!' WHEN 2 THEN concat('a ', chr(92), 'X28AB') ELSE raw_line END", "CASE WHEN seq % 3 = 0 THEN ';' ELSE '.' END")
+LONE = ("CASE seq % 5 WHEN 0 THEN ',' WHEN 1 THEN '?!' WHEN 2 THEN concat('a ', chr(92), 'x28ab') WHEN 3 THEN right(raw_line, 1) ELSE raw_line END", "CASE seq % 4 WHEN 0 THEN '8' WHEN 1 THEN '' WHEN 2 THEN ';`' ELSE right(raw_line, 2) END")
 ALLOW = [("the end", "tha end"), ("and", "ond"), ("of the", "of th")]
 WORD = "CASE seq % 5 WHEN 0 THEN 'the' WHEN 1 THEN 'and' WHEN 2 THEN 'of the' WHEN 3 THEN 'the end' ELSE 'other' END"
 WORD2 = "CASE seq % 7 WHEN 0 THEN 'tha' WHEN 1 THEN 'ond' WHEN 2 THEN 'of th' WHEN 3 THEN 'tha end' ELSE 'th' END"
@@ -21,6 +21,23 @@ def lines(s, d, **columns):
     return layout_lines(s, d).select("doc_id", F.col("seq").cast("long").alias("seq"), "raw_line").select("doc_id", "seq", *(F.expr(e).alias(c) for c, e in columns.items()))
 
 
+#: A difference beside the last word of a line, and facts of the line: math from its digits, a numeric rule from its brackets.
+_LAST = "substr(raw_line, length(raw_line) - 2, 3)"
+CHANGE = {
+    "t": "CASE length(raw_line) % 7 WHEN 0 THEN 'insert' ELSE 'replace' END",
+    "e": f"CASE length(raw_line) % 7 WHEN 0 THEN '' WHEN 1 THEN ' ' WHEN 2 THEN concat('_%', {_LAST}) ELSE {_LAST} END",
+    "a": f"CASE length(raw_line) % 7 WHEN 0 THEN CASE WHEN length(raw_line) % 2 = 0 THEN '#ab' ELSE 'x' END WHEN 1 THEN '   ' WHEN 3 THEN replace({_LAST}, 'e', ' e') WHEN 4 THEN concat({_LAST}, ':') ELSE concat('q', {_LAST}) END",
+    "st": "CASE length(raw_line) % 11 WHEN 0 THEN 'REVIEW' WHEN 1 THEN 'EXCLUDED' WHEN 2 THEN NULL ELSE 'PASS' END",
+    "pay": "{match}(raw_line, '[0-9]') AND length(raw_line) % 3 = 0",
+    "m": "{match}(raw_line, '[0-9]')",
+    "num": "raw_line LIKE '%(%'",
+}
+
+
+def changed(s, d):
+    return lines(s, d, **{k: v.format(match="rlike") for k, v in CHANGE.items()}).where("e <> a")
+
+
 def muts(s, d):
     return mutations(expected_cells(s, d)).withColumn("diff_id", F.col("mutation_id")).withColumn("block", F.col("line_no"))
 
@@ -59,7 +76,7 @@ def words(s, d):
 QUERIES = {
     "f14_letter_group": lambda s, d: lines(s, d, x="CASE seq % 6 WHEN 0 THEN 'f(x)' WHEN 1 THEN '((a))' WHEN 2 THEN '(b)' WHEN 3 THEN '(((((c)))))' WHEN 4 THEN '((((d))))' ELSE raw_line END").select("doc_id", "seq", D.letter_group(F.col("x")).alias("kind")),
     "f16_mismatch_class": lambda s, d: lines(s, d, e="raw_line", a=OTHER, t=TAG).where("e <> a").select("doc_id", "seq", D.mismatch_class(F.col("e"), F.col("a"), F.col("t")).alias("severity")),
-    "f17_difference_category": lambda s, d: lines(s, d, e="raw_line", a=OTHER, st=STATUS, m="seq % 3 = 0", w="seq % 5 = 0").where("e <> a").select("doc_id", "seq", D.difference_category(*(F.col(c) for c in ("st", "m", "w", "e", "a"))).alias("category")),
+    "f17_difference_category": lambda s, d: changed(s, d).select("doc_id", "seq", D.difference_category(*(F.col(c) for c in ("t", "e", "a", "st", "pay", "m", "num"))).alias("category")),
     "f18_location_label": lambda s, d: lines(s, d, l0="seq", w0="seq % 5", l1="seq + doc_id % 2", w1="seq % 5 + doc_id % 3").select("doc_id", "seq", D.location_label(*(F.col(c) for c in ("l0", "w0", "l1", "w1"))).alias("label")),
     "f20_unspaced_equals": lambda s, d: lines(s, d, x="CASE seq % 4 WHEN 0 THEN concat('a', seq, '=b') WHEN 1 THEN 'x==y' WHEN 2 THEN 'p = q' ELSE raw_line END").select("doc_id", "seq", D.unspaced_equals(F.col("x")).alias("suggestion")),
     "p9_ignorable": lambda s, d: lines(s, d, e=LONE[0], a=LONE[1]).select("doc_id", "seq", D.ignorable(F.col("e"), F.col("a")).alias("ignored")),
@@ -81,10 +98,12 @@ SP = "sp AS (SELECT * FROM (SELECT doc_id, seq AS id, start + doc_id % 5 AS star
 ORACLE_SQL = {
     "f14_letter_group": sql("lines", "SELECT doc_id, seq, CASE seq % 6 WHEN 0 THEN 'application' WHEN 1 THEN 'group' WHEN 2 THEN 'group' WHEN 3 THEN 'REVIEW' WHEN 4 THEN 'group' ELSE CASE WHEN regexp_matches(raw_line, '^[a-z]\\([a-z0-9]\\)$') THEN 'application' ELSE 'none' END END AS kind FROM lines"),
     "f16_mismatch_class": sql("lines", f", p AS (SELECT doc_id, seq, raw_line AS e, {OTHER} AS a, {TAG} AS t FROM lines), q AS (SELECT *, string_split(e, ' ') AS se, string_split(a, ' ') AS sa FROM p WHERE e <> a) SELECT doc_id, seq, {SEV} AS severity FROM q"),
-    "f17_difference_category": sql("lines", f", p AS (SELECT doc_id, seq, raw_line AS e, {OTHER} AS a, {STATUS} AS st, seq % 3 = 0 AS m, seq % 5 = 0 AS w FROM lines), q AS (SELECT *, replace(e, '#', '') = replace(a, '#', '') AS n FROM p WHERE e <> a) SELECT doc_id, seq, CASE WHEN replace(e, chr(10), ' ') = replace(a, chr(10), ' ') THEN 'layout_only' WHEN replace(e, ' ', '') = replace(a, ' ', '') THEN 'spacing_only' WHEN st = 'REVIEW' THEN 'review' WHEN st = 'EXCLUDED' THEN 'excluded' WHEN m AND NOT n AND NOT w THEN 'math_payload' WHEN n THEN 'numeric_sign_guard' WHEN w THEN 'switch' WHEN m THEN 'math' ELSE 'literary' END AS category FROM q"),
+    "f17_difference_category": sql("lines", f""", p AS (SELECT doc_id, seq, {", ".join(f"{v.format(match='regexp_matches')} AS {k}" for k, v in CHANGE.items())} FROM lines) SELECT doc_id, seq, CASE WHEN trim(e || a) = '' THEN 'layout_only' WHEN replace(e, ' ', '') = replace(a, ' ', '') THEN 'spacing_only' WHEN st = 'REVIEW' THEN 'review' WHEN st = 'EXCLUDED' THEN 'excluded'
+        WHEN pay AND length(e) > 0 THEN 'math_payload' WHEN t = 'insert' AND e = '' AND st IS NOT NULL AND NOT m AND NOT num AND contains(a, '#') THEN 'numeric_sign_guard'
+        WHEN contains(e, '_%') OR contains(e, '_:') OR contains(a, '_%') OR contains(a, '_:') OR (m AND regexp_matches(e || a, '[_%:]')) THEN 'switch' WHEN m THEN 'math' ELSE 'literary' END AS category FROM p WHERE e <> a"""),
     "f18_location_label": sql("lines", ", p AS (SELECT doc_id, seq, seq AS l0, seq % 5 AS w0, seq + doc_id % 2 AS l1, seq % 5 + doc_id % 3 AS w1 FROM lines) SELECT doc_id, seq, CASE WHEN l0 = l1 AND w0 = w1 THEN printf('line %d, word %d', l0, w0) WHEN l0 = l1 THEN printf('line %d, words %d-%d', l0, w0, w1) ELSE printf('line %d, word %d to line %d, word %d', l0, w0, l1, w1) END AS label FROM p"),
     "f20_unspaced_equals": sql("lines", ", p AS (SELECT doc_id, seq, CASE seq % 4 WHEN 0 THEN concat('a', seq, '=b') WHEN 1 THEN 'x==y' WHEN 2 THEN 'p = q' ELSE raw_line END AS x FROM lines) SELECT doc_id, seq, CASE WHEN regexp_matches(x, '[^=<>]=[^=<>]') THEN regexp_replace(x, '([^=<> ])=([^=<> ])', '\\1 = \\2', 'g') END AS suggestion FROM p"),
-    "p9_ignorable": sql("lines", f", p AS (SELECT doc_id, seq, {LONE[0]} AS e, {LONE[1]} AS a FROM lines) SELECT doc_id, seq, (regexp_matches(e, '^[,;:!?''\".-]{{0,2}}$') AND regexp_matches(a, '^[,;:!?''\".-]{{0,2}}$')) OR regexp_matches(e, '\\\\X[0-9A-Fa-f]{{4}}') OR regexp_matches(a, '\\\\X[0-9A-Fa-f]{{4}}') AS ignored FROM p"),
+    "p9_ignorable": sql("lines", f", p AS (SELECT doc_id, seq, {LONE[0]} AS e, {LONE[1]} AS a FROM lines) SELECT doc_id, seq, (regexp_matches(e, '^[''\"`,;:.*?078 ]{{1,2}}$') AND e NOT LIKE '% %' AND regexp_matches(a, '^[''\"`,;:.*?078 ]{{1,2}}$') AND trim(a) <> '' AND trim(e) <> '') OR regexp_matches(e, '\\\\[Xx][0-9A-Fa-f]{{4,}}') AS ignored FROM p"),
     "p10_allowlist": sql("lines", f", p AS (SELECT doc_id, seq, {WORD} AS expected, {WORD2} AS actual FROM lines) SELECT * FROM p WHERE (expected, actual) NOT IN (('the end', 'tha end'), ('and', 'ond'), ('of the', 'of th'), ('the', 'tha'), ('the', 'th'))"),
     "j15_locate_block": sql("lines blocks cells muts", f", {BR} SELECT m.doc_id, expected_start AS id, expected_start AS \"at\", seq FROM muts m LEFT JOIN br ON br.doc_id = m.doc_id AND expected_start >= start AND expected_start < \"end\""),
     "j16_split_to_pages": sql("blocks", f", {BR}, {SP}, pg AS (SELECT doc_id, page_no, min(start) AS r0, max(\"end\") + 1 AS r1 FROM br GROUP BY ALL), {OV} SELECT * FROM x"),

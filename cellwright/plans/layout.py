@@ -40,7 +40,7 @@ def marked_blocks(spark, d):
     return source_blocks(spark, d).withColumn("text", F.expr(mark))
 
 
-STYLES = "CASE (doc_id + seq) % 8 WHEN 0 THEN 'Title' WHEN 1 THEN 'Heading 2' WHEN 2 THEN 'List Bullet' WHEN 3 THEN 'My number list' WHEN 4 THEN 'Figure caption' WHEN 5 THEN 'Body Text' WHEN 6 THEN 'odd' ELSE 'heading 5' END"
+STYLES = "CASE (doc_id + seq) % 8 WHEN 0 THEN 'Title' WHEN 1 THEN 'Heading 2' WHEN 2 THEN 'List Bullet' WHEN 3 THEN 'My number list' WHEN 4 THEN 'Figure caption' WHEN 5 THEN 'BODY text' WHEN 6 THEN 'Chapter Heading' ELSE 'heading 5' END"
 
 
 def style_types(spark, d):
@@ -93,20 +93,13 @@ FACTS = (
     layouts AS (SELECT doc_id, page_no, para_no, text, blanks - coalesce(lag(blanks) OVER (PARTITION BY doc_id, page_no ORDER BY para_no), 0) AS blank_before, first_indent, runover_indent,
     first_indent > 6 AND abs(first_indent - (40 - width) / 2) <= 4 AS centred, para_no = 1 AS first_on_page, start_line FROM facts)"""
 )
-TYPES = "CASE (doc_id + para_no) % 4 WHEN 0 THEN 'heading1' WHEN 1 THEN 'body' WHEN 2 THEN 'list_bullet' ELSE 'heading2' END"
+TYPES = "CASE (doc_id + para_no) % 5 WHEN 0 THEN 'heading1' WHEN 1 THEN 'body' WHEN 2 THEN 'list_bullet' WHEN 3 THEN 'heading3' ELSE 'heading2' END"
 
 
 def typed_layouts(spark, d):
     return L.paragraph_layout(styled_lines(spark, d)).withColumn("block_type", F.expr(TYPES))
 
 
-def formats(spark):
-    return spark.createDataFrame(L.FORMATS, "block_type string, want_blank int, want_first int, want_runover int")
-
-
-FORMAT_SQL = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in f) + ")" for f in L.FORMATS)
-
-
 def allowed(spark):
     return spark.createDataFrame([("body", 2, 0, False), ("heading1", 0, 0, False)], "block_type string, first_indent int, runover_indent int, centred boolean")
 
@@ -136,7 +129,7 @@ QUERIES = {
     "w3_segment_paragraphs": lambda s, d: L.segment_paragraphs(styled_lines(s, d)).select("doc_id", "seq", "para_no"),
     "w4_word_coordinates": lambda s, d: L.word_coordinates(styled_lines(s, d)),
     "f5_braille_int": lambda s, d: styled_lines(s, d).select("doc_id", "seq", braille_int(F.element_at(F.split("raw_line", " "), -1)).alias("number")),
-    "f19_format_check": lambda s, d: L.format_check(typed_layouts(s, d), formats(s)),
+    "f19_format_check": lambda s, d: L.format_check(typed_layouts(s, d)),
 }
 
 ORACLE_SQL = {
@@ -149,10 +142,10 @@ ORACLE_SQL = {
     "s7_partition_page_markers": sql("blocks", """, m AS (SELECT doc_id, seq, (doc_id + seq) % 6 = 0 OR regexp_matches(text, '^=== PAGE .* ===$') AS mk, text, CASE WHEN seq % 4 = 0 THEN NULL ELSE seq END AS n FROM blocks),
         r AS (SELECT *, CASE WHEN mk THEN coalesce(n, sum(CASE WHEN mk THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq)) END AS p FROM m)
         SELECT doc_id, marked_page, seq, text FROM (SELECT *, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq), 1) AS marked_page FROM r) WHERE NOT mk"""),
-    "p1_block_type": sql("blocks", "SELECT doc_id, seq, CASE (doc_id + seq) % 8 WHEN 0 THEN 'title' WHEN 1 THEN 'heading2' WHEN 2 THEN 'list_bullet' WHEN 3 THEN 'list_number' WHEN 4 THEN 'caption' WHEN 5 THEN 'body' WHEN 6 THEN 'unknown' ELSE 'heading5' END AS block_type FROM blocks"),
-    "p2_block_type_from_font": sql("blocks", f""", t AS (SELECT doc_id, seq, {FONT[0]} AS size, {FONT[1]} AS bold, {FONT[2]} AS text FROM blocks),
-        k AS (SELECT *, CASE WHEN size >= 18 THEN 'heading1' WHEN size >= 14 THEN 'heading2' WHEN bold AND size >= 12 THEN 'heading3' WHEN regexp_matches(text, '^\\s*[•*-]\\s+') THEN 'list_bullet' WHEN regexp_matches(text, '^\\s*[0-9]+[.)]\\s+') THEN 'list_number' ELSE 'body' END AS block_type FROM t)
-        SELECT doc_id, seq, block_type, CASE block_type WHEN 'list_bullet' THEN regexp_replace(text, '^\\s*[•*-]\\s+', '') WHEN 'list_number' THEN regexp_replace(text, '^\\s*[0-9]+[.)]\\s+', '') ELSE text END AS text FROM k"""),
+    "p1_block_type": sql("blocks", "SELECT doc_id, seq, CASE (doc_id + seq) % 8 WHEN 0 THEN 'title' WHEN 1 THEN 'heading2' WHEN 2 THEN 'list_bullet' WHEN 3 THEN 'list_number' WHEN 4 THEN 'unknown' WHEN 5 THEN 'body' WHEN 6 THEN 'heading3' ELSE 'heading5' END AS block_type FROM blocks"),
+    "p2_block_type_from_font": sql("blocks", f""", t AS (SELECT doc_id, seq, {FONT[0]} AS size, {FONT[1]} AS bold, regexp_replace({FONT[2]}, '^\\s+|\\s+$', '', 'g') AS text FROM blocks),
+        k AS (SELECT *, CASE WHEN size >= 16 THEN 'heading1' WHEN size >= 13 THEN 'heading2' WHEN bold AND size >= 11 THEN 'heading3' WHEN regexp_matches(text, '^[•▪*-]') THEN 'list_bullet' WHEN regexp_matches(text, '^[0-9]+[.)]\\s+') THEN 'list_number' ELSE 'body' END AS block_type FROM t)
+        SELECT doc_id, seq, block_type, CASE block_type WHEN 'list_bullet' THEN regexp_replace(text, '^[•▪*-]\\s*', '') WHEN 'list_number' THEN regexp_replace(text, '^[0-9]+[.)]\\s*', '') ELSE text END AS text FROM k"""),
     "p3_is_page_number": sql("lines styled", f"SELECT doc_id, seq, raw_line FROM styled WHERE {PAGE_NUMBER.format('raw_line')}"),
     "p4_strip_furniture": sql("lines styled", f"SELECT doc_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY seq DESC) AS f, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS b FROM styled) WHERE NOT (contains(raw_line, ',,PAGE ') OR (f = 1 AND {PAGE_NUMBER.format('raw_line')}) OR (b = 1 AND raw_line LIKE 'TRANSCRIBED %'))"),
     "p6_page_issues": sql("lines", "SELECT doc_id, page_no, 'page_length' AS issue_type, count(*) AS line_count FROM lines GROUP BY doc_id, page_no HAVING count(*) <> 10"),
@@ -182,8 +175,9 @@ ORACLE_SQL = {
     "w4_word_coordinates": sql("lines styled", f""", c AS (SELECT *, trim(raw_line) <> '' AND NOT {PAGE_NUMBER.format('raw_line')} AS ok FROM styled), p AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS physical_line FROM c),
         w AS (SELECT doc_id, page_no, physical_line, string_split_regex(trim(raw_line), ' +') AS ws FROM p WHERE ok) SELECT doc_id, page_no, physical_line, i AS word_no, ws[i] AS word FROM (SELECT *, unnest(generate_series(1, len(ws))) AS i FROM w)"""),
     "f5_braille_int": sql("lines styled", f", n AS (SELECT doc_id, seq, regexp_replace(lower(string_split(raw_line, ' ')[-1]), '^#', '') AS b FROM styled) SELECT doc_id, seq, {NUM} AS number FROM n"),
-    "f19_format_check": sql("lines styled", f""", {FACTS}, t AS (SELECT *, {TYPES} AS block_type FROM layouts), w(block_type, want_blank, want_first, want_runover) AS (VALUES {FORMAT_SQL}), j AS (SELECT * FROM t JOIN w USING (block_type))
-        SELECT doc_id, page_no, para_no, block_type, 'heading_blank_lines' AS issue_type, CASE WHEN blank_before = 0 THEN 'high_confidence' ELSE 'needs_review' END AS tier FROM j WHERE NOT first_on_page AND blank_before < want_blank
-        UNION ALL SELECT doc_id, page_no, para_no, block_type, 'first_indent', CASE WHEN abs(first_indent - want_first) = 1 THEN 'needs_review' ELSE 'high_confidence' END FROM j WHERE first_indent <> want_first
-        UNION ALL SELECT doc_id, page_no, para_no, block_type, 'runover_indent', CASE WHEN abs(runover_indent - want_runover) = 1 THEN 'needs_review' ELSE 'high_confidence' END FROM j WHERE runover_indent <> want_runover"""),
+    "f19_format_check": sql("lines styled", f""", {FACTS}, t AS (SELECT *, {TYPES} AS block_type, coalesce(runover_indent, 0) AS ro FROM layouts),
+        v AS (SELECT *, CASE WHEN block_type LIKE 'heading%' THEN NOT first_on_page AND blank_before < CASE block_type WHEN 'heading1' THEN 2 ELSE 1 END
+            WHEN block_type = 'body' THEN first_indent <> 2 OR ro <> 0 ELSE first_indent NOT IN (0, 2) OR ro NOT IN (2, 4) END AS bad FROM t)
+        SELECT doc_id, page_no, para_no, block_type, CASE WHEN block_type LIKE 'heading%' THEN 'heading_spacing_error' WHEN block_type = 'body' THEN 'paragraph_indentation_error' ELSE 'list_indentation_error' END AS issue_type,
+        CASE WHEN (block_type = 'heading1' AND blank_before = 1) OR (block_type = 'body' AND abs(first_indent - 2) <= 1 AND ro = 0) THEN 'needs_review' ELSE 'high_confidence' END AS tier FROM v WHERE bad"""),
 }
