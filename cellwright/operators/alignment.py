@@ -621,6 +621,74 @@ def assign_blocks_to_lines(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     return b.join(l, ["doc_id", "region"]).mapInPandas(run, "doc_id long, region int, block int, first_line int, last_line int")
 
 
+def segment_costs(block: str, lines: list[str]) -> np.ndarray:
+    """Edit costs of a block against all runs of consecutive lines joined by blanks: [first, last], infinite where last is before first.
+
+    One table for each block: from every line on, its last row holds the costs of all prefixes of what follows.
+    """
+    text, ends = _codes(" ".join(lines)), np.cumsum([len(x) + 1 for x in lines]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    wide = np.full((len(lines), len(text)), -2, np.int64)
+    for k, at in enumerate(starts):
+        wide[k, : len(text) - at] = text[at:]
+    ramp = np.arange(len(text) + 1, dtype=np.int64)
+    row = np.tile(ramp, (len(lines), 1))
+    for n, cell in enumerate(_codes(block).tolist(), 1):
+        new = np.empty_like(row)
+        new[:, 0] = n
+        new[:, 1:] = np.minimum(row[:, :-1] + (wide != cell), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - ramp, axis=1) + ramp
+    reach = ends[None, :] - starts[:, None]
+    return np.where(reach >= 0, np.take_along_axis(row, np.maximum(reach, 0), 1), np.inf)
+
+
+def block_lines(blocks: list[str], lines: list[str]) -> list[tuple[int, int, int]]:
+    """J9 of one region: (block, first line, last line) of best total score; none with fewer lines than blocks.
+
+    A block's score on a run of lines is its length less its edit cost, a twentieth for each line and
+    three quarters for each cell of difference in length; among equal totals earlier blocks are
+    shorter.  Lines behind the last block's may stay without one.
+    """
+    n, m = len(blocks), len(lines)
+    if not n or m < n:
+        return []
+    ends = np.cumsum([len(x) + 1 for x in lines])
+    size = ends[None, :] - np.concatenate([[0], ends[:-1]])[:, None] - 1
+    width = np.arange(m)[None, :] - np.arange(m)[:, None] + 1
+    best, chosen = np.zeros(m + 1), []
+    for k in range(n - 1, -1, -1):
+        total = len(blocks[k]) - segment_costs(blocks[k], lines) - 0.05 * width - 0.75 * np.abs(len(blocks[k]) - size) + best[None, 1:]
+        total[width < 1] = -np.inf
+        last = np.argmax(np.round(total, 9), axis=1)  # the first of the best
+        chosen.append(last)
+        best = np.append(total[np.arange(m), last], -np.inf)
+    out, at = [], 0
+    for k, last in enumerate(reversed(chosen)):
+        out.append((k, at, int(last[at])))
+        at = int(last[at]) + 1
+    return out
+
+
+def place_blocks(blocks: DataFrame, lines: DataFrame) -> DataFrame:
+    """Consecutive lines for each block of a region, at least one, by the alignment of each block with its lines.
+
+    ``blocks`` and ``lines`` are (doc_id, region, n, text); a region is one page.  Returns the block,
+    its first and last line, and both texts, which ``align_bounded`` takes on.
+    """
+    texts = lambda side, name: side.groupBy("doc_id", "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias(name))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                b, l = list(r.b), list(r.l)
+                out += [(r.doc_id, r.region, k, first, last, b[k], " ".join(l[first : last + 1])) for k, first, last in block_lines(b, l)]
+            yield pd.DataFrame(out, columns=["doc_id", "region", "block", "first_line", "last_line", "text", "other"])
+
+    schema = "doc_id long, region int, block int, first_line int, last_line int, text string, other string"
+    return texts(blocks, "b").join(texts(lines, "l"), ["doc_id", "region"]).mapInPandas(run, schema)
+
+
 def page_boundaries(stream: DataFrame, pages: DataFrame, reach: int = 32) -> DataFrame:
     """The blank of the expected stream where each actual page begins.
 
@@ -666,6 +734,100 @@ def align_words(pairs: DataFrame) -> DataFrame:
     return pairs.select("doc_id", "region", "text", "other").mapInPandas(run, OPCODES)
 
 
+def word_anchors(exp: DataFrame, act: DataFrame, n: int = 3) -> DataFrame:
+    """Runs (doc_id, i0, i1, j0, j1) of places where a word n-gram that occurs once on each side begins, side by side on both.
+
+    ``exp`` and ``act`` are (doc_id, pos, word), pos from 0.
+    """
+    own = _doc().orderBy("pos")
+
+    def once(side: DataFrame, name: str) -> DataFrame:
+        grams = side.select("doc_id", F.col("pos").alias(name), F.array("word", *(F.lead("word", k).over(own) for k in range(1, n))).alias("gram"))
+        grams = grams.where(F.col("gram")[n - 1].isNotNull())
+        return grams.groupBy("doc_id", "gram").agg(F.min(name).alias(name), F.count("*").alias("k")).where("k = 1").drop("k")
+
+    met = once(exp, "i").join(once(act, "j"), ["doc_id", "gram"]).withColumn("d", F.col("j") - F.col("i"))
+    met = met.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("doc_id", "d").orderBy("i")))
+    return met.groupBy("doc_id", "d", "island").agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1")).drop("d", "island")
+
+
+def heaviest_chain(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Runs (i0, i1, j0, j1) that ascend on both sides with the most places in all; runs share no place."""
+    runs = sorted(runs)
+    rank = {run: k for k, run in enumerate(sorted(runs, key=lambda r: r[2]), 1)}
+    tree: list[tuple[int, int]] = [(0, -1)] * (len(runs) + 1)  # best total and its last run, over prefixes of the second order
+    before = []
+    for k, run in enumerate(runs):
+        at, top = rank[run] - 1, (0, -1)
+        while at:
+            top = max(top, tree[at])
+            at &= at - 1
+        before.append(top[1])
+        at, own = rank[run], (top[0] + run[1] - run[0] + 1, k)
+        while at < len(tree):
+            tree[at] = max(tree[at], own)
+            at += at & -at
+    top, at = (0, -1), len(runs)
+    while at:
+        top = max(top, tree[at])
+        at &= at - 1
+    chain, k = [], top[1]
+    while k >= 0:
+        chain.append(runs[k])
+        k = before[k]
+    return chain[::-1]
+
+
+def word_opcodes(expected: list[str], actual: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """Opcodes of two lists of words by matching blocks, each distinct word as one character; any length, in bounded steps."""
+    sign = {w: chr(0x10000 + k) for k, w in enumerate(dict.fromkeys([*expected, *actual]))}
+    return split_opcodes("".join(sign[w] for w in expected), "".join(sign[w] for w in actual), matching_opcodes)
+
+
+def align_word_streams(exp: DataFrame, act: DataFrame) -> DataFrame:
+    """Word-level opcodes of whole documents (doc_id, pos, word), adjacent changes merged to one replace.
+
+    Unique word n-grams anchor the streams by an equi-join.  Anchors are kept as runs, of
+    which there are about as many as edits; the heaviest chain of a document's runs is picked
+    in one task.  The words between them are aligned slice by slice, keyed by document and slice.
+    """
+
+    def pick(batches):
+        for batch in batches:
+            out = [(r.doc_id, *run) for r in batch.itertuples() for run in heaviest_chain([(x["i0"], x["i1"], x["j0"], x["j1"]) for x in r.runs])]
+            yield pd.DataFrame(out, columns=["doc_id", "i0", "i1", "j0", "j1"])
+
+    listed = word_anchors(exp, act).groupBy("doc_id").agg(F.collect_list(F.struct("i0", "i1", "j0", "j1")).alias("runs"))
+    chain = listed.mapInPandas(pick, "doc_id long, i0 int, i1 int, j0 int, j1 int")
+
+    def between(side: DataFrame, c: str, name: str) -> DataFrame:
+        starts = chain.select("doc_id", F.col(f"{c}0").alias("pos"), F.struct("i0", f"{c}1").alias("run"))
+        placed = side.join(starts, ["doc_id", "pos"], "left").withColumn("run", F.last("run", ignorenulls=True).over(_doc().orderBy("pos")))
+        rest = placed.where(F.col("run").isNull() | (F.col("pos") > F.col(f"run.{c}1")))
+        words = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"])
+        return rest.groupBy("doc_id", F.coalesce("run.i0", F.lit(-1)).alias("slice")).agg(words.alias(name))
+
+    slices = between(exp, "i", "e").join(between(act, "j", "a"), ["doc_id", "slice"], "full")
+    bases = chain.select("doc_id", F.col("i0").alias("slice"), (F.col("i1") + 1).alias("eb"), (F.col("j1") + 1).alias("ab"))
+    slices = slices.join(bases, ["doc_id", "slice"], "left").select("doc_id", "e", "a", F.coalesce("eb", F.lit(0)).alias("eb"), F.coalesce("ab", F.lit(0)).alias("ab"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                e, a = ([] if x is None else list(x) for x in (r.e, r.a))
+                out += [(r.doc_id, tag, r.eb + e0, r.eb + e1, r.ab + a0, r.ab + a1) for tag, e0, e1, a0, a1 in word_opcodes(e, a)]
+            yield pd.DataFrame(out, columns=["doc_id", "tag", "e0", "e1", "a0", "a1"])
+
+    schema = "doc_id long, tag string, e0 int, e1 int, a0 int, a1 int"
+    same = chain.select("doc_id", F.lit("equal").alias("tag"), F.col("i0").alias("e0"), (F.col("i1") + 1).alias("e1"), F.col("j0").alias("a0"), (F.col("j1") + 1).alias("a1"))
+    ops = same.unionByName(slices.mapInPandas(run, schema)).withColumns({"own": F.col("tag"), "tag": F.when(F.col("tag") == "equal", "equal").otherwise("replace")})
+    order = _doc().orderBy("e0", "a0")
+    groups = ops.withColumn("n", F.sum((~F.lag("tag").over(order).eqNullSafe(F.col("tag"))).cast("int")).over(order) - 1)
+    tag = F.when(F.count("*") > 1, F.first("tag")).otherwise(F.first("own"))
+    return groups.groupBy("doc_id", F.col("n").cast("int").alias("n")).agg(tag.alias("tag"), F.min("e0").alias("e0"), F.max("e1").alias("e1"), F.min("a0").alias("a0"), F.max("a1").alias("a1"))
+
+
 def project_raw(opcodes: DataFrame, index_map: DataFrame) -> DataFrame:
     """Equal runs (doc_id, region, first, last) of comparison positions as runs of raw positions, split where cells were dropped."""
     at = opcodes.select("doc_id", "region", "first", F.explode(F.sequence("first", "last")).alias("pos"))

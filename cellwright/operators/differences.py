@@ -205,8 +205,36 @@ def switch_problems(switches: DataFrame) -> DataFrame:
 
 
 def letter_group(text: Column) -> Column:
-    """kind of a letter group: a single letter applied to a bracket, nested single-child groups up to four deep, deeper ones for review."""
+    """a letter in brackets, nested and applied to any depth, as struct (kind, depth, cells).
+
+    Each level is a bracket of three kinds, with or without a letter applied to it; the innermost
+    holds one letter; the closing brackets mirror the opening ones, so no stack is needed.  Kind is
+    ``application`` where the whole begins with a letter, ``group`` where it begins with a bracket, else
+    ``none`` without cells.  A letter inside touches both brackets and an applied one a bracket, so none
+    takes an indicator here.
+    """
+    shape = r"^((?:[A-Za-z]?[(\[{])+)([A-Za-z])([)\]}]+)$"
+    opening = F.regexp_replace(F.regexp_extract(text, shape, 1), "[A-Za-z]", "")
+    closing = F.regexp_extract(text, shape, 3)
+    ok = (opening != "") & (F.translate(F.reverse(opening), "([{", ")]}") == closing)
+    cells = text
+    for sign, cell in ((r"\[", "@\\("), (r"\]", "@)"), (r"\{", ".\\("), (r"\}", ".)")):
+        cells = F.regexp_replace(cells, sign, cell)
+    cells = F.lower(F.regexp_replace(cells, "([A-Z])", ",$1"))
+    kind = F.when(ok & text.rlike("^[A-Za-z]"), "application").when(ok, "group").otherwise("none")
+    return F.struct(kind.alias("kind"), F.when(ok, F.length(opening)).alias("depth"), F.when(ok, cells).alias("cells"))
+
+
+def letter_indicator(contact: Column, left: Column, right: Column, enclosed_list: Column, comparison: Column, modified: Column) -> Column:
+    """whether a single mathematical letter takes an indicator, from what it touches; null is for review.
+
+    ``contact`` is the side of a grouping sign, both, or outside; ``left`` and ``right`` are the
+    neighbours beyond it.  Items of enclosed lists, letters beside a comparison or between both
+    signs, and letters at a sign with a script take none; else one that spaces or punctuation stand around does.
+    """
+    known = lambda c: c.isin("space", "punctuation", "letter", "operation", "group")
+    free = lambda c: c.isin("space", "punctuation")
     return (
-        F.when(text.rlike("^[a-z]\\([a-z0-9]\\)$"), "application").when(text.rlike("^\\((?:[a-z]|\\((?:[a-z]|\\((?:[a-z]|\\([a-z]\\))\\))\\))\\)$"), "group")
-        .when(text.rlike("^\\({5,}"), "REVIEW").otherwise("none")
+        F.when(~contact.isin("both", "left", "right", "outside"), F.lit(None)).when(enclosed_list | comparison | (contact == "both"), False)
+        .when(contact.isin("left", "right") & modified, False).when(known(left) & known(right), free(left) & free(right))
     )

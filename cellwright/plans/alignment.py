@@ -84,6 +84,17 @@ def numbered_blocks(s, d):
     return rows.groupBy("doc_id", "region", "b").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text")).withColumnRenamed("b", "n")
 
 
+def word_streams(s, d):
+    """The words of the layout lines, and of the same lines as another hand wrote them: some lines changed, some moved behind the next three."""
+    rows = layout_lines(s, d).withColumns({"other": F.expr(OTHER), "place": F.expr("CASE WHEN length(raw_line) % 13 = 0 THEN seq + 3.5 ELSE seq END")})
+
+    def stream(column, order):
+        words = rows.select("doc_id", F.col(order).alias("o"), "seq", F.posexplode(F.filter(F.split(column, " "), lambda w: w != "")).alias("k", "word"))
+        return words.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("o", "seq", "k")) - 1).alias("pos"), "word")
+
+    return stream("raw_line", "seq"), stream("other", "place")
+
+
 E = "e AS (SELECT doc_id, seq, text FROM blocks)"
 B = f"b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS seq, {ACTUAL_TEXT} AS text FROM blocks WHERE seq % 7 <> 3)"
 ANCHORS = f"{E}, {B}, an AS (SELECT x.doc_id, i, j FROM (SELECT doc_id, text, min(seq) AS i FROM e GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT doc_id, text, min(seq) AS j FROM b GROUP BY ALL HAVING count(*) = 1) y USING (doc_id, text))"
@@ -104,7 +115,9 @@ QUERIES = {
     "j8_match_page_regions": lambda s, d: A.match_page_regions(pages(s, d, "raw_line"), pages(s, d, "other")),
     "j9_assign_blocks_to_lines": lambda s, d: A.assign_blocks_to_lines(numbered_blocks(s, d), numbered_lines(s, d)),
     "j10_page_boundaries": lambda s, d: A.page_boundaries(streams(s, d), page_starts(s, d)),
+    "j9_place_blocks": lambda s, d: A.place_blocks(numbered_blocks(s, d), numbered_lines(s, d)).drop("text", "other"),
     "j11_align_words": lambda s, d: A.align_words(pairs(s, d)),
+    "j11_align_word_streams": lambda s, d: A.align_word_streams(*word_streams(s, d)),
     "j18_project_raw": raw_runs,
     "w7_merge_runs": lambda s, d: A.merge_runs(cells_of("text")(pairs(s, d)).withColumn("tag", F.when(F.col("mask") == " ", "blank").otherwise("text")), ["doc_id", "region"]),
 }

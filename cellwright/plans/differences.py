@@ -21,6 +21,14 @@ def lines(s, d, **columns):
     return layout_lines(s, d).select("doc_id", F.col("seq").cast("long").alias("seq"), "raw_line").select("doc_id", "seq", *(F.expr(e).alias(c) for c, e in columns.items()))
 
 
+#: Letter groups of a line's first two characters, and the neighbours of a letter from its length.
+LETTERS = """CASE length(raw_line) % 9 WHEN 0 THEN concat(substr(raw_line, 1, 1), '(', substr(raw_line, 2, 1), ')') WHEN 1 THEN concat('([{', substr(raw_line, 2, 1), '}])') WHEN 2 THEN concat('((((((', substr(raw_line, 2, 1), '))))))')
+    WHEN 3 THEN concat('[', substr(raw_line, 1, 1), '(', substr(raw_line, 2, 1), ')]') WHEN 4 THEN concat(substr(raw_line, 1, 1), '(', substr(raw_line, 1, 1), '{(', substr(raw_line, 2, 1), ')})') WHEN 5 THEN '(a]' WHEN 6 THEN 'f()' WHEN 7 THEN substr(raw_line, 1, 1) ELSE raw_line END"""
+_KIND = "CASE length(raw_line) % {} WHEN 0 THEN 'space' WHEN 1 THEN 'punctuation' WHEN 2 THEN 'letter' WHEN 3 THEN 'operation' WHEN 4 THEN 'word' ELSE 'group' END"
+SITES = {
+    "contact": "CASE length(raw_line) % 5 WHEN 0 THEN 'both' WHEN 1 THEN 'left' WHEN 2 THEN 'right' WHEN 3 THEN 'outside' ELSE 'near' END", "l": _KIND.format(6), "r": _KIND.format(7),
+    "listed": "length(raw_line) % 8 = 0", "compared": "length(raw_line) % 9 = 0", "scripted": "length(raw_line) % 11 = 0",
+}
 #: A difference beside the last word of a line, and facts of the line: math from its digits, a numeric rule from its brackets.
 _LAST = "substr(raw_line, length(raw_line) - 2, 3)"
 CHANGE = {
@@ -74,7 +82,8 @@ def words(s, d):
 
 
 QUERIES = {
-    "f14_letter_group": lambda s, d: lines(s, d, x="CASE seq % 6 WHEN 0 THEN 'f(x)' WHEN 1 THEN '((a))' WHEN 2 THEN '(b)' WHEN 3 THEN '(((((c)))))' WHEN 4 THEN '((((d))))' ELSE raw_line END").select("doc_id", "seq", D.letter_group(F.col("x")).alias("kind")),
+    "f14_letter_group": lambda s, d: lines(s, d, x=LETTERS).select("doc_id", "seq", D.letter_group(F.col("x")).alias("g")).select("doc_id", "seq", "g.*"),
+    "f14_letter_indicator": lambda s, d: lines(s, d, **SITES).select("doc_id", "seq", D.letter_indicator(*(F.col(c) for c in SITES)).alias("required")),
     "f16_mismatch_class": lambda s, d: lines(s, d, e="raw_line", a=OTHER, t=TAG).where("e <> a").select("doc_id", "seq", D.mismatch_class(F.col("e"), F.col("a"), F.col("t")).alias("severity")),
     "f17_difference_category": lambda s, d: changed(s, d).select("doc_id", "seq", D.difference_category(*(F.col(c) for c in ("t", "e", "a", "st", "pay", "m", "num"))).alias("category")),
     "f18_location_label": lambda s, d: lines(s, d, l0="seq", w0="seq % 5", l1="seq + doc_id % 2", w1="seq % 5 + doc_id % 3").select("doc_id", "seq", D.location_label(*(F.col(c) for c in ("l0", "w0", "l1", "w1"))).alias("label")),
@@ -96,7 +105,14 @@ OV = """x AS (SELECT s.doc_id, id, page_no, greatest(start, r0) - r0 AS p0, leas
 SP = "sp AS (SELECT * FROM (SELECT doc_id, seq AS id, start + doc_id % 5 AS start, \"end\" + (doc_id + seq) % 40 AS \"end\" FROM br) WHERE start <= \"end\")"
 
 ORACLE_SQL = {
-    "f14_letter_group": sql("lines", "SELECT doc_id, seq, CASE seq % 6 WHEN 0 THEN 'application' WHEN 1 THEN 'group' WHEN 2 THEN 'group' WHEN 3 THEN 'REVIEW' WHEN 4 THEN 'group' ELSE CASE WHEN regexp_matches(raw_line, '^[a-z]\\([a-z0-9]\\)$') THEN 'application' ELSE 'none' END END AS kind FROM lines"),
+    "f14_letter_group": sql("lines", f""", p AS (SELECT doc_id, seq, {LETTERS} AS x, length(raw_line) % 9 AS k, substr(raw_line, 1, 1) AS a, substr(raw_line, 2, 1) AS b FROM lines),
+        q AS (SELECT *, regexp_matches(a, '[A-Za-z]') AS la, regexp_matches(b, '[A-Za-z]') AS lb FROM p), c AS (SELECT *, CASE WHEN regexp_matches(a, '[A-Z]') THEN ',' ELSE '' END || lower(a) AS ca, CASE WHEN regexp_matches(b, '[A-Z]') THEN ',' ELSE '' END || lower(b) AS cb FROM q)
+        SELECT doc_id, seq, CASE WHEN (k = 0 AND la AND lb) OR (k = 4 AND la AND lb) THEN 'application' WHEN (k IN (1, 2) AND lb) OR (k = 3 AND la AND lb) THEN 'group' ELSE 'none' END AS kind,
+        CASE WHEN k = 0 AND la AND lb THEN 1 WHEN k = 1 AND lb THEN 3 WHEN k = 2 AND lb THEN 6 WHEN k = 3 AND la AND lb THEN 2 WHEN k = 4 AND la AND lb THEN 3 END AS depth,
+        CASE WHEN k = 0 AND la AND lb THEN ca || '(' || cb || ')' WHEN k = 1 AND lb THEN '(@(.(' || cb || '.)@))' WHEN k = 2 AND lb THEN '((((((' || cb || '))))))' WHEN k = 3 AND la AND lb THEN '@(' || ca || '(' || cb || ')@)' WHEN k = 4 AND la AND lb THEN ca || '(' || ca || '.(' || '(' || cb || ').))' END AS cells FROM c"""),
+    "f14_letter_indicator": sql("lines", f""", p AS (SELECT doc_id, seq, {", ".join(f"{v} AS {k}" for k, v in SITES.items())} FROM lines)
+        SELECT doc_id, seq, CASE WHEN contact = 'near' THEN NULL WHEN listed OR compared OR contact = 'both' OR (contact IN ('left', 'right') AND scripted) THEN false WHEN l = 'word' OR r = 'word' THEN NULL
+        ELSE l IN ('space', 'punctuation') AND r IN ('space', 'punctuation') END AS required FROM p"""),
     "f16_mismatch_class": sql("lines", f", p AS (SELECT doc_id, seq, raw_line AS e, {OTHER} AS a, {TAG} AS t FROM lines), q AS (SELECT *, string_split(e, ' ') AS se, string_split(a, ' ') AS sa FROM p WHERE e <> a) SELECT doc_id, seq, {SEV} AS severity FROM q"),
     "f17_difference_category": sql("lines", f""", p AS (SELECT doc_id, seq, {", ".join(f"{v.format(match='regexp_matches')} AS {k}" for k, v in CHANGE.items())} FROM lines) SELECT doc_id, seq, CASE WHEN trim(e || a) = '' THEN 'layout_only' WHEN replace(e, ' ', '') = replace(a, ' ', '') THEN 'spacing_only' WHEN st = 'REVIEW' THEN 'review' WHEN st = 'EXCLUDED' THEN 'excluded'
         WHEN pay AND length(e) > 0 THEN 'math_payload' WHEN t = 'insert' AND e = '' AND st IS NOT NULL AND NOT m AND NOT num AND contains(a, '#') THEN 'numeric_sign_guard'
