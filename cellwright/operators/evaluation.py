@@ -25,21 +25,23 @@ def repair_swapped(rows: DataFrame, number: str, text: str) -> DataFrame:
 
 
 def match_candidates(muts: DataFrame, findings: DataFrame) -> DataFrame:
-    """Pairs of one operation whose starts are within ±4 or that share a box, scored 4·equal boxes + 2·equal span + overlap.
+    """Pairs of one operation whose starts are within ±4 or that share a box, scored 4·equal boxes + 2·equal span + shared box.
 
-    The range join is an equi-join on blocks of nine positions, each finding in the blocks it can
-    reach; shared boxes are an equi-join on boxes.
+    One equi-join on keys: blocks of nine positions, each finding in those that it can reach,
+    and boxes.  ``validation.candidates`` adds proofs and pages.
     """
     width = 2 * REACH + 1
-    f = findings.select(*PAGE, "find_id", "operation", F.col("start").alias("f0"), F.col("end").alias("f1"), F.col("boxes").alias("places"))
-    reached = f.withColumn("cell", F.explode(F.expr(f"sequence((f0 - {REACH}) div {width}, (f0 + {REACH}) div {width})")))
-    near = muts.withColumn("cell", F.expr(f"start div {width}")).join(reached, [*PAGE, "operation", "cell"]).where(F.abs(F.col("start") - F.col("f0")) <= REACH)
-    shared = muts.withColumn("cell", F.explode("boxes")).join(f.withColumn("cell", F.explode("places")), [*PAGE, "operation", "cell"])
-    met = near.drop("cell").unionByName(shared.where(F.abs(F.col("start") - F.col("f0")) > REACH).drop("cell").dropDuplicates([*PAGE, "mut_id", "find_id"]))
-    exact = ((F.size("boxes") > 0) & (F.array_sort(F.array_distinct("boxes")) == F.array_sort(F.array_distinct("places")))).cast("int")
-    span = ((F.col("start") == F.col("f0")) & (F.col("end") == F.col("f1"))).cast("int")
-    overlap = F.greatest(F.lit(0).cast("long"), F.least("end", "f1") - F.greatest("start", "f0"))
-    return met.select(*PAGE, "mut_id", "find_id", "start", (4 * exact + 2 * span + overlap).alias("score"))
+    key = lambda kind, x: F.xxhash64(F.lit(kind), x)
+    blocks = lambda lo, hi: F.transform(F.expr(f"sequence({lo} div {width}, {hi} div {width})"), lambda b: key("near", b))
+    boxes = F.transform("boxes", lambda b: key("box", b))
+    m = muts.select(*PAGE, "mut_id", "operation", "start", "end", "boxes", F.explode(F.array_distinct(F.concat(blocks("start", "start"), boxes))).alias("key"))
+    f = findings.select(*PAGE, "find_id", "operation", "start", "end", "boxes", F.explode(F.array_distinct(F.concat(blocks(f"(start - {REACH})", f"(start + {REACH})"), boxes))).alias("key"))
+    f = f.select(*PAGE, "find_id", "operation", F.col("start").alias("f0"), F.col("end").alias("f1"), F.col("boxes").alias("places"), "key")
+    shared = F.size(F.array_intersect("boxes", "places")) > 0
+    met = m.join(f, [*PAGE, "operation", "key"]).where((F.abs(F.col("start") - F.col("f0")) <= REACH) | shared).dropDuplicates([*PAGE, "mut_id", "find_id"])
+    exact = ((F.size("boxes") > 0) & (F.array_sort(F.array_distinct("boxes")) == F.array_sort(F.array_distinct("places")))).cast("long")
+    span = ((F.col("start") == F.col("f0")) & (F.col("end") == F.col("f1"))).cast("long")
+    return met.select(*PAGE, "mut_id", "find_id", "start", (4 * exact + 2 * span + shared.cast("long")).alias("score"))
 
 
 def unique_best(cands: DataFrame, key: str = "mut_id") -> DataFrame:

@@ -19,8 +19,8 @@ BOXES = "array(named_struct('line', line_no, 'cell', greatest(col_no + {}, 1)))"
 
 
 def scored(s, d):
-    """The manifest, and findings that are off by what SHIFT says; each of nine mutations has none."""
-    rows = mutations(expected_cells(s, d)).select("doc_id", "page_no", "line_no", "col_no", "mutation_id", "operation", "family", "expected_start", F.size("expected_cells").alias("n"))
+    """The manifest, derived once, and findings that are off by what SHIFT says; each of nine mutations has none."""
+    rows = files.written(mutations(expected_cells(s, d)).select("doc_id", "page_no", "line_no", "col_no", "mutation_id", "operation", "family", "expected_start", F.size("expected_cells").alias("n")))
     found = F.expr(f"greatest(expected_start + {SHIFT}, 0)")
     own = rows.select("doc_id", "page_no", F.col("mutation_id").alias("mut_id"), "operation", "family", F.col("expected_start").alias("start"), F.expr("expected_start + n").alias("end"), F.expr(BOXES.format("0")).alias("boxes"))
     theirs = rows.where("expected_start % 9 <> 0").select("doc_id", "page_no", F.expr("concat('F', expected_start)").alias("find_id"), "operation", found.alias("start"), (found + F.col("n")).alias("end"), F.expr(BOXES.format(SHIFT)).alias("boxes"))
@@ -37,16 +37,21 @@ def found(s, d):
 
 MU = 'mu AS (SELECT doc_id, page_no, mutation_id AS mut_id, operation, family, expected_start AS start, expected_start + len(expected_cells) AS "end", line_no, col_no AS box FROM muts)'
 FO = f"fo AS (SELECT doc_id, page_no, 'F' || expected_start AS find_id, operation, greatest(expected_start + {SHIFT}, 0) AS start, greatest(expected_start + {SHIFT}, 0) + len(expected_cells) AS \"end\", line_no, greatest(col_no + {SHIFT}, 1) AS box FROM muts WHERE expected_start % 9 <> 0)"
-CA = 'ca AS (SELECT m.doc_id, m.page_no, mut_id, find_id, m.start, CAST(4 * CAST(m.line_no = f.line_no AND m.box = f.box AS INT) + 2 * CAST(m.start = f.start AND m."end" = f."end" AS INT) + greatest(0, least(m."end", f."end") - greatest(m.start, f.start)) AS BIGINT) AS score FROM mu m JOIN fo f ON f.doc_id = m.doc_id AND f.page_no = m.page_no AND f.operation = m.operation WHERE abs(m.start - f.start) <= 4 OR (m.line_no = f.line_no AND m.box = f.box))'
+CA = 'ca AS (SELECT m.doc_id, m.page_no, mut_id, find_id, m.start, CAST(4 * CAST(m.line_no = f.line_no AND m.box = f.box AS INT) + 2 * CAST(m.start = f.start AND m."end" = f."end" AS INT) + CAST(m.line_no = f.line_no AND m.box = f.box AS INT) AS BIGINT) AS score FROM mu m JOIN fo f ON f.doc_id = m.doc_id AND f.page_no = m.page_no AND f.operation = m.operation WHERE abs(m.start - f.start) <= 4 OR (m.line_no = f.line_no AND m.box = f.box))'
 
 
 def candidates(s, d):
-    return V.match_candidates(muts(s, d), found(s, d))
+    return V.match_candidates(*scored(s, d))
 
 
-def outcomes(s, d):
+def outcomes(own):
     """Outcomes by arithmetic, for the summaries."""
-    return muts(s, d).withColumns({"find_id": F.expr("CASE WHEN start % 9 <> 0 THEN concat('F', start) END"), "state": F.expr("CASE WHEN start % 9 = 0 THEN 'MISSED' WHEN start % 4 = 0 THEN 'AMBIGUOUS' ELSE 'DETECTED' END")})
+    return own.withColumns({"find_id": F.expr("CASE WHEN start % 9 <> 0 THEN concat('F', start) END"), "state": F.expr("CASE WHEN start % 9 = 0 THEN 'MISSED' WHEN start % 4 = 0 THEN 'AMBIGUOUS' ELSE 'DETECTED' END")})
+
+
+def arithmetic_quality(s, d):
+    own, theirs = scored(s, d)
+    return V.quality(own, outcomes(own).where("state = 'DETECTED'"), theirs)
 
 
 OUT = "oc AS (SELECT *, CASE WHEN start % 9 <> 0 THEN 'F' || start END AS find_id, CASE WHEN start % 9 = 0 THEN 'MISSED' WHEN start % 4 = 0 THEN 'AMBIGUOUS' ELSE 'DETECTED' END AS state FROM mu)"
@@ -171,17 +176,17 @@ QUERIES = {
     "s12_diagnostics": lambda s, d: files.diagnostics(reviews(s, d), mapped(s, d)).select("doc_id", "diff_id", "mapped", "cells", F.coalesce(F.size("ranges"), F.lit(0)).alias("n_ranges")),
     "s14_cells_to_brf": lambda s, d: files.cells_to_brf(expected_cells(s, d).where("mask IS NOT NULL")),
     "j28_match_candidates": candidates,
-    "j29_assign_findings": lambda s, d: V.assign_findings(muts(s, d), candidates(s, d)),
+    "j29_assign_findings": lambda s, d: assigned(s, d)[2].select("doc_id", "page_no", "mut_id", "find_id", "state"),
     "j30_run_equivalence": lambda s, d: V.run_equivalence(run_marks(s, d, "M"), run_marks(s, d, "F"), runs(s, d)),
     "j31_grouped_deletions": lambda s, d: V.grouped_deletions(long_deletions(s, d), deleted(s, d)),
     "j32_attribute_case": lambda s, d: V.attribute_case(case_diffs(s, d), case_spans(s, d)),
     "j33_citation_coverage": lambda s, d: V.citation_coverage(scope(s, d), cases(s, d)),
     "t3_unique_best": lambda s, d: V.unique_best(candidates(s, d)),
-    "t5_first_n": lambda s, d: V.first_n(outcomes(s, d), ["doc_id", "state"], ["start", "mut_id"]).select("doc_id", "state", "mut_id"),
+    "t5_first_n": lambda s, d: V.first_n(outcomes(muts(s, d)), ["doc_id", "state"], ["start", "mut_id"]).select("doc_id", "state", "mut_id"),
     "u2_geometry_relation": geometry,
     "u3_off_target": lambda s, d: V.off_target(rendered(s, d), rendered(s, d).where("c % 3 = 0"), rendered(s, d).where("c % 5 = 0")),
-    "a10_evaluation_summary": lambda s, d: V.evaluation_summary(outcomes(s, d)),
-    "a11_quality": lambda s, d: V.quality(muts(s, d), outcomes(s, d).where("state = 'DETECTED'"), found(s, d)),
+    "a10_evaluation_summary": lambda s, d: V.evaluation_summary(outcomes(muts(s, d))),
+    "a11_quality": arithmetic_quality,
     "a10_assigned_summary": assigned_summary,
     "a11_assigned_quality": assigned_quality,
     "t5_assigned_examples": assigned_examples,
