@@ -7,10 +7,11 @@ lengths); among the open sequences that hold a piece under every constraint the
 smallest weighted residual norm after placing it (``rule="norm"``), or of largest weighted
 dot product of residual and demand (``rule="dot"``), is chosen.
 
-A sequence holds at most ``DOCUMENTS`` pieces, as attention over packed documents needs their
-bounds.  The squared lengths in a sequence never exceed its squared length, so the attention
-capacity does not bind by itself; with the document count it decides, through ``WEIGHTS``, which
-of the sequences that are about equally full takes a piece.
+A sequence may be held to at most ``documents`` pieces and ``attention`` summed squares.  Without
+limits of a caller's own their capacities are those that the tokens allow, one piece a token
+and the square of the size: the fewest sequences are wanted, so neither may close a sequence
+that has tokens left.  Both still decide, through ``WEIGHTS``, which of the sequences that are about
+equally full takes a piece.
 
 Tokenizing streams over the documents and keeps only each piece's length and checksum.
 Packing works on blocks of about ``BLOCK`` pieces dealt out by a hash, so no task grows with
@@ -33,12 +34,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwright.llm.bpe import ranks_of
 from cellwright.llm.common import shared_checkpoint
 
 SEQUENCE = 2048
 BLOCK = 8192
 END_ID = 0
-DOCUMENTS = 256
 #: Of the residual tokens, documents and attention cost, each as a share of its capacity.
 WEIGHTS = (1.0, 0.25, 0.25)
 #: Fixed value: the one special token of the vocabulary and its id.
@@ -49,20 +50,16 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 @cache
 def encoder(vocabulary: str):
-    """Byte-level BPE of a ranks file; it gives the ids of the same vocabulary in other formats."""
-    import base64
-
+    """Byte-level BPE of a vocabulary in JSON or of a rank file, with its special token."""
     import public_tokenizers
     import tiktoken
 
-    with open(vocabulary, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("cellwright", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    return tiktoken.Encoding("cellwright", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of(vocabulary), special_tokens=SPECIAL)
 
 
 def token_ids(text: str | None, vocabulary: str) -> np.ndarray:
@@ -136,7 +133,7 @@ def pack(
     docs: DataFrame,
     vocabulary: str | None = None,
     size: int = SEQUENCE,
-    documents: int | None = DOCUMENTS,
+    documents: int | None = None,
     attention: int | None = None,
     rule: str = "norm",
 ) -> DataFrame:

@@ -247,8 +247,12 @@ def test_rulers_of_any_length_are_one_line(spark):
 
 
 def test_packing_constraints_and_tokens(spark):
-    found = packing.pack(documents(spark, [(i, "") for i in range(300)])).groupBy("sequence_id").count().collect()
-    assert max(r["count"] for r in found) == packing.DOCUMENTS and len(found) == 2
+    empty = documents(spark, [(i, "") for i in range(300)])
+    found = packing.pack(empty, documents=256).groupBy("sequence_id").count().collect()
+    assert max(r["count"] for r in found) == 256 and len(found) == 2
+    assert packing.pack(empty).select("sequence_id").distinct().count() == 1  # as few as the tokens allow
+    held = packing.best_fit(np.full(40, 700), attention=700 * 700)[0]
+    assert len(np.unique(held)) == 40 and len(np.unique(packing.best_fit(np.full(40, 700))[0])) == 20
     rng = np.random.default_rng(2)
     lengths = np.minimum(rng.geometric(0.002, 4000), 2048)
     ours, flat = packing.best_fit(lengths)[0], packing.best_fit(lengths, weights=(1.0, 0.0, 0.0))[0]
@@ -264,6 +268,27 @@ def test_packing_constraints_and_tokens(spark):
         assert list(packing.token_ids(text, vocabulary)[:-1]) == theirs.ids
 
 
+def test_packing_against_the_fewest_bins():
+    def fewest(sizes, bins):
+        if not sizes:
+            return len(bins)
+        best = len(bins) + len(sizes)
+        for k in range(len(bins)):
+            if bins[k] + sizes[0] <= 20:
+                best = min(best, fewest(sizes[1:], bins[:k] + (bins[k] + sizes[0],) + bins[k + 1 :]))
+        return min(best, fewest(sizes[1:], (*bins, sizes[0])))
+
+    rng, extra = random.Random(9), 0
+    for _ in range(150):
+        sizes = [rng.randrange(1, 21) for _ in range(rng.randrange(1, 8))]
+        place, offset = packing.best_fit(np.array(sizes), size=20)
+        for bin_ in set(place.tolist()):
+            spans = sorted((int(offset[k]), sizes[k]) for k in range(len(sizes)) if place[k] == bin_)
+            assert [a for a, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))] and sum(n for _, n in spans) <= 20
+        extra += len(set(place.tolist())) - fewest(sorted(sizes, reverse=True), ())
+    assert 0 <= extra <= 5
+
+
 def test_mix_comes_near_its_targets(spark):
     rows = [(i if i % 3 else None, prose(i, 20 + i % 50), "en", f"s{i % 5}", 0) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("s", F.col("source"))
