@@ -74,6 +74,12 @@ def pages(s, d, column):
     return rows.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("text"))
 
 
+def page_pairs(s, d):
+    """Both sides of whole pages as regions."""
+    other = pages(s, d, "other").withColumnRenamed("text", "other")
+    return pages(s, d, "raw_line").join(other, ["doc_id", "page_no"]).select("doc_id", F.col("page_no").cast("long").alias("region"), "text", "other")
+
+
 def numbered_lines(s, d):
     return layout_lines(s, d).select("doc_id", F.col("page_no").alias("region"), (F.col("line_no") - 1).alias("n"), F.col("raw_line").alias("text"))
 
@@ -112,6 +118,7 @@ QUERIES = {
     "j6_alignment_path": lambda s, d: A.alignment_path(pairs(s, d)).select("doc_id", "region", "path"),
     "j6_align_cells": lambda s, d: A.align_cells(pairs(s, d)),
     "j7_align_bounded": lambda s, d: A.align_bounded(pairs(s, d)),
+    "j7_align_pages": lambda s, d: A.align_bounded(page_pairs(s, d)),
     "j8_match_page_regions": lambda s, d: A.match_page_regions(pages(s, d, "raw_line"), pages(s, d, "other")),
     "j9_assign_blocks_to_lines": lambda s, d: A.assign_blocks_to_lines(numbered_blocks(s, d), numbered_lines(s, d)),
     "j10_page_boundaries": lambda s, d: A.page_boundaries(streams(s, d), page_starts(s, d)),
