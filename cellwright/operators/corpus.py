@@ -114,14 +114,19 @@ def wrap_offsets(text: pd.Series, width: pd.Series) -> pd.Series:
 
 
 def reflow(blocks: DataFrame, width: int, page_lines: int) -> DataFrame:
-    """M6: blocks to lines no wider than ``width``, trailing blanks trimmed, ``page_lines`` lines a page."""
-    rows = blocks.select("doc_id", "seq", "text", F.posexplode(wrap_offsets("text", F.lit(width))).alias("k", "start"))
+    """M6: blocks to lines no wider than ``width``, trailing blanks trimmed, ``page_lines`` lines a page; a block with ``break_after`` ends its page."""
+    forced = F.col("break_after") if "break_after" in blocks.columns else F.lit(False)
+    part = F.coalesce(F.sum(forced.cast("int")).over(_doc().orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = blocks.withColumn("part", part).select("doc_id", "seq", "text", "part", F.posexplode(wrap_offsets("text", F.lit(width))).alias("k", "start"))
     nxt = F.lead("start").over(Window.partitionBy("doc_id", "seq").orderBy("k"))
     rows = rows.withColumn("end", F.coalesce(nxt, F.length("text")))
     line = F.rtrim(F.expr("substr(text, start + 1, end - start)"))
-    n = F.row_number().over(_doc().orderBy("seq", "k")) - 1
-    rows = rows.withColumns({"raw_line": line, "n": n})
-    return rows.select("doc_id", (F.floor(F.col("n") / page_lines) + 1).cast("int").alias("page_no"), (F.col("n") % page_lines + 1).alias("line_no"), "seq", "raw_line")
+    own = Window.partitionBy("doc_id", "part")
+    rows = rows.withColumns({"raw_line": line, "n": F.row_number().over(own.orderBy("seq", "k")) - 1, "size": F.count("*").over(own)})
+    # the last line of a part brings its pages to what follows
+    pages = F.when(F.col("n") == F.col("size") - 1, F.floor(F.col("n") / page_lines) + 1).otherwise(0)
+    before = F.coalesce(F.sum(pages).over(_doc().orderBy("seq", "k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.select("doc_id", (before + F.floor(F.col("n") / page_lines) + 1).cast("int").alias("page_no"), (F.col("n") % page_lines + 1).alias("line_no"), "seq", "raw_line")
 
 
 def scale_up(blocks: DataFrame, n: int, corrupted: int = 5) -> DataFrame:

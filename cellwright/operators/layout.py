@@ -136,14 +136,18 @@ def normalize_stream(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line", text).where((F.col("line") != "") & ~is_page_number(F.col("line"))).drop("raw_line")
 
 
-def calibrate(lines: DataFrame) -> DataFrame:
-    """A1: modal width of non-empty lines and modal page length of each document; ties go to the first seen."""
+def frequency_tables(lines: DataFrame) -> DataFrame:
+    """A1: how often each width of a non-empty line and each page length occurs in a document: (doc_id, kind, v, n, first), first being where it is seen first."""
     widths = lines.where(F.trim("raw_line") != "").select("doc_id", F.lit("width").alias("kind"), F.length("raw_line").alias("v"), F.col("seq").alias("at"))
     pages = lines.groupBy("doc_id", "page_no").agg(F.count("*").cast("int").alias("v"))
     lengths = pages.select("doc_id", F.lit("length").alias("kind"), "v", F.col("page_no").alias("at"))
-    counts = widths.unionByName(lengths).groupBy("doc_id", "kind", "v").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    return widths.unionByName(lengths).groupBy("doc_id", "kind", "v").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+
+
+def calibrate(lines: DataFrame) -> DataFrame:
+    """A1: modal width of non-empty lines and modal page length of each document; ties go to the first seen."""
     best = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy(F.col("n").desc(), "first"))
-    modes = counts.withColumn("best", best).where("best = 1")
+    modes = frequency_tables(lines).withColumn("best", best).where("best = 1")
     return modes.groupBy("doc_id").agg(*(F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{name}") for k in ("width", "length") for c, name in (("v", "mode"), ("n", "count"))))
 
 

@@ -120,6 +120,7 @@ QUERIES = {
     "p11_format_allowlist": lambda s, d: L.apply_format_allowlist(typed_layouts(s, d), allowed(s)).select("doc_id", "page_no", "para_no", "block_type", "first_indent", "runover_indent", "centred"),
     "p14_normalize_stream": lambda s, d: L.normalize_stream(styled_lines(s, d)).select("doc_id", "seq", "line"),
     "a1_calibrate": lambda s, d: L.calibrate(layout_lines(s, d)),
+    "a1_frequency_tables": lambda s, d: L.frequency_tables(layout_lines(s, d)),
     "a2_suppressed_issues": lambda s, d: L.with_suppressed(L.line_width_issues(layout_lines(s, d), WIDTH).select("doc_id", "page_no", "line_no", "issue_type"), layout_lines(s, d)),
     "a3_collapse_patterns": lambda s, d: L.collapse_patterns(block_diffs(s, d), source_blocks(s, d)),
     "a4_heading_collapse": lambda s, d: L.heading_collapse(heading_layouts(s, d)),
@@ -156,6 +157,7 @@ ORACLE_SQL = {
         SELECT *, CASE WHEN issue_type = 'page_number_undecodable' THEN 'high_confidence' ELSE 'needs_review' END AS tier FROM i WHERE issue_type IS NOT NULL"""),
     "p11_format_allowlist": sql("lines styled", f", {FACTS}, t AS (SELECT *, {TYPES} AS block_type FROM layouts) SELECT doc_id, page_no, para_no, block_type, first_indent, runover_indent, centred FROM t WHERE NOT coalesce((block_type = 'body' AND first_indent = 2 AND runover_indent = 0 AND NOT centred) OR (block_type = 'heading1' AND first_indent = 0 AND runover_indent = 0 AND NOT centred), false)"),
     "p14_normalize_stream": sql("lines styled", f", n AS (SELECT doc_id, seq, trim(regexp_replace(regexp_replace(raw_line, '[‐‑‒–—−]', '-', 'g'), '[ \\t\u00a0]+', ' ', 'g')) AS line FROM styled) SELECT * FROM n WHERE line <> '' AND NOT {PAGE_NUMBER.format('line')}"),
+    "a1_frequency_tables": sql("lines", "SELECT doc_id, 'width' AS kind, CAST(length(raw_line) AS INT) AS v, count(*) AS n, min(seq) AS first FROM lines WHERE trim(raw_line) <> '' GROUP BY ALL UNION ALL SELECT doc_id, 'length', CAST(c AS INT), count(*), min(page_no) FROM (SELECT doc_id, page_no, count(*) AS c FROM lines GROUP BY ALL) GROUP BY doc_id, c"),
     "a1_calibrate": sql("lines", """, v AS (SELECT doc_id, 'width' AS kind, length(raw_line) AS v, seq AS o FROM lines UNION ALL SELECT doc_id, 'length', count(*), page_no FROM lines GROUP BY doc_id, page_no),
         c AS (SELECT doc_id, kind, v, count(*) AS n, min(o) AS f FROM v GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY n DESC, f) AS r FROM c)
         SELECT doc_id, max(v) FILTER (kind = 'width') AS width_mode, max(n) FILTER (kind = 'width') AS width_count, max(v) FILTER (kind = 'length') AS length_mode, max(n) FILTER (kind = 'length') AS length_count FROM b WHERE r = 1 GROUP BY doc_id"""),

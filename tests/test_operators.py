@@ -106,6 +106,12 @@ def test_reflow_keeps_words_and_width(spark):
     assert [(r.page_no, r.line_no) for r in found] == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (1, 1)]
 
 
+def test_reflow_breaks_pages_where_a_block_says(spark):
+    df = spark.createDataFrame([(1, 0, "a b", True), (1, 1, "c d e f g", False), (1, 2, "h", True), (1, 3, "i", False)], "doc_id long, seq int, text string, break_after boolean")
+    found = corpus.reflow(df, 3, 2).orderBy("page_no", "line_no").collect()
+    assert [(r.page_no, r.line_no, r.raw_line) for r in found] == [(1, 1, "a b"), (2, 1, "c d"), (2, 2, "e f"), (3, 1, "g"), (3, 2, "h"), (4, 1, "i")]
+
+
 def test_page_regions_follow_a_split_page(spark):
     exp = spark.createDataFrame([(1, 1, "alpha beta gamma delta"), (1, 2, "one two three four")], "doc_id long, page_no int, text string")
     act = spark.createDataFrame([(1, 1, "alpha beta gamma delta"), (1, 2, "one two three four")], "doc_id long, page_no int, text string")
