@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cellwright.operators import differences as D
-from cellwright.sources.testdata import layout_lines, manifest, source_blocks, sql
+from cellwright.sources.testdata import layout_lines, manifest_in_place, source_blocks, sql
 
 OTHER = "CASE (doc_id + seq) % 6 WHEN 1 THEN replace(raw_line, ' ', '  ') WHEN 2 THEN replace(raw_line, 'e', 'a') WHEN 3 THEN replace(raw_line, 'e', '') WHEN 5 THEN concat('x ', raw_line) ELSE raw_line END"
 TAG = "CASE (doc_id + seq) % 6 WHEN 1 THEN 'insert' WHEN 3 THEN 'delete' ELSE 'replace' END"
@@ -47,7 +47,7 @@ def changed(s, d):
 
 
 def muts(s, d):
-    return manifest(s, d).withColumn("diff_id", F.col("mutation_id")).withColumn("block", F.col("line_no"))
+    return manifest_in_place(s, d).withColumn("diff_id", F.col("mutation_id")).withColumn("block", F.col("line_no"))
 
 
 def block_ranges(s, d):
@@ -60,7 +60,7 @@ BR = "br AS (SELECT doc_id, page_no, seq, sum(length(text) + 1) OVER w - 1 - len
 
 
 def offsets(s, d):
-    return manifest(s, d).select("doc_id", F.col("expected_start").alias("at"), F.col("expected_start").alias("id"))
+    return manifest_in_place(s, d).select("doc_id", F.col("expected_start").alias("at"), F.col("expected_start").alias("id"))
 
 
 def pages_of(s, d):

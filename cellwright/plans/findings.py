@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cellwright.operators import findings as R
 from cellwright.plans.differences import BR, block_ranges
-from cellwright.sources.testdata import expected_cells, layout_lines, manifest, source_blocks, sql
+from cellwright.sources.testdata import expected_cells, layout_lines, manifest_in_place, source_blocks, sql
 
 RULES = [("R1", "body", False, 2), ("R2", "body", True, 1), ("R3", "heading", False, 2), ("R4", "body", False, 1), ("R5", "list", True, 3)]
 TYPE = "CASE (doc_id + seq) % 3 WHEN 0 THEN 'body' WHEN 1 THEN 'heading' ELSE 'list' END"
@@ -28,7 +28,7 @@ STAT = "st AS (SELECT doc_id, page_no, block_no, CASE coalesce(min(CASE status W
 
 
 def muts(s, d):
-    return manifest(s, d).withColumnRenamed("mutation_id", "diff_id")
+    return manifest_in_place(s, d).withColumnRenamed("mutation_id", "diff_id")
 
 
 def owned(s, d):
