@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from cellwright.operators import corpus
+from cellwright.operators import evaluation as V
 from cellwright.plans import corpus as P
+from cellwright.plans import evaluation as E
 from cellwright.sources.testdata import lines_in_place, manifest, manifest_in_place, placed_lines, placed_pages
 
 TEXTS = ["a,b 12 #c d e f, g é h " * 20, "é ß ü 😀a", "", None, " \n ", ",", "word " * 9000, "x" * 400 + " y\nz"]
@@ -40,3 +42,29 @@ def test_quota_sample_derives_its_candidates_once(spark, tmp_path):
     assert not moves(sample) and sample._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1
     cands = spark.createDataFrame([(1, "a", 1, 1, 0), (2, "z", 1, 1, 3)], "doc_id long, family string, page_no int, line_no int, expected_start long")
     assert sorted(map(tuple, corpus.quota_sample(cands, {"a": 1}).collect())) == [(1, "a", 0, 0), (2, "a", None, 1)]
+
+
+def test_candidates_and_outcomes_of_a_page_stay_on_its_row(spark, tmp_path):
+    sf = table(spark, tmp_path)
+    for name in ("j28_match_candidates", "j29_assign_findings", "t5_first_n"):
+        plan = E.QUERIES[name](spark, sf)
+        assert not moves(plan) and "Join" not in plan._jdf.queryExecution().executedPlan().toString(), name
+    own, theirs = E.scored(spark, sf)
+    states = V.assign_findings(own, V.match_candidates(own, theirs))
+    assert rows(E.QUERIES["j29_assign_findings"](spark, sf)) == rows(states)
+    quality = V.quality(own, states.where("state = 'DETECTED'"), theirs)
+    assert rows(E.QUERIES["a11_assigned_quality"](spark, sf).select(*quality.columns)) == rows(quality)
+
+
+def test_large_pages_meet_by_keys_as_small_ones_do(spark, monkeypatch):
+    box = "array(named_struct('line', cast(id % 3 AS int), 'cell', cast(id * 5 % 11 AS int)))"
+    op = "CASE id % 2 WHEN 0 THEN 'insert' ELSE 'delete' END"
+    own = spark.range(40).selectExpr("id % 2 AS doc_id", "1 AS page_no", "concat('M', id) AS mut_id", f"{op} AS operation", "id * 2 AS start", "id * 2 + id % 2 AS end", f"CASE WHEN id % 7 = 0 THEN slice({box}, 1, 0) ELSE {box} END AS boxes")
+    theirs = spark.range(45).selectExpr("id % 2 AS doc_id", "1 AS page_no", "concat('F', id) AS find_id", f"{op} AS operation", "id * 2 + id % 5 - 3 AS start", "id * 2 + id % 2 AS end", f"CASE WHEN id % 5 = 0 THEN slice({box}, 1, 0) ELSE {box} END AS boxes")
+    m, f = own.alias("m"), theirs.alias("f")
+    brute = m.join(f, F.expr("m.doc_id = f.doc_id AND m.operation = f.operation AND (abs(m.start - f.start) <= 4 OR arrays_overlap(m.boxes, f.boxes))"))
+    score = "4 * int(size(m.boxes) > 0 AND m.boxes = f.boxes) + 2 * int(m.start = f.start AND m.end = f.end) + int(arrays_overlap(m.boxes, f.boxes))"
+    brute = rows(brute.selectExpr("m.doc_id", "m.page_no", "mut_id", "find_id", "m.start", f"bigint({score}) AS score"))
+    assert rows(V.match_candidates(own, theirs)) == brute
+    monkeypatch.setattr(V, "PAGE_PAIRS", 0)
+    assert rows(V.match_candidates(own, theirs)) == brute
