@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from cellwright.operators import corpus
 from cellwright.operators import evaluation as V
+from cellwright.operators import validation
 from cellwright.plans import corpus as P
 from cellwright.plans import evaluation as E
-from cellwright.sources.testdata import lines_in_place, manifest, manifest_in_place, placed_lines, placed_pages
+from cellwright.plans.validation import printed_lines, sides
+from cellwright.sources.testdata import expected_cells, lines_in_place, manifest, manifest_in_place, placed_lines, placed_pages
 
 TEXTS = ["a,b 12 #c d e f, g é h " * 20, "é ß ü 😀a", "", None, " \n ", ",", "word " * 9000, "x" * 400 + " y\nz"]
 
@@ -68,3 +70,13 @@ def test_large_pages_meet_by_keys_as_small_ones_do(spark, monkeypatch):
     assert rows(V.match_candidates(own, theirs)) == brute
     monkeypatch.setattr(V, "PAGE_PAIRS", 0)
     assert rows(V.match_candidates(own, theirs)) == brute
+
+
+def test_lines_of_both_sides_are_those_of_their_cells(spark, tmp_path):
+    sf = table(spark, tmp_path)
+    cells, muts = expected_cells(spark, sf), manifest(spark, sf)
+    assert rows(printed_lines(spark, sf)) == rows(validation.line_texts(cells))
+    ours, theirs = sides(spark, sf)[2], validation.line_texts(validation.actual_cells(cells, muts))
+    assert rows(ours.drop("first")) == rows(theirs.drop("first"))
+    plan = validation.actual_lines(printed_lines(spark, sf), muts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [" not in plan.split("Union")[0] and "pos#" not in plan.split("Union")[0]  # no cell is ordered
