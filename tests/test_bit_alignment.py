@@ -58,3 +58,30 @@ def test_both_sides_of_a_page_are_made_on_its_row(spark, tmp_path):
     text = lambda column: P.pages(spark, sf, column).withColumnRenamed("page_no", "region")
     joined = text("raw_line").join(text("other").withColumnRenamed("text", "other"), ["doc_id", "region"])
     assert rows(ours) == rows(joined.withColumn("region", joined["region"].cast("long")))
+
+
+def test_costs_of_all_runs_of_lines_are_edit_distances():
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            row, before = [i], row
+            for j, b in enumerate(y, 1):
+                row.append(min(before[j - 1] + (a != b), before[j] + 1, row[-1] + 1))
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(60):
+        cells = rng.choice(["ab", "abc ", "é😀a "])
+        lines = ["".join(rng.choice(cells) for _ in range(rng.randrange(9))) for _ in range(rng.randrange(1, 6))]
+        starts = A._from_each_line(lines)
+        for block in ("", lines[0], " ".join(lines), "".join(rng.choice(cells) for _ in range(12))):
+            costs = A.segment_costs(block, starts)
+            assert all(costs[i, j] == (distance(block, " ".join(lines[i : j + 1])) if i <= j else float("inf")) for i in range(len(lines)) for j in range(len(lines)))
+
+
+def test_blocks_and_lines_of_a_page_are_listed_on_its_row(spark, tmp_path):
+    sf = table(spark, tmp_path)
+    ours = P.QUERIES["j9_place_blocks"](spark, sf)
+    assert not moves(ours)
+    theirs = A.place_blocks(P.numbered_blocks(spark, sf), P.numbered_lines(spark, sf)).drop("text", "other")
+    assert ours.dtypes == theirs.dtypes and rows(ours) == rows(theirs)
