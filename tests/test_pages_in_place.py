@@ -85,3 +85,16 @@ def test_lines_of_both_sides_are_those_of_their_cells(spark, tmp_path):
 
 def test_math_pages_are_made_where_their_documents_are(spark, tmp_path):
     assert not moves(mathspans.pages(spark, table(spark, tmp_path)))
+
+
+def test_boxes_off_target_are_found_on_their_row(spark, tmp_path):
+    sf = table(spark, tmp_path)
+    ours = E.QUERIES["u3_off_target"](spark, sf)
+    boxes = E.rendered(spark, sf)
+    theirs = V.off_target(boxes, boxes.where("c % 3 = 0"), boxes.where("c % 5 = 0"))
+    plan = ours._jdf.queryExecution().executedPlan().toString()
+    assert not moves(ours) and "Join" not in plan and ours.dtypes == theirs.dtypes and rows(ours) == rows(theirs)
+    array = "array<struct<x0:double,top:double>>"
+    listed = spark.createDataFrame([(1, 1, [(1.0, 2.0), (1.0, 2.0), (None, 2.0), (float("nan"), 1.0), (0.0, 1.0), (3.0, 1.0)], [(None, 2.0), (float("nan"), 1.0)], [(-0.0, 1.0)]), (1, 2, [(5.0, 5.0)], None, [])], f"doc_id long, page_no int, boxes {array}, required {array}, allowed {array}")
+    side = lambda c: listed.select("doc_id", "page_no", F.inline(c))
+    assert rows(V.off_target_on_rows(listed)) == rows(V.off_target(side("boxes"), side("required"), side("allowed")))
